@@ -12,6 +12,7 @@ from docloom.operators.labels import remap_labels
 from docloom.operators.row_index import global_row_index
 from docloom.operators.split import split_by_row_index
 from docloom.plans import stages
+from docloom.sources import scan_table
 
 CANONICAL = (
     "agriculture work_and_employment Education taxes industry european_union law "
@@ -32,8 +33,12 @@ VOCAB_SIZE = 16000
 N_SPECIAL = 9
 
 
+# Tables of long texts and their keys.
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan_table(spark, f"{sf_dir}/{name}.parquet", spread_by=_TEXT_KEYS.get(name))
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

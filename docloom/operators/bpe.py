@@ -21,9 +21,9 @@ from docloom.functions import patterns as P
 from docloom.session import materialize
 
 # Pairs fetched per round; only a prefix of them can be merged in one round anyway.
-_CANDIDATES = 2_000
+_CANDIDATES = 500
 # Merges applied on the fly before the word table is written anew.
-_PENDING_MERGES = 192
+_PENDING_MERGES = 24
 # Symbol ids become characters from here on, clear of ASCII; the surrogate block is skipped.
 _FIRST_CHAR = 0x100
 _SURROGATES = (0xD800, 0xE000)
@@ -203,7 +203,9 @@ def bpe_learn(
     first_merge_id = n_special + 256
     merges: list[tuple[int, int]] = []
     pending: list[tuple[str, str]] = []
-    table = materialize(symbol_table(word_counts, n_special), "bpe-words")
+    # Few bytes but much work per row: one partition per core, whatever the size.
+    cores = word_counts.sparkSession.sparkContext.defaultParallelism
+    table = materialize(symbol_table(word_counts, n_special).repartition(cores, "symbols"), "bpe-words")
     while first_merge_id + len(merges) < vocab_size:
         current = table.select(_apply_merges(F.col("symbols"), pending).alias("symbols"), "n_uses") if pending else table
         ranked = (

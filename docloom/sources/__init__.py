@@ -1,11 +1,13 @@
 from docloom.sources.documents import DOCUMENT_SCHEMA, scan_documents, scan_label_map
 from docloom.sources.position import with_file_position
+from docloom.sources.tables import scan_table
 from docloom.sources.text_files import scan_text_lines, scan_tsv, scan_tsv_pair
 
 __all__ = [
     "DOCUMENT_SCHEMA",
     "scan_documents",
     "scan_label_map",
+    "scan_table",
     "scan_text_lines",
     "scan_tsv",
     "scan_tsv_pair",
