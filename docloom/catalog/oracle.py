@@ -165,7 +165,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("lm",),
         rf"""SELECT unnest(regexp_extract_all(piece,
             '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+')) AS word
-        FROM (SELECT unnest(string_split(regexp_replace(lm_text,
+        FROM (SELECT unnest(string_split(regexp_replace(lm_text || chr(10),
             '([{SPACE}]+)([{SPACE}][^{SPACE}])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS piece
           FROM lm WHERE split = 'train')""",
     ),

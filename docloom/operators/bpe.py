@@ -71,11 +71,13 @@ def bpe_words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(P.BPE_WORD), F.lit(0))
 
 
-def bpe_word_counts(df: DataFrame, text: str = "lm_text") -> DataFrame:
-    """``(word, n_uses)``; map-side aggregation absorbs the frequent words."""
-    return df.select(F.explode(bpe_words(F.col(text))).alias("word")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n_uses")
-    )
+def bpe_word_counts(df: DataFrame, text: str = "lm_text", line_end: str = "\n") -> DataFrame:
+    """``(word, n_uses)`` of the texts as lines of a file, hence with their ``line_end``.
+
+    Map-side aggregation absorbs the frequent words.
+    """
+    words = bpe_words(F.concat(F.col(text), F.lit(line_end)))
+    return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_uses"))
 
 
 def word_symbols(word: Column, special_count: int) -> Column:

@@ -17,7 +17,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import IDF, HashingTF, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import labels as L
@@ -152,3 +152,27 @@ def predict_multilabel(
     out = current.select(*df.columns, F.array(*bounded).alias("scores"))
     pred = L.threshold_scores(F.col("scores"), threshold, apply_sigmoid)
     return out.withColumn("pred", pred).withColumn("pred_labels", L.decode_labels(F.col("pred"), model.vocabulary))
+
+
+def save_model(spark: SparkSession, model: MultilabelModel, path: str) -> None:
+    """Feature stages and label models in their own format, with a table that says which is which."""
+    model.features.write().overwrite().save(f"{path}/features")
+    rows = []
+    for i, (label, one) in enumerate(zip(model.vocabulary, model.models)):
+        constant = one if isinstance(one, float) else None
+        if constant is None:
+            PipelineModel([one]).write().overwrite().save(f"{path}/label-{i:05d}")
+        rows.append((i, label, constant, model.family))
+    schema = "idx int, label string, constant double, family string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").json(f"{path}/labels")
+
+
+def load_model(spark: SparkSession, path: str) -> MultilabelModel:
+    schema = "idx int, label string, constant double, family string"
+    rows = spark.read.schema(schema).json(f"{path}/labels").orderBy("idx").collect()
+    loaded = tuple(
+        PipelineModel.load(f"{path}/label-{r['idx']:05d}").stages[0] if r["constant"] is None else r["constant"]
+        for r in rows
+    )
+    features = PipelineModel.load(f"{path}/features")
+    return MultilabelModel(rows[0]["family"], tuple(r["label"] for r in rows), features, loaded)

@@ -13,7 +13,7 @@ from docloom.functions import labels as L
 from docloom.functions import text as X
 from docloom.operators import bpe, metrics, models, ngram_lm, profile
 from docloom.operators.labels import collect_vocabulary, remap_labels
-from docloom.operators.split import block_split
+from docloom.operators.split import block_split, split_by_row_index
 
 
 def prepare(
@@ -23,13 +23,18 @@ def prepare(
     config: SplitConfig = SplitConfig(),
     strict: bool = True,
     fold_case: bool = True,
+    dense: bool = False,
 ) -> DataFrame:
     """Split, drop near-empty documents, flatten lines and remap labels.
 
-    The split comes first, so its ratios hold before the filter. Result: the other columns of
-    ``documents`` with ``split``, ``text``, ``date`` and ``labels``. Texts are not shuffled.
+    The split comes first, so its ratios hold before the filter; ``key`` orders the documents, and
+    ``dense`` says that it already numbers them from 0. Result: the other columns of ``documents`` with
+    ``split``, ``text``, ``date`` and ``labels``. Texts are not shuffled.
     """
-    placed = block_split(documents, key, config)
+    if dense:
+        placed = split_by_row_index(documents, config, row_idx=key)
+    else:
+        placed = block_split(documents, key, config)
     kept = placed.where(X.has_min_content(F.col("content")))
     flat = kept.withColumn("text", X.newline_to_space(F.col("content"))).drop("content")
     return remap_labels(flat, label_map, key=key, strict=strict, fold_case=fold_case)
