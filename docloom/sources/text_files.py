@@ -21,6 +21,9 @@ TSV_OPTIONS = {
     "nullValue": "\\N",
     "lineSep": "\n",
     "encoding": "UTF-8",
+    # Texts keep their outer spaces; the writer would drop them by default.
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
 }
 
 
