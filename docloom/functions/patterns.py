@@ -7,9 +7,10 @@ changed meaning between Java versions.
 from __future__ import annotations
 
 # Word tokenizer: URL, e-mail, number, word with inner apostrophes or hyphens, any other character.
+# Runs before an "@" are possessive, which changes no match and spares the backtracking.
 TOKEN = (
     r"(?:https?://[^\s]+)"
-    r"|(?:[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}+)"
+    r"|(?:[\p{L}\p{N}._%+-]++@[\p{L}\p{N}.-]+\.\p{L}+)"
     r"|(?:\p{N}+(?:[.,]\p{N}+)*)"
     r"|(?:\p{L}+(?:['’-]\p{L}+)*)"
     r"|[^\s\p{L}\p{N}]"
@@ -19,7 +20,7 @@ ALNUM_TOKEN = r"^[\p{L}\p{N}]+$"
 
 LINE_BREAKS = r"[\r\n]+"
 URL = r"""(?:https?://|www\.)[^\s<>"]+"""
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 MONTHS = (
     "January|February|March|April|May|June|July|August|September|October|November|December"
 )
@@ -31,6 +32,8 @@ DATE = (
 NUMBER = r"(?<![A-Za-z0-9_])\d+(?:[.,]\d+)*(?![A-Za-z0-9_])"
 DIGITS = r"\d+"
 SPACES = r" {2,}"
+# Texts without a match have nothing that the masks could replace.
+MASKABLE = r"[0-9@]|https?://|www\."
 
 # Whitespace as Unicode defines it, spelled out so that it does not depend on regex flags.
 UNICODE_SPACE = (

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -139,10 +139,22 @@ def squeeze_spaces(c: Column) -> Column:
     return F.regexp_replace(c, P.SPACES, " ")
 
 
-def clean_text(c: Column, repair_unicode: bool = True) -> Column:
-    """The whole cleaner as one projection; dates go before numbers, which would eat their digits."""
-    steps = [no_line_breaks, mask_urls, mask_emails, mask_dates, mask_numbers, mask_digits, squeeze_spaces]
-    out = fix_unicode(c) if repair_unicode else c
+def _chain(c: Column, *steps: Callable[[Column], Column]) -> Column:
     for step in steps:
-        out = step(out)
-    return out
+        c = step(c)
+    return c
+
+
+def clean_text(c: Column, repair_unicode: bool = True) -> Column:
+    """The whole cleaner as one projection; dates go before numbers, which would eat their digits.
+
+    A quick look at the raw text spares it the masks that cannot match: no earlier step can bring in a
+    digit, an "@" or a URL.
+    """
+    text = no_line_breaks(fix_unicode(c) if repair_unicode else c)
+    digits = (mask_dates, mask_numbers, mask_digits, squeeze_spaces)
+    return (
+        F.when(~c.rlike(P.MASKABLE), squeeze_spaces(text))
+        .when(~c.contains("@"), _chain(text, mask_urls, *digits))
+        .otherwise(_chain(text, mask_urls, mask_emails, *digits))
+    )

@@ -5,44 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import materialize
 
-def bigrams(df: DataFrame, tokens: Column, start: str = "<s>", end: str = "</s>") -> DataFrame:
-    """Counts ``(prev, next, n_uses)`` of neighbouring tokens, text boundaries included."""
+
+def split_bigrams(
+    df: DataFrame,
+    tokens: Column,
+    train: str = "train",
+    test: str = "test",
+    start: str = "<s>",
+    end: str = "</s>",
+) -> DataFrame:
+    """``(prev, next, n_train, n_test)`` of neighbouring tokens, text boundaries included.
+
+    Both splits are counted in one pass and one shuffle, so that no join is needed afterwards.
+    """
     framed = F.concat(F.array(F.lit(start)), tokens, F.array(F.lit(end)))
-    pairs = df.select(framed.alias("t")).select(
-        F.explode(
-            F.zip_with(
-                F.slice("t", F.lit(1), F.size("t") - 1),
-                F.slice("t", F.lit(2), F.size("t") - 1),
-                lambda a, b: F.struct(a.alias("prev"), b.alias("next")),
-            )
-        ).alias("pair")
+    n = F.size("t")
+    pairs = F.zip_with(
+        F.slice("t", F.lit(1), n - 1),
+        F.slice("t", F.lit(2), n - 1),
+        lambda a, b: F.struct(a.alias("prev"), b.alias("next")),
+    )
+    rows = df.where(F.col("split").isin(train, test)).select((F.col("split") == test).alias("held"), framed.alias("t"))
+    return (
+        rows.select("held", F.explode(pairs).alias("pair"))
+        .groupBy("pair.prev", "pair.next")
+        .agg(F.count(F.when(~F.col("held"), 1)).alias("n_train"), F.count(F.when(F.col("held"), 1)).alias("n_test"))
     )
-    return pairs.groupBy("pair.prev", "pair.next").agg(F.count(F.lit(1)).alias("n_uses"))
 
 
-def ngram_perplexity(train: DataFrame, test: DataFrame, k: float = 1.0) -> DataFrame:
-    """``perplexity`` and ``eval_loss`` of the test bigram counts under the train bigram counts.
+def ngram_perplexity(bigrams: DataFrame, k: float = 1.0) -> DataFrame:
+    """``perplexity`` and ``eval_loss`` of the test bigrams under the train bigrams.
 
     The log-probability of a bigram is ``ln(c(prev,next)+k) - ln(c(prev)+kV)``, V being the number of
-    distinct next tokens in train plus one for unseen ones. Its two parts are summed apart: each joins
-    tables with one row per bigram or per context, so a frequent context is never a hot join key.
+    distinct next tokens in train plus one for unseen ones. Its two parts are summed per context, which
+    partial aggregation does before the shuffle, so a frequent context is no hot key. The counts are
+    written once to the shared scratch folder, as V and the sums both read them.
     """
-    seen = train.withColumnRenamed("n_uses", "n_train")
-    joined = test.join(seen, ["prev", "next"], "left")
-    upper = joined.agg(
-        F.sum(F.col("n_uses") * F.ln(F.coalesce("n_train", F.lit(0)) + F.lit(k))).alias("upper"),
-        F.sum("n_uses").alias("n_tokens"),
-    )
-    train_context = train.groupBy("prev").agg(F.sum("n_uses").alias("n_train"))
-    test_context = test.groupBy("prev").agg(F.sum("n_uses").alias("n_uses"))
-    vocabulary = train.agg((F.count_distinct("next") + 1).alias("v"))
-    contexts = test_context.join(train_context, "prev", "left").crossJoin(F.broadcast(vocabulary))
-    lower = contexts.agg(
-        F.sum(
-            F.col("n_uses") * F.ln(F.coalesce("n_train", F.lit(0)) + F.lit(k) * F.col("v"))
-        ).alias("lower")
+    counts = materialize(bigrams, "bigrams")
+    v = counts.where("n_train > 0").agg(F.count_distinct("next")).first()[0] + 1
+    contexts = counts.groupBy("prev").agg(
+        F.sum("n_train").alias("n_train"),
+        F.sum("n_test").alias("n_test"),
+        F.sum(F.col("n_test") * F.ln(F.col("n_train") + F.lit(k))).alias("upper"),
     )
-    # Three one-row tables meet here.
-    loss = upper.crossJoin(lower).select(((F.col("lower") - F.col("upper")) / F.col("n_tokens")).alias("eval_loss"))
+    lower = F.col("n_test") * F.ln(F.col("n_train") + F.lit(k * v))
+    loss = contexts.agg((F.sum(lower - F.col("upper")) / F.sum("n_test")).alias("eval_loss"))
     return loss.select(F.exp("eval_loss").alias("perplexity"), "eval_loss")

@@ -80,10 +80,7 @@ def lm_examples(
 
 def lm_score(corpus: DataFrame, k: float = 1.0) -> DataFrame:
     """Perplexity of the test split under a bigram model of the train split."""
-    tokens = X.tokenize_words(F.col("lm_text"))
-    train = ngram_lm.bigrams(corpus.where("split = 'train'"), tokens)
-    test = ngram_lm.bigrams(corpus.where("split = 'test'"), tokens)
-    return ngram_lm.ngram_perplexity(train, test, k)
+    return ngram_lm.ngram_perplexity(ngram_lm.split_bigrams(corpus, X.tokenize_words(F.col("lm_text"))), k)
 
 
 def classifier_examples(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import materialize
+
 # Number of file splits up to which their offsets are broadcast (a few dozen MB at most).
 MAX_BROADCAST_SPLITS = 500_000
 
@@ -22,15 +24,16 @@ def with_file_position(df: DataFrame, name: str = "row_idx") -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    splits = placed.groupBy("_file", "_block").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first")
+    splits = materialize(
+        placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first")),
+        "file-splits",
     )
     # One row per file split, so the single-partition window is small.
     in_order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         "_file", "_block", "_first", F.coalesce(F.sum("_rows").over(in_order), F.lit(0)).alias("_offset")
     )
-    if offsets.limit(MAX_BROADCAST_SPLITS + 1).count() <= MAX_BROADCAST_SPLITS:
+    if splits.count() <= MAX_BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     joined = placed.join(offsets, ["_file", "_block"], "left")
     # A split that the first pass did not see means that the files changed in between.

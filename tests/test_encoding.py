@@ -62,10 +62,8 @@ def test_bigram_perplexity_by_hand(spark):
         context[a] += n
     size = len({b for _, b in seen}) + 1
     losses = [-math.log((seen[p] + 0.5) / (context[p[0]] + 0.5 * size)) for p in count(test).elements()]
-    frames = [
-        ngram_lm.bigrams(spark.createDataFrame([(t,) for t in texts], "t array<string>"), F.col("t"))
-        for texts in (train, test)
-    ]
-    row = ngram_lm.ngram_perplexity(*frames, k=0.5).first()
+    rows = [("train", t) for t in train] + [("test", t) for t in test] + [("dev", ["a", "z"])]
+    df = spark.createDataFrame(rows, "split string, t array<string>")
+    row = ngram_lm.ngram_perplexity(ngram_lm.split_bigrams(df, F.col("t")), k=0.5).first()
     assert math.isclose(row["eval_loss"], sum(losses) / len(losses))
     assert math.isclose(row["perplexity"], math.exp(row["eval_loss"]))
