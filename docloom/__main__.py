@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docloom.config import EngineConfig, LanguageModelConfig, SplitConfig
 from docloom.functions.labels import join_labels
 from docloom.operators import bpe, models, profile, validate
-from docloom.operators.labels import collect_vocabulary, label_frequency
+from docloom.operators.labels import collect_vocabulary, label_frequency, unmapped_labels
 from docloom.plans import stages
 from docloom.session import get_spark
 from docloom.sinks import publish_layout, publish_view, write_metrics_json, write_text_lines, write_tsv_pair
@@ -30,9 +30,13 @@ def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
     """Split, filter and relabel; writes ``parquet``, ``in`` and ``expected`` under the output."""
     config = SplitConfig(args.train, args.test, args.dev, args.parts)
     documents = spark.read.parquet(args.input)
-    rows = stages.prepare(
-        documents, scan_label_map(spark, args.label_map), config=config, strict=not args.lenient, dense=True
-    )
+    label_map = scan_label_map(spark, args.label_map)
+    if not args.lenient:
+        # A report of everything that is missing beats the failure on the first such label.
+        missing = unmapped_labels(documents, label_map).orderBy(F.desc("n_uses"), "raw").limit(50).collect()
+        if missing:
+            raise SystemExit("unmapped labels: " + ", ".join(f"{r['raw']} ({r['n_uses']})" for r in missing))
+    rows = stages.prepare(documents, label_map, config=config, strict=not args.lenient, dense=True)
     rows.write.mode("overwrite").partitionBy("split").parquet(f"{args.output}/parquet")
     stored = spark.read.parquet(f"{args.output}/parquet")
     write_tsv_pair(stored, args.output)

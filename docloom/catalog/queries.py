@@ -163,17 +163,17 @@ def publish_layout_query(spark, sf_dir):
 @query
 def global_row_index_query(spark, sf_dir):
     """Position of each document in (date, doc_id) order."""
-    return global_row_index(V.raw_documents(spark, sf_dir).select("date", "doc_id"), ["date", "doc_id"])
+    return global_row_index(V.raw_texts(spark, sf_dir).select("date", "doc_id"), ["date", "doc_id"])
 
 
 @query
 def block_split_query(spark, sf_dir):
-    return split.block_split(V.raw_documents(spark, sf_dir).select("doc_id"), "doc_id")
+    return split.block_split(V.raw_texts(spark, sf_dir).select("doc_id"), "doc_id")
 
 
 @query
 def split_sizes_query(spark, sf_dir):
-    return split.split_sizes(split.block_split(V.raw_documents(spark, sf_dir).select("doc_id"), "doc_id"))
+    return split.split_sizes(split.block_split(V.raw_texts(spark, sf_dir).select("doc_id"), "doc_id"))
 
 
 @query
@@ -188,19 +188,19 @@ def size_capped_subset_query(spark, sf_dir):
 
 @query
 def project_text(spark, sf_dir):
-    return V.prepared(spark, sf_dir).select(F.col("text").cast("string").alias("text"))
+    return V.texts(spark, sf_dir).select(F.col("text").cast("string").alias("text"))
 
 
 @query
 def drop_text(spark, sf_dir):
-    encoded = V.prepared(spark, sf_dir).withColumn("n_tokens", F.size(X.tokenize_words(F.col("text"))))
-    return encoded.drop("text", "labels")
+    encoded = V.texts(spark, sf_dir).withColumn("n_tokens", F.size(X.tokenize_words(F.col("text"))))
+    return encoded.drop("text")
 
 
 @query
 def assert_row_parity(spark, sf_dir):
     rows = V.labelled(spark, sf_dir)
-    raw = global_row_index(V.raw_documents(spark, sf_dir).select("doc_id"), "doc_id")
+    raw = global_row_index(V.raw_texts(spark, sf_dir).select("doc_id"), "doc_id")
     return validate.row_parity(split.split_by_row_index(raw), rows)
 
 
@@ -217,7 +217,7 @@ def newline_to_space(spark, sf_dir):
 
 @query
 def min_content_filter(spark, sf_dir):
-    return V.raw_documents(spark, sf_dir).where(X.has_min_content(F.col("content"))).select("doc_id", "content")
+    return V.raw_texts(spark, sf_dir).where(X.has_min_content(F.col("content"))).select("doc_id", "content")
 
 
 @query
@@ -256,7 +256,7 @@ def unmapped_labels(spark, sf_dir):
 
 @query
 def align_text_labels(spark, sf_dir):
-    texts = V.prepared(spark, sf_dir).select("split", "doc_id", "text")
+    texts = V.texts(spark, sf_dir).select("split", "doc_id", "text")
     marks = V.labelled(spark, sf_dir).select("split", "doc_id", _joined("labels").alias("labels"))
     return labels.align(texts, marks, ("split", "doc_id"))
 
@@ -296,7 +296,7 @@ def dedupe_labels(spark, sf_dir):
     """Canonical labels kept as a multiset, then made a set."""
     raw = V.raw_documents(spark, sf_dir)
     table = {k: v.lower() for k, v in V.LABEL_MAP.items()}
-    canon = F.transform("buckets", lambda b: F.element_at(L._map_literal(table), L.fold_label(b)))
+    canon = F.transform("buckets", lambda b: F.element_at(L.map_literal(table), L.fold_label(b)))
     unique = L.dedupe_labels(canon)
     return raw.select(
         "doc_id", F.size(canon).alias("n_before"), F.size(unique).alias("n_after"), _joined(unique).alias("labels")
@@ -368,62 +368,62 @@ def stopword_filter(spark, sf_dir):
 
 @query
 def corpus_count(spark, sf_dir):
-    return profile.corpus_count(V.prepared(spark, sf_dir))
+    return profile.corpus_count(V.texts(spark, sf_dir))
 
 
 @query
 def token_length_hist(spark, sf_dir):
-    return profile.token_length_hist(V.prepared(spark, sf_dir))
+    return profile.token_length_hist(V.texts(spark, sf_dir))
 
 
 @query
 def token_length_hist_nonnumeric(spark, sf_dir):
-    return profile.token_length_hist_nonnumeric(V.prepared(spark, sf_dir))
+    return profile.token_length_hist_nonnumeric(V.texts(spark, sf_dir))
 
 
 @query
 def length_profile(spark, sf_dir):
-    return profile.length_profile(V.prepared(spark, sf_dir))
+    return profile.length_profile(V.texts(spark, sf_dir))
 
 
 @query
 def word_frequency(spark, sf_dir):
-    return profile.word_frequency(V.prepared(spark, sf_dir))
+    return profile.word_frequency(V.texts(spark, sf_dir))
 
 
 @query
 def bigram_frequency(spark, sf_dir):
-    return profile.bigram_frequency(V.prepared(spark, sf_dir))
+    return profile.bigram_frequency(V.texts(spark, sf_dir))
 
 
 @query
 def top_common_lengths(spark, sf_dir):
-    return profile.top_common_lengths(profile.token_length_hist(V.prepared(spark, sf_dir)))
+    return profile.top_common_lengths(profile.token_length_hist(V.texts(spark, sf_dir)))
 
 
 @query
 def top_longest_lengths(spark, sf_dir):
-    return profile.top_longest_lengths(profile.token_length_hist(V.prepared(spark, sf_dir)))
+    return profile.top_longest_lengths(profile.token_length_hist(V.texts(spark, sf_dir)))
 
 
 @query
 def top_longest_nonnumeric(spark, sf_dir):
-    return profile.top_longest_lengths(profile.token_length_hist_nonnumeric(V.prepared(spark, sf_dir)))
+    return profile.top_longest_lengths(profile.token_length_hist_nonnumeric(V.texts(spark, sf_dir)))
 
 
 @query
 def top_words(spark, sf_dir):
-    return profile.top_words(profile.word_frequency(V.prepared(spark, sf_dir)))
+    return profile.top_words(profile.word_frequency(V.texts(spark, sf_dir)))
 
 
 @query
 def top_bigrams(spark, sf_dir):
-    return profile.top_bigrams(profile.bigram_frequency(V.prepared(spark, sf_dir)))
+    return profile.top_bigrams(profile.bigram_frequency(V.texts(spark, sf_dir)))
 
 
 @query
 def preview(spark, sf_dir):
-    rows = V.prepared(spark, sf_dir).select("doc_id", "split", "date", "text")
+    rows = V.texts(spark, sf_dir).select("doc_id", "split", "date", "text")
     return profile.preview(rows, "doc_id")
 
 
@@ -529,11 +529,8 @@ def bpe_word_counts(spark, sf_dir):
 def bpe_pair_counts(spark, sf_dir):
     """The first round: pairs of bytes."""
     pairs = bpe.bpe_pair_counts(bpe.symbol_table(_train_words(spark, sf_dir), V.N_SPECIAL))
-    left, right = F.substring("pair", 1, 1), F.substring("pair", 2, 1)
-    # All byte symbols lie below the surrogate block, so their id is the distance from the first.
-    return pairs.select(
-        (F.ascii(left) - bpe._FIRST_CHAR).alias("left_id"), (F.ascii(right) - bpe._FIRST_CHAR).alias("right_id"), "n_uses"
-    )
+    left, right = (bpe.symbol_id_of(F.substring("pair", i, 1)) for i in (1, 2))
+    return pairs.select(left.alias("left_id"), right.alias("right_id"), "n_uses")
 
 
 @query
@@ -603,7 +600,7 @@ def evaluate_multilabel(spark, sf_dir):
 @query
 def perplexity(spark, sf_dir):
     """From the mean loss of each document."""
-    cells = F.zip_with("scores", "truth", metrics._stable_bce)
+    cells = F.zip_with("scores", "truth", metrics.binary_cross_entropy)
     loss = F.aggregate(cells, F.lit(0.0), lambda a, x: a + x) / F.size(cells)
     return _rounded(metrics.perplexity(V.label_vectors(spark, sf_dir).select(loss.alias("loss"))))
 

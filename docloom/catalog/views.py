@@ -41,13 +41,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return scan_table(spark, f"{sf_dir}/{name}.parquet", spread_by=_TEXT_KEYS.get(name))
 
 
+def _content_and_date() -> list[Column]:
+    doc_id = F.col("doc_id")
+    content = F.when(doc_id % 50 == 7, F.lit(" \na")).otherwise(F.col("text"))
+    date = F.date_format(F.date_add(F.lit("2004-01-01").cast("date"), (doc_id % 5000).cast("int")), "yyyy-MM-dd")
+    return [content.alias("content"), date.alias("date")]
+
+
+def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, content, date)`` with near-empty documents: raw documents where labels play no part."""
+    return table(spark, sf_dir, "documents").select("doc_id", *_content_and_date())
+
+
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, content, date, buckets)`` with near-empty documents, empty sets and untidy labels."""
+    """``(doc_id, content, date, buckets)``: raw texts with empty label sets and untidy labels."""
     d = table(spark, sf_dir, "documents")
     marks = table(spark, sf_dir, "labels")
     doc_id = F.col("doc_id")
-    content = F.when(doc_id % 50 == 7, F.lit(" \na")).otherwise(F.col("text"))
-    date = F.date_format(F.date_add(F.lit("2004-01-01").cast("date"), (doc_id % 5000).cast("int")), "yyyy-MM-dd")
     buckets = F.when(doc_id % 50 == 49, F.array().cast("array<string>")).otherwise(
         F.array_compact(
             F.array(
@@ -58,9 +68,12 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     )
-    return d.join(marks, "doc_id", "left").select(
-        "doc_id", content.alias("content"), date.alias("date"), buckets.alias("buckets")
-    )
+    return d.join(marks, "doc_id", "left").select("doc_id", *_content_and_date(), buckets.alias("buckets"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, date, split, text)`` of the kept documents; no text is shuffled for it."""
+    return stages.flatten(raw_texts(spark, sf_dir), "doc_id")
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +82,8 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``prepared`` with the cleaned text."""
-    return stages.rewrite(prepared(spark, sf_dir))
+    """``texts`` with the cleaned text."""
+    return stages.rewrite(texts(spark, sf_dir))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +96,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(row_idx, doc_id, split, text, date, labels)``: ``labelled`` with the texts, for the writers."""
-    texts = raw_documents(spark, sf_dir).select("doc_id", X.newline_to_space(F.col("content")).alias("text"))
-    return labelled(spark, sf_dir).join(texts, "doc_id")
+    """``prepared`` as the writers take it, in the order of ``doc_id``."""
+    return prepared(spark, sf_dir).withColumnRenamed("doc_id", "row_idx")
 
 
 def label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,8 @@ def _string_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def _map_literal(mapping: Mapping[str, object]) -> Column:
+def map_literal(mapping: Mapping[str, object]) -> Column:
+    """A Python dict as a map column, for lookups without a join."""
     return F.create_map(*[F.lit(part) for item in mapping.items() for part in item])
 
 
@@ -42,7 +43,7 @@ def map_labels(labels: Column, mapping: Mapping[str, str], strict: bool = True)
     The lookup is a literal, so it costs no shuffle. ``strict`` fails on an unmapped label; otherwise
     such labels are dropped.
     """
-    table = _map_literal(mapping)
+    table = map_literal(mapping)
 
     def look_up(raw: Column) -> Column:
         found = F.element_at(table, fold_label(raw))
@@ -56,7 +57,7 @@ def map_labels(labels: Column, mapping: Mapping[str, str], strict: bool = True)
 
 def encode_label_ids(labels: Column, vocabulary: Sequence[str]) -> Column:
     """Set of ordinals of the folded labels; a label outside the vocabulary is an error."""
-    table = _map_literal({label: i for i, label in enumerate(vocabulary)})
+    table = map_literal({label: i for i, label in enumerate(vocabulary)})
 
     def look_up(label: Column) -> Column:
         message = F.concat(F.lit("label outside the vocabulary: "), label)

@@ -63,6 +63,11 @@ def symbol_id(char: str) -> int:
     return code - _FIRST_CHAR
 
 
+def symbol_id_of(char: Column) -> Column:
+    """:func:`symbol_id` of a byte symbol, all of which lie below the surrogate block."""
+    return F.ascii(char) - _FIRST_CHAR
+
+
 # --- counting ---------------------------------------------------------------------------------
 
 

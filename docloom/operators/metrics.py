@@ -15,8 +15,8 @@ def _ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator, denominator), F.lit(0.0))
 
 
-def _stable_bce(score: Column, truth: Column) -> Column:
-    """Binary cross-entropy of a logit."""
+def binary_cross_entropy(score: Column, truth: Column) -> Column:
+    """Binary cross-entropy of a logit, without overflow."""
     return F.greatest(score, F.lit(0.0)) - score * truth + F.log1p(F.exp(-F.abs(score)))
 
 
@@ -68,7 +68,7 @@ def subset_accuracy(df: DataFrame) -> DataFrame:
 
 def multilabel_loss(df: DataFrame) -> DataFrame:
     """Mean binary cross-entropy over all cells; ``scores`` are logits."""
-    cell = F.zip_with("scores", "truth", _stable_bce)
+    cell = F.zip_with("scores", "truth", binary_cross_entropy)
     total = F.aggregate(cell, F.lit(0.0), lambda a, x: a + x)
     return df.agg(_ratio(F.sum(total), F.sum(F.size("scores"))).alias("loss"))
 
@@ -86,7 +86,7 @@ def evaluate_multilabel(df: DataFrame) -> DataFrame:
         cells,
         F.sum("exact").alias("exact"),
         F.count(F.lit(1)).alias("cells"),
-        F.sum(_stable_bce(F.col("scores"), F.col("truth"))).alias("loss"),
+        F.sum(binary_cross_entropy(F.col("scores"), F.col("truth"))).alias("loss"),
     )
     documents = F.max(F.when(F.col("idx") == 0, F.col("cells")))
     precision, recall, f1 = _prf_columns()

@@ -12,6 +12,8 @@ from docloom.config import SplitConfig
 from docloom.operators.row_index import global_row_index
 
 _RATIO_TOLERANCE = 1e-9
+# Subset size up to which the keys are ranked by a top-k, whose result one task merges.
+_TOP_K = 100_000
 
 
 def check_ratios(config: SplitConfig) -> None:
@@ -130,7 +132,11 @@ def size_capped_subset(df: DataFrame, k: int, key: str, seed: int = 42) -> DataF
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
     rank = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    ranked = df.select(rank.alias("_rank"), F.col(key).alias("_key")).orderBy("_rank", "_key").limit(k)
+    keys = df.select(rank.alias("_rank"), F.col(key).alias("_key"))
+    if k <= _TOP_K:
+        ranked = keys.orderBy("_rank", "_key").limit(k)
+    else:
+        ranked = global_row_index(keys, ["_rank", "_key"]).where(F.col("row_idx") < k)
     last = ranked.agg(F.max(F.struct("_rank", "_key")).alias("last")).first()["last"]
     if last is None:
         return df

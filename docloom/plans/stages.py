@@ -16,6 +16,22 @@ from docloom.operators.labels import collect_vocabulary, remap_labels
 from docloom.operators.split import block_split, split_by_row_index
 
 
+def flatten(
+    documents: DataFrame, key: str = "row_idx", config: SplitConfig = SplitConfig(), dense: bool = False
+) -> DataFrame:
+    """Split, drop near-empty documents and put each text on one line; ``content`` becomes ``text``.
+
+    The split comes first, so its ratios hold before the filter. ``key`` orders the documents, and
+    ``dense`` says that it already numbers them from 0. Texts are not shuffled.
+    """
+    if dense:
+        placed = split_by_row_index(documents, config, row_idx=key)
+    else:
+        placed = block_split(documents, key, config)
+    kept = placed.where(X.has_min_content(F.col("content")))
+    return kept.withColumn("text", X.newline_to_space(F.col("content"))).drop("content")
+
+
 def prepare(
     documents: DataFrame,
     label_map: DataFrame | Mapping[str, str],
@@ -25,18 +41,8 @@ def prepare(
     fold_case: bool = True,
     dense: bool = False,
 ) -> DataFrame:
-    """Split, drop near-empty documents, flatten lines and remap labels.
-
-    The split comes first, so its ratios hold before the filter; ``key`` orders the documents, and
-    ``dense`` says that it already numbers them from 0. Result: the other columns of ``documents`` with
-    ``split``, ``text``, ``date`` and ``labels``. Texts are not shuffled.
-    """
-    if dense:
-        placed = split_by_row_index(documents, config, row_idx=key)
-    else:
-        placed = block_split(documents, key, config)
-    kept = placed.where(X.has_min_content(F.col("content")))
-    flat = kept.withColumn("text", X.newline_to_space(F.col("content"))).drop("content")
+    """:func:`flatten`, then replace the raw labels in ``buckets`` by the canonical ``labels``."""
+    flat = flatten(documents, key, config, dense)
     return remap_labels(flat, label_map, key=key, strict=strict, fold_case=fold_case)
 
 

@@ -25,7 +25,13 @@ def with_file_position(df: DataFrame, name: str = "row_idx") -> DataFrame:
         F.monotonically_increasing_id().alias("_seq"),
     )
     splits = materialize(
-        placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first")),
+        placed.groupBy("_file", "_block").agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.min("_seq").alias("_first"),
+            # Reading a column makes this pass parse the rows as the second one does: a scan of no
+            # columns would also count blank lines.
+            F.count(df.columns[0]).alias("_parsed"),
+        ),
         "file-splits",
     )
     # One row per file split, so the single-partition window is small.

@@ -23,6 +23,13 @@ def lines(folder):
     return [line for f in sorted(folder.glob("part-*")) for line in f.read_text(encoding="utf8").splitlines()]
 
 
+def test_unmapped_labels_stop_the_stage(work):
+    root, run = work
+    (root / "small.json").write_text(json.dumps({"en": "law"}), encoding="utf8")
+    with pytest.raises(SystemExit, match="unmapped labels: .*quality"):
+        run("prepare", "--input", root / "documents", "--label-map", root / "small.json", "--output", root / "x")
+
+
 def test_prepare(work):
     root, _ = work
     counts = {s: len(lines(root / "prepared" / "in" / f"split={s}")) for s in ("train", "test", "dev")}

@@ -40,6 +40,15 @@ def test_documents_from_an_array_and_from_lines(spark, tmp_path):
         ]
 
 
+def test_blank_lines_are_no_documents(spark, tmp_path):
+    for name in ("a", "b"):
+        lines = ["", *(json.dumps(d) for d in DOCS[:2]), "", json.dumps(DOCS[2]), ""]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines), encoding="utf8")
+    rows = scan_documents(spark, str(tmp_path), "jsonl").orderBy("row_idx").collect()
+    assert [r["row_idx"] for r in rows] == list(range(6))
+    assert [r["content"] for r in rows] == [d["content"] for d in DOCS] * 2
+
+
 def test_missing_documents_are_logged(spark, tmp_path, caplog):
     empty = scan_documents(spark, str(tmp_path / "none.json"))
     assert empty.count() == 0 and "does not exist" in caplog.text

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docloom.config import SplitConfig
+from docloom.operators import split
 from docloom.operators.row_index import global_row_index
 from docloom.operators.split import (
     block_bounds,
@@ -124,3 +125,10 @@ def test_subsets_are_nested_and_exact(spark):
     large = {r["id"] for r in size_capped_subset(df.coalesce(2), 100, "id").collect()}
     assert len(small) == 10 and len(large) == 100 and small < large
     assert size_capped_subset(df, 9999, "id").count() == 500
+
+
+def test_large_subsets_agree_with_small_ones(spark, monkeypatch):
+    df = spark.range(500).repartition(6)
+    by_top_k = {r["id"] for r in size_capped_subset(df, 60, "id").collect()}
+    monkeypatch.setattr(split, "_TOP_K", 10)
+    assert {r["id"] for r in size_capped_subset(df, 60, "id").collect()} == by_top_k
