@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from docloom.config import SPECIAL_TOKENS, LanguageModelConfig
 from docloom.functions import encoding as E
 from docloom.functions import patterns as P
-from docloom.session import materialize
+from docloom.session import discard, materialize, scratch_path
 
 # Pairs fetched per round; only a prefix of them can be merged in one round anyway.
 _CANDIDATES = 500
@@ -204,15 +204,18 @@ def bpe_learn(
     Every round counts the pairs on Spark and brings the most frequent ones to the driver, at most
     ``_CANDIDATES``. All pairs that provably would be merged next are merged together, so the result is
     that of one merge per round, with equal counts in id order. The word table is written to the shared
-    scratch folder now and then, without the words that have become a single symbol.
+    scratch folder now and then, without the words that have become a single symbol, and replaces the
+    table before it.
     """
+    spark = word_counts.sparkSession
     n_special = len(special_tokens)
     first_merge_id = n_special + 256
     merges: list[tuple[int, int]] = []
     pending: list[tuple[str, str]] = []
     # Few bytes but much work per row: one partition per core, whatever the size.
-    cores = word_counts.sparkSession.sparkContext.defaultParallelism
-    table = materialize(symbol_table(word_counts, n_special).repartition(cores, "symbols"), "bpe-words")
+    cores = spark.sparkContext.defaultParallelism
+    path = scratch_path(spark, "bpe-words")
+    table = materialize(symbol_table(word_counts, n_special).repartition(cores, "symbols"), "bpe-words", path)
     while first_merge_id + len(merges) < vocab_size:
         current = table.select(_apply_merges(F.col("symbols"), pending).alias("symbols"), "n_uses") if pending else table
         ranked = (
@@ -226,8 +229,11 @@ def bpe_learn(
             merges.append((symbol_id(pair[0]), symbol_id(pair[1])))
         if len(pending) >= _PENDING_MERGES:
             merged = _apply_merges(F.col("symbols"), pending).alias("symbols")
-            table = materialize(table.select(merged, "n_uses").where(F.length("symbols") > 1), "bpe-words")
+            superseded, path = path, scratch_path(spark, "bpe-words")
+            table = materialize(table.select(merged, "n_uses").where(F.length("symbols") > 1), "bpe-words", path)
+            discard(spark, superseded)
             pending = []
+    discard(spark, path)
     return BytePairModel(tuple(special_tokens), tuple(merges))
 
 

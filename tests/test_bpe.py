@@ -5,6 +5,7 @@ import pytest
 
 from docloom.config import SPECIAL_TOKENS
 from docloom.operators import bpe
+from docloom.session import discard, materialize, scratch_path
 
 TEXTS = [
     "the cat sat on the mat, don't you know? aaaa aaa <url> says <number> hi",
@@ -127,6 +128,16 @@ def test_pair_counts_of_repeated_symbols(spark):
     assert [r[0] for r in merged] == ["Xa", "ab"]
 
 
+def test_only_own_scratch_tables_are_discarded(spark, tmp_path):
+    with pytest.raises(ValueError):
+        discard(spark, str(tmp_path))
+    path = scratch_path(spark, "t")
+    assert materialize(spark.range(3), "t", path).count() == 3
+    discard(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_result_does_not_depend_on_when_the_table_is_written(texts, model, monkeypatch):
     monkeypatch.setattr(bpe, "_PENDING_MERGES", 7)
     monkeypatch.setattr(bpe, "_CANDIDATES", 3)
