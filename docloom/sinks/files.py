@@ -17,14 +17,18 @@ from docloom.sources.text_files import TSV_OPTIONS
 ROWS_PER_FILE = 100_000
 
 
-def _in_order(df: DataFrame) -> DataFrame:
+def last_position(df: DataFrame) -> int:
+    """The largest ``row_idx``, 0 without rows."""
+    return df.agg(F.max("row_idx")).first()[0] or 0
+
+
+def _in_order(df: DataFrame, last: int | None) -> DataFrame:
     """Rows by position over the files and inside them.
 
     The file of a row follows from its position, so there is one shuffle without the sampling pass of a
     global sort, and no task holds more than one range of positions.
     """
-    last = df.agg(F.max("row_idx")).first()[0]
-    rows = 1 if last is None else last + 1
+    rows = (last_position(df) if last is None else last) + 1
     cores = df.sparkSession.sparkContext.defaultParallelism
     files = max(-(-rows // ROWS_PER_FILE), min(cores, rows))
     # Whole-number arithmetic in this order stays below 2**63 for any realistic corpus.
@@ -40,16 +44,16 @@ def _write_tsv(df: DataFrame, path: str, compression: str | None) -> None:
     writer.csv(path)
 
 
-def write_inputs(df: DataFrame, path: str, compression: str | None = None) -> None:
-    """Text and date of each row, a folder per split."""
+def write_inputs(df: DataFrame, path: str, compression: str | None = None, last: int | None = None) -> None:
+    """Text and date of each row, a folder per split. ``last`` spares the search for the last position."""
     fields = [F.coalesce(c, F.lit("")).alias(c) for c in ("text", "date")]
-    _write_tsv(_in_order(df.select("split", "row_idx", *fields)), path, compression)
+    _write_tsv(_in_order(df.select("split", "row_idx", *fields), last), path, compression)
 
 
-def write_expected(df: DataFrame, path: str, compression: str | None = None) -> None:
+def write_expected(df: DataFrame, path: str, compression: str | None = None, last: int | None = None) -> None:
     """The joined label set of each row, a folder per split."""
     labels = join_labels(F.col("labels")).alias("labels")
-    _write_tsv(_in_order(df.select("split", "row_idx", labels)), path, compression)
+    _write_tsv(_in_order(df.select("split", "row_idx", labels), last), path, compression)
 
 
 def write_tsv_pair(df: DataFrame, path: str, compression: str | None = None) -> None:
@@ -58,8 +62,9 @@ def write_tsv_pair(df: DataFrame, path: str, compression: str | None = None) ->
     The labels are ordered on their own: they are narrow, so that is cheaper than holding the texts
     between the two files.
     """
-    write_inputs(df, f"{path}/in", compression)
-    write_expected(df, f"{path}/expected", compression)
+    last = last_position(df)
+    write_inputs(df, f"{path}/in", compression, last)
+    write_expected(df, f"{path}/expected", compression, last)
 
 
 def write_gzip(df: DataFrame, path: str) -> None:
@@ -72,7 +77,7 @@ def write_text_lines(
 ) -> None:
     """One record per line, a folder per split."""
     column = F.col(value) if isinstance(value, str) else value
-    rows = _in_order(df.select("split", "row_idx", column.alias("value")))
+    rows = _in_order(df.select("split", "row_idx", column.alias("value")), None)
     writer = rows.write.mode("overwrite").partitionBy("split").option("lineSep", "\n")
     if compression:
         writer = writer.option("compression", compression)

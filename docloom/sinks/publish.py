@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom import config
 from docloom.functions.labels import join_labels
 from docloom.functions.text import strip_cr
-from docloom.sinks.files import write_expected, write_inputs, write_text_lines
+from docloom.sinks.files import last_position, write_expected, write_inputs, write_text_lines
 
 
 def publish_view(df: DataFrame, public: bool = True, withheld: str = "test") -> DataFrame:
@@ -45,10 +45,11 @@ def publish_layout(
     array) adds an ``out`` folder.
     """
     view = publish_view(df, public)
-    write_inputs(view, f"{path}/in", "gzip")
+    last = last_position(df)
+    write_inputs(view, f"{path}/in", "gzip", last)
     shown = view.where(F.col("labels").isNotNull())
     # The writer joins label arrays; a one-element array is written as it is.
-    write_expected(shown.withColumn("labels", F.array("labels")), f"{path}/expected", "gzip")
+    write_expected(shown.withColumn("labels", F.array("labels")), f"{path}/expected", "gzip", last)
     if predictions is not None:
         out = publish_view(predictions.withColumns({"text": F.lit(""), "date": F.lit("")}), public=False)
         write_text_lines(out, "labels", f"{path}/out", "gzip")
