@@ -14,6 +14,7 @@ from docloom.operators.split import split_by_row_index
 from docloom.plans import stages
 from docloom.sources import scan_table
 
+# The canonical labels, one of them capitalised on purpose.
 CANONICAL = (
     "agriculture work_and_employment Education taxes industry european_union law "
     "state_public_authorities economy environment foreign_policy science_research_and_technology "

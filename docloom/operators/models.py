@@ -148,8 +148,7 @@ def predict_multilabel(
         current = one.transform(current.select(*kept)).withColumn(f"_score{i}", score)
         kept.append(f"_score{i}")
         scores.append(F.col(f"_score{i}"))
-    bounded = [F.greatest(F.least(s, F.lit(1e6)), F.lit(-1e6)) for s in scores]
-    out = current.select(*df.columns, F.array(*bounded).alias("scores"))
+    out = current.select(*df.columns, F.array(*scores).alias("scores"))
     pred = L.threshold_scores(F.col("scores"), threshold, apply_sigmoid)
     return out.withColumn("pred", pred).withColumn("pred_labels", L.decode_labels(F.col("pred"), model.vocabulary))
 

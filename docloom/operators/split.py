@@ -12,6 +12,8 @@ from docloom.config import SplitConfig
 from docloom.operators.row_index import global_row_index
 
 _RATIO_TOLERANCE = 1e-9
+# Parts up to which a split is a projection over the block ends.
+MAX_CUT_PARTS = 100
 # Subset size up to which the keys are ranked by a top-k, whose result one task merges.
 _TOP_K = 100_000
 
@@ -24,6 +26,12 @@ def check_ratios(config: SplitConfig) -> None:
         raise ValueError(f"parts must be at least 1, got {config.parts}")
 
 
+def _block_sizes(n: int, config: SplitConfig) -> list[tuple[str, int]]:
+    """Rows of the train, test and dev block of one part, rounded half to even."""
+    ratios = (("train", config.train), ("test", config.test), ("dev", config.dev))
+    return [(split, round(n * (ratio / config.parts))) for split, ratio in ratios]
+
+
 def block_bounds(n: int, config: SplitConfig = SplitConfig()) -> list[tuple[str, int]]:
     """Consecutive blocks as ``(split, exclusive end)``; the last block ends at ``n``.
 
@@ -31,10 +39,7 @@ def block_bounds(n: int, config: SplitConfig = SplitConfig()) -> list[tuple[str,
     ``n``, and rows after the last part go to train.
     """
     check_ratios(config)
-    per_part = [
-        (split, round(n * (ratio / config.parts)))
-        for split, ratio in (("train", config.train), ("test", config.test), ("dev", config.dev))
-    ]
+    per_part = _block_sizes(n, config)
     bounds: list[tuple[str, int]] = []
     end = 0
     for _ in range(config.parts):
@@ -49,9 +54,23 @@ def block_bounds(n: int, config: SplitConfig = SplitConfig()) -> list[tuple[str,
 def split_by_row_index(
     df: DataFrame, config: SplitConfig = SplitConfig(), n: int | None = None, row_idx: str = "row_idx"
 ) -> DataFrame:
-    """Add ``split`` to rows that already carry a dense 0-based index; no shuffle."""
-    bounds = block_bounds(df.count() if n is None else n, config)
-    return df.withColumn("split", _first_block(bounds, lambda end: F.col(row_idx) < end))
+    """Add ``split`` to rows that already carry a dense 0-based index; no shuffle.
+
+    The block follows from the place inside the part, so the number of parts costs nothing.
+    """
+    check_ratios(config)
+    (_, train), (_, test), (_, dev) = _block_sizes(df.count() if n is None else n, config)
+    per_part = train + test + dev
+    if per_part == 0:
+        return df.withColumn("split", F.lit("train"))
+    position = F.col(row_idx)
+    place = position % per_part
+    split = (
+        F.when((position >= per_part * config.parts) | (place < train), F.lit("train"))
+        .when(place < train + test, F.lit("test"))
+        .otherwise(F.lit("dev"))
+    )
+    return df.withColumn("split", split)
 
 
 @dataclass(frozen=True)
@@ -86,11 +105,13 @@ def _first_block(blocks: Sequence[tuple[str, object]], reaches) -> Column:
     """The name of the first block whose end the row does not exceed."""
     if not blocks:
         return F.lit(None).cast("string")
+    if len(blocks) == 1:
+        return F.lit(blocks[0][0])
+    column = F
+    for name, end in blocks[:-1]:
+        column = column.when(reaches(end), F.lit(name))
     # The last block needs no condition: it takes whatever is left.
-    column = F.lit(blocks[-1][0])
-    for name, end in reversed(blocks[:-1]):
-        column = F.when(reaches(end), F.lit(name)).otherwise(column)
-    return column
+    return column.otherwise(F.lit(blocks[-1][0]))
 
 
 def split_cuts(
@@ -116,8 +137,15 @@ def split_cuts(
 def block_split(
     df: DataFrame, order_by: str | Sequence[str], config: SplitConfig = SplitConfig()
 ) -> DataFrame:
-    """Add ``split`` (train, test or dev) by position in the order of the unique, non-null ``order_by``."""
-    return df.withColumn("split", split_cuts(df, order_by, config).column())
+    """Add ``split`` (train, test or dev) by position in the order of the unique, non-null ``order_by``.
+
+    With more parts than a projection can spell out, the rows are joined with their numbered keys.
+    """
+    if config.parts <= MAX_CUT_PARTS:
+        return df.withColumn("split", split_cuts(df, order_by, config).column())
+    columns = [order_by] if isinstance(order_by, str) else list(order_by)
+    keys = split_by_row_index(global_row_index(df.select(*columns), columns), config)
+    return df.join(keys.select(*columns, "split"), columns)
 
 
 def split_sizes(df: DataFrame) -> DataFrame:

@@ -93,6 +93,17 @@ def test_cuts_agree_with_positions(spark, n):
     assert by_key == by_index and len(by_key) == n
 
 
+@pytest.mark.parametrize("n, parts", [(1000, 7), (1000, 90), (1003, 250), (40, 101), (3, 150)])
+def test_many_parts(spark, n, parts):
+    config = SplitConfig(parts=parts)
+    spread, start = [], 0
+    for name, end in block_bounds(n, config):
+        spread += [name] * (end - start)
+        start = end
+    rows = block_split(spark.range(n).repartition(3), "id", config).collect()
+    assert [r["split"] for r in sorted(rows, key=lambda r: r["id"])] == spread
+
+
 def test_cuts_on_two_columns_and_as_predicate(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("a"), F.hex("id").alias("b"))
     cuts = split_cuts(df, ["a", "b"])
