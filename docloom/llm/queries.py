@@ -11,8 +11,10 @@ from docloom.llm.line_dedup import line_dedup
 from docloom.llm.oracle import ORACLE_SQL
 from docloom.llm.piece_encoding import round_trip
 from docloom.llm.pieces import load_model
+from docloom.llm.quality import sampled
 from docloom.llm.simhash import near_duplicates
 from docloom.llm.token_counts import token_counts
+from docloom.llm.toxicity import toxicity
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -31,6 +33,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_quality(spark, sf_dir):
+    """The documents drawn by importance resampling; those that are missing are rejected."""
+    return sampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_token_counts(spark, sf_dir):
     """Characters, pre-tokens and tokens of every document."""
@@ -46,6 +54,12 @@ def op5_piece_encoding(spark, sf_dir):
     return round_trip(_table(spark, sf_dir, "documents"), load_model(PIECE_MODEL))
 
 
+@query
+def op6_toxicity(spark, sf_dir):
+    """Category probabilities and the toxic flag of every document."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     """Every document without the lines of repeated three-line windows."""
