@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.decontamination import contamination
+from docloom.llm.hmm import lm_scores
 from docloom.llm.line_dedup import line_dedup
 from docloom.llm.oracle import ORACLE_SQL
 from docloom.llm.piece_encoding import round_trip
@@ -60,6 +61,12 @@ def op6_toxicity(spark, sf_dir):
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@query
+def op7_hmm_scores(spark, sf_dir):
+    """Unigram and hidden Markov scores of every document."""
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     """Every document without the lines of repeated three-line windows."""
