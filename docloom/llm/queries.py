@@ -13,6 +13,7 @@ from docloom.llm.oracle import ORACLE_SQL
 from docloom.llm.piece_encoding import round_trip
 from docloom.llm.pieces import load_model
 from docloom.llm.quality import sampled
+from docloom.llm.secret_scan import secrets
 from docloom.llm.simhash import near_duplicates
 from docloom.llm.token_counts import token_counts
 from docloom.llm.toxicity import toxicity
@@ -34,6 +35,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_secrets(spark, sf_dir):
+    """Fixed and learned secret spans of every document."""
+    return secrets(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_quality(spark, sf_dir):
     """The documents drawn by importance resampling; those that are missing are rejected."""
