@@ -30,7 +30,8 @@ COMMIT_EVERY = 64
 class StreamingViterbi:
     """Ids of a normalised text fed in parts: :meth:`feed` returns what has become final, :meth:`finish` the rest.
 
-    Between calls it holds at most the uncommitted places and the characters after them.
+    A place's best step is one of the pieces that end there, so it is settled as soon as its character has
+    come. Between calls only the places after the last committed boundary are held.
     """
 
     def __init__(self, model: PieceModel) -> None:
@@ -38,75 +39,85 @@ class StreamingViterbi:
         self._reset()
 
     def _reset(self) -> None:
-        self.text, self.at = "", 0
-        # Per place: the piece that ends there (None: not reached), where it starts, and the best score.
+        self.text = ""
+        # Per place: the piece that ends there, where it starts, and the best score; place 0 is the boundary.
         self.piece, self.start, self.score = [-1], [0], [0.0]
 
     def feed(self, part: str) -> list[int]:
-        self._extend(part)
-        return self._advance(len(self.text) - self.model.longest + 1)
-
-    def finish(self, part: str = "") -> list[int]:
-        self._extend(part)
-        out = self._advance(len(self.text))
-        out += self._path(len(self.text))
-        self._reset()
-        return out
-
-    def _extend(self, part: str) -> None:
-        self.text += part
-        self.piece += [None] * len(part)
-        self.start += [0] * len(part)
-        self.score += [0.0] * len(part)
-
-    def _advance(self, stop: int) -> list[int]:
-        """Follow every piece that starts at a reached place before ``stop``; commit what has become final."""
         out: list[int] = []
-        model, longest, unigram = self.model, self.model.longest, self.model.unigram
-        scores, stands, verdict_of, width = model.scores, model.stands, model.pairs.get, len(model.pieces)
-        while self.at < stop:
-            i, piece, start = self.at, self.piece, self.start
-            self.at += 1
-            left = piece[i]
-            if left is not None:
-                nodes, end, base, single = model.forward, i, left * width, False
-                for c in self.text[i : i + longest]:
-                    node = nodes.get(c)
-                    if node is None:
-                        break
-                    nodes, right = node
-                    end += 1
-                    if right is None:
-                        continue
-                    if end == i + 1:
-                        single = True
-                    if unigram:
-                        self._reach(end, right, i, self.score[i] + scores[right])
-                    elif piece[end] is None:
-                        # One path at most reaches a place, so a reached place needs no other step.
-                        verdict = verdict_of(base + right)
-                        if verdict or verdict is None and stands(left, right):
-                            piece[end], start[end] = right, i
-                if not single:
-                    self._reach(i + 1, -1, i, self.score[i] + model.worst if unigram else 0.0)
-            if self.at >= COMMIT_EVERY and (boundary := self._common()):
+        for at in range(0, len(part), COMMIT_EVERY):
+            self._settle(self.text + part[at : at + COMMIT_EVERY])
+            if boundary := self._common():
                 out += self._path(boundary)
-                stop -= boundary
                 self._forget(boundary)
         return out
 
-    def _reach(self, j: int, piece: int, start: int, score: float) -> None:
-        if self.piece[j] is None or score > self.score[j]:
-            self.piece[j], self.start[j], self.score[j] = piece, start, score
+    def finish(self) -> list[int]:
+        out = self._path(len(self.text))
+        self._reset()
+        return out
+
+    def whole(self, text: str) -> list[int]:
+        """Ids of a short text, from the places that it shares with the text before."""
+        before, same = self.text, 0
+        for a, b in zip(before, text):
+            if a != b:
+                break
+            same += 1
+        del self.piece[same + 1 :], self.start[same + 1 :], self.score[same + 1 :]
+        self._settle(text)
+        return self._path(len(text))
+
+    def _settle(self, text: str) -> None:
+        """Find the best step to every place of ``text`` that has none yet."""
+        self.text = text
+        (self._settle_scores if self.model.unigram else self._settle_pairs)(text)
+
+    def _settle_pairs(self, text: str) -> None:
+        """Byte-pair vocabulary: the one piece that stands beside the piece before it."""
+        piece, start, model = self.piece, self.start, self.model
+        last, stands, verdict_of, width = model.backward, model.stands, model.pairs.get, len(model.pieces)
+        for end in range(len(piece), len(text) + 1):
+            nodes, begin = last, end
+            while begin and (node := nodes.get(text[begin - 1])) is not None:
+                nodes, right = node
+                begin -= 1
+                if right is not None:
+                    left = piece[begin]
+                    verdict = verdict_of(left * width + right)
+                    if verdict or verdict is None and stands(left, right):
+                        piece.append(right)
+                        start.append(begin)
+                        break
+            else:
+                piece.append(-1)
+                start.append(end - 1)
+
+    def _settle_scores(self, text: str) -> None:
+        """Unigram vocabulary: the best sum of scores, the longest piece among equals."""
+        piece, start, score, model = self.piece, self.start, self.score, self.model
+        for end in range(len(piece), len(text) + 1):
+            nodes, begin, best = model.backward, end, None
+            if text[end - 1] not in model.ids:
+                best = (score[end - 1] + model.worst, -1, end - 1)
+            while begin and (node := nodes.get(text[begin - 1])) is not None:
+                nodes, right = node
+                begin -= 1
+                if right is not None and (best is None or score[begin] + model.scores[right] >= best[0]):
+                    best = (score[begin] + model.scores[right], right, begin)
+            score.append(best[0])
+            piece.append(best[1])
+            start.append(best[2])
 
     def _common(self) -> int:
-        """The last boundary that every surviving path shares: those of the places a step may still start from."""
-        ends = {j for j in range(self.at, min(len(self.text), self.at + self.model.longest) + 1) if self.piece[j] is not None}
+        """The last boundary shared by all surviving paths: those to the places that a new piece may start from."""
+        n = len(self.text)
+        ends = set(range(max(0, n - self.model.longest + 1), n + 1))
         while len(ends) > 1:
             last = max(ends)
             ends.remove(last)
             ends.add(self.start[last])
-        return ends.pop() if ends else 0
+        return ends.pop()
 
     def _path(self, end: int) -> list[int]:
         ids: list[int] = []
@@ -118,38 +129,43 @@ class StreamingViterbi:
 
     def _forget(self, boundary: int) -> None:
         """Make ``boundary`` place 0; the piece before it stays, as the next one has to stand beside it."""
-        base = self.score[boundary]
-        self.piece, self.text, self.at = self.piece[boundary:], self.text[boundary:], self.at - boundary
+        self.piece, self.text = self.piece[boundary:], self.text[boundary:]
         self.start = [max(0, i - boundary) for i in self.start[boundary:]]
-        self.score = [x - base for x in self.score[boundary:]]
+        if self.model.unigram:
+            self.score = [x - self.score[boundary] for x in self.score[boundary:]]
 
 
-class PieceEncoder:
-    """Encodes texts; remembers the ids of short chunks, within a bound."""
+class PieceEncoder(dict):
+    """Chunk -> ids, of short chunks and within a bound; encodes texts with it."""
 
     def __init__(self, model: PieceModel) -> None:
+        super().__init__()
         self.model, self.search = model, StreamingViterbi(model)
-        self.memo: dict[str, tuple[int, ...]] = {}
 
     def stream(self, parts: Iterable[str]) -> Iterator[int]:
         """Ids of a normalised text given in parts, without holding the text."""
+        search = StreamingViterbi(self.model)
         for part in parts:
-            yield from self.search.feed(part)
-        yield from self.search.finish()
-
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = self.memo.get(chunk)
-        if ids is None:
-            if len(chunk) > MEMO_CHARS:
-                return tuple(self.stream(chunk[i : i + 4096] for i in range(0, len(chunk), 4096)))
-            ids = tuple(self.search.finish(chunk))
-            if len(self.memo) >= MEMO_CHUNKS:
-                self.memo.clear()
-            self.memo[chunk] = ids
+            yield from search.feed(part)
+        yield from search.finish()
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        if len(chunk) > MEMO_CHARS:
+            return tuple(self.stream([chunk]))
+        ids = self[chunk] = tuple(self.search.whole(chunk))
         return ids
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of every text. New chunks are searched in order, so that neighbours share their first places."""
+        chunks = [self.model.chunks(t) for t in texts]
+        if len(self) >= MEMO_CHUNKS:
+            self.clear()
+        for chunk in sorted({c for found in chunks for c in found if c not in self and len(c) <= MEMO_CHARS}):
+            self[chunk] = tuple(self.search.whole(chunk))
+        return [list(chain.from_iterable(map(self.__getitem__, found))) for found in chunks]
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.chunk, self.model.chunks(text))))
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[int, PieceEncoder] = {}
@@ -176,7 +192,7 @@ def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared)
         for batch in batches:
-            rows = [encoder.encode(t) for t in batch.column("text").to_pylist()]
+            rows = encoder.encode_all(batch.column("text").to_pylist())
             offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
             values = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
             yield pa.RecordBatch.from_arrays(
@@ -215,7 +231,7 @@ def round_trip(docs: DataFrame, model: PieceModel, key: str = "doc_id") -> DataF
         encoder = worker_encoder(shared)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            rows = [encoder.encode(t) for t in texts]
+            rows = encoder.encode_all(texts)
             decoded = list(map(encoder.model.decode, rows))
             offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
             values = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))

@@ -38,8 +38,8 @@ class PieceModel:
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - _UNKNOWN_PENALTY
         # Pieces that hold a space mark after another character would tie words together.
         self.splits = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
-        # Tries over the pieces and over the reversed pieces: character -> (next characters, id or None).
-        self.forward, self.backward = _trie(self.ids), _trie({p[::-1]: i for p, i in self.ids.items()})
+        # Trie over the reversed pieces: character -> (characters before it, id or None).
+        self.backward = _trie({p[::-1]: i for p, i in self.ids.items()})
         self.byte_of = {i: b for b, i in enumerate(self.bytes_from)}
         self.pairs: dict[int, bool] = {}
 

@@ -40,8 +40,7 @@ class CountingTrie(dict):
     def __missing__(self, token: str) -> int:
         if len(token) > MAX_CHARS:
             search = StreamingViterbi(self.model)
-            parts = (token[i : i + 4096] for i in range(0, len(token), 4096))
-            return sum(len(search.feed(part)) for part in parts) + len(search.finish())
+            return len(search.feed(token)) + len(search.finish())
         if len(self.piece) + len(self) >= self.max_nodes:
             self._clear()
         path, child = [0], self.child
