@@ -17,6 +17,7 @@ from docloom.llm.secret_scan import secrets
 from docloom.llm.simhash import near_duplicates
 from docloom.llm.token_counts import token_counts
 from docloom.llm.toxicity import toxicity
+from docloom.llm.winnowing import edited_fingerprints
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -47,6 +48,12 @@ def op2_quality(spark, sf_dir):
     return sampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_winnowing(spark, sf_dir):
+    """Fingerprints of every text and of its edited text."""
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_token_counts(spark, sf_dir):
     """Characters, pre-tokens and tokens of every document."""
