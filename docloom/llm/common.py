@@ -34,11 +34,9 @@ def uniform(*columns: str | Column, seed: int = 0) -> Column:
 
 
 def stable_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """At most about ``n`` rows: those whose key hashes below the ``n``-th smallest hash.
+    """About ``n`` rows, or all if there are no more: those whose key hashes below ``n`` in the row count.
 
-    Only keys are ranked, by a top-``n``; rows are then taken by comparing their hash, so no text takes
-    part in a sort. Rows of one key go together.
+    The number varies by its root only, and nothing is sorted. Rows of one key go together.
     """
-    rank = F.xxhash64(F.lit(seed), F.col(key))
-    last = df.select(rank.alias("rank")).orderBy("rank").limit(n).agg(F.max("rank").alias("last")).first()["last"]
-    return df.where(F.lit(False)) if last is None else df.where(rank <= last)
+    total = df.count()
+    return df if total <= n else df.where(uniform(key, seed=seed) < n / total)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import vp_tree
-from docloom.llm.common import text_bytes
+from docloom.llm.common import stable_sample, text_bytes
 from docloom.llm.components import connected_components
 from docloom.session import materialize
 
@@ -81,8 +81,8 @@ def fingerprint_links(distinct: DataFrame, limit: int = MAX_DISTANCE, blocks: in
     spark = distinct.sparkSession
     masks, reach = _masks(blocks), limit // blocks
     n = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp")).limit(TREE_SAMPLE).collect()
-    points = np.array([row["fp"] for row in sample], np.int64).view(np.uint64)
+    sample = stable_sample(distinct.select("fp"), TREE_SAMPLE, "fp").collect()
+    points = np.sort(np.array([row["fp"] for row in sample], np.int64).view(np.uint64))
     # The share of the sample that a shard of the wanted size holds.
     leaf_size = max(16.0, len(points) * shard_size / max(1, n))
     trees = [vp_tree.build(points, mask, reach, leaf_size)[0] for mask in masks]
@@ -129,3 +129,17 @@ def near_duplicates(
     named = grouped.join(names, "group").select(F.col("fp").alias("named_fp"), "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(named, F.col("fp") == F.col("named_fp")).select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, limit: int = MAX_DISTANCE) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest doc_id.
+
+    Only the ids of documents that go are joined. Of rows that repeat a doc_id one stays, the one with the
+    smallest hash of its text; if all ids of a component are null, one of its rows stays likewise. All columns
+    pass through.
+    """
+    found = near_duplicates(docs, size, limit).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = found.select(F.col("doc_id").alias("gone_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    kept = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
