@@ -97,15 +97,15 @@ def _mark(index: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             n_words.append(len(words))
             hits.append(np.union1d(old_hits, new_hits).astype(np.int32) if old_hits else new_hits)
             items.append(sorted(new_items.union(old_items)))
-        columns = [batch.column("row"), batch.column("body"), pa.array(n_words, pa.int64())]
+        columns = [batch.column("_given"), batch.column("body"), pa.array(n_words, pa.int64())]
         columns += [pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", "body", "n_words", "hits", "items"])
+        yield pa.RecordBatch.from_arrays(columns, names=["_given", "body", "n_words", "hits", "items"])
 
 
 def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(row, body, n_words, hits, items)``: the whole row, its text's bytes and the hit word positions."""
     marked = docs.select(
-        F.struct("*").alias("row"),
+        F.struct("*").alias("_given"),
         text_bytes().alias("body"),
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<int>").alias("hits"),
@@ -126,7 +126,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """
     marked = mark_hits(docs.select("doc_id", "text"), benchmark, window, block_bytes)
     return marked.select(
-        F.col("row.doc_id").alias("doc_id"),
+        F.col("_given.doc_id").alias("doc_id"),
         "n_words",
         F.size("hits").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -150,7 +150,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     end = words[h][1]
                 body = b"".join([*pieces, body[end:]])
             kept.append(body)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary())], names=["row", "body"])
+        yield pa.RecordBatch.from_arrays([batch.column("_given"), pa.array(kept, pa.binary())], names=["_given", "body"])
 
 
 def decontaminate(
@@ -165,11 +165,11 @@ def decontaminate(
         raise ValueError(f"remove must be documents or spans, got {remove!r}")
     marked = mark_hits(docs, benchmark, window, block_bytes)
     if remove == "documents":
-        return marked.where(F.size("hits") == 0).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
-    row, body = marked.schema["row"], T.StructField("body", T.BinaryType())
-    hit = F.col("row").getField("text")
-    clean = marked.select("row", "body", "hits").mapInArrow(_cut, T.StructType([row, body]))
-    text = F.when(hit.isNotNull(), F.decode("body", F.lit("UTF-8")))
-    return clean.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+        return marked.where(F.size("hits") == 0).select(*[F.col("_given").getField(c).alias(c) for c in docs.columns])
+    row, body = marked.schema["_given"], T.StructField("body", T.BinaryType())
+    hit = F.col("_given").getField("text")
+    clean = marked.select("_given", "body", "hits").mapInArrow(_cut, T.StructType([row, body]))
+    text = F.when(hit.isNotNull(), F.decode("body", "UTF-8"))
+    return clean.select(*[text.alias(c) if c == "text" else F.col("_given").getField(c).alias(c) for c in docs.columns])
 
 

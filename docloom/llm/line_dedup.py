@@ -61,11 +61,11 @@ def line_dedup(docs: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
         .agg(F.collect_set("at").alias("starts"))
         .select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), "starts")
     )
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("own_hash"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("key_id")) & (F.col("own_hash") == F.col("key_hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("_given"), F.xxhash64("text").alias("own_hash"))
+    same = F.col("_given.doc_id").eqNullSafe(F.col("key_id")) & (F.col("own_hash") == F.col("key_hash"))
     joined = rows.join(covered, same, "left")
 
-    text = F.col("row.text")
+    text = F.col("_given.text")
     lines = F.split(text, "\n")
     removed = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1)))))
     inside = F.filter(removed, lambda i: i < F.size(lines))
@@ -74,7 +74,7 @@ def line_dedup(docs: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
     kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     fixed = joined.withColumn("covered", inside)
     clean = F.when(F.col("covered").isNull(), text).otherwise(kept)
-    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    others = [F.col("_given").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return fixed.select(
         *others,
         clean.alias("text"),

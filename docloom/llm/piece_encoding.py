@@ -211,12 +211,12 @@ def decode(encoded: DataFrame, model: PieceModel, ids: str = "ids", name: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if i is None else shared.value.decode(i) for i in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("_given"), pa.array(texts, pa.string())], names=["_given", "text"])
 
-    rows = encoded.select(F.struct("*").alias("row"), F.col(ids).alias("ids"))
-    schema = rows.select("row", F.lit("").alias("text")).schema
+    rows = encoded.select(F.struct("*").alias("_given"), F.col(ids).alias("ids"))
+    schema = rows.select("_given", F.lit("").alias("text")).schema
     done = rows.mapInArrow(run, schema)
-    kept = [F.col("row").getField(c).alias(c) for c in encoded.columns if c != name]
+    kept = [F.col("_given").getField(c).alias(c) for c in encoded.columns if c != name]
     return done.select(*kept, F.col("text").alias(name))
 
 

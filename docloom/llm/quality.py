@@ -95,7 +95,7 @@ def _with_weight(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weights = [model.value.log_weight(b) for b in batch.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(weights, pa.float64())], names=["row", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("_given"), pa.array(weights, pa.float64())], names=["_given", "log_weight"])
 
     return run
 
@@ -103,8 +103,8 @@ def _with_weight(model) -> object:
 def weighted(rows: DataFrame, body: Column, model: QualityModel, leave: tuple[str, ...] = ()) -> DataFrame:
     """``(row, log_weight)``: the columns of ``rows`` but those in ``leave``, and the weight of ``body``."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    given = rows.select(F.struct(*[c for c in rows.columns if c not in leave]).alias("row"), body.alias("body"))
-    return given.mapInArrow(_with_weight(shared), given.select("row", F.lit(0.0).alias("log_weight")).schema)
+    given = rows.select(F.struct(*[c for c in rows.columns if c not in leave]).alias("_given"), body.alias("body"))
+    return given.mapInArrow(_with_weight(shared), given.select("_given", F.lit(0.0).alias("log_weight")).schema)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, recall: float = RECALL) -> QualityModel:
@@ -150,7 +150,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, **options
     model = fit_quality(docs, labels, **options)
     weights = weighted(docs.select("doc_id", "text"), text_bytes(), model, leave=("text",))
     scored = materialize(
-        weights.select(F.col("row.doc_id").alias("doc_id"), "log_weight", (F.col("log_weight") + gumbel("row.doc_id")).alias("noisy")),
+        weights.select(F.col("_given.doc_id").alias("doc_id"), "log_weight", (F.col("log_weight") + gumbel("_given.doc_id")).alias("noisy")),
         "weights",
     )
     if k is None:
@@ -183,6 +183,6 @@ def keep_quality(docs: DataFrame, labels: DataFrame, k: int | None = None, **opt
     drawn = resample(docs, labels, k, **options)
     if drawn.cut is None:
         return docs
-    noisy = F.col("log_weight") + gumbel("row.doc_id")
+    noisy = F.col("log_weight") + gumbel("_given.doc_id")
     kept = weighted(docs, text_bytes(), drawn.model).where(noisy >= drawn.cut)
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.select(*[F.col("_given").getField(c).alias(c) for c in docs.columns])

@@ -58,7 +58,7 @@ def _fingerprints(size: int):
         for batch in batches:
             values = np.array([fingerprint(t, size) for t in batch.column("body").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(values.view(np.int64), pa.int64())], names=["row", "fp"]
+                [batch.column("_given"), pa.array(values.view(np.int64), pa.int64())], names=["_given", "fp"]
             )
 
     return of
@@ -66,8 +66,8 @@ def _fingerprints(size: int):
 
 def fingerprints(rows: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """``(row, fp)``: all columns but the text, and the fingerprint as a signed long. Null text: no words."""
-    narrow = rows.select(F.struct(*[c for c in rows.columns if c != "text"]).alias("row"), text_bytes().alias("body"))
-    schema = narrow.select("row", F.lit(0).cast("long").alias("fp")).schema
+    narrow = rows.select(F.struct(*[c for c in rows.columns if c != "text"]).alias("_given"), text_bytes().alias("body"))
+    schema = narrow.select("_given", F.lit(0).cast("long").alias("fp")).schema
     return narrow.mapInArrow(_fingerprints(size), schema)
 
 
@@ -119,7 +119,7 @@ def near_duplicates(
     named by the smallest doc_id reachable. Ties and repeated rows share a component, each with its own
     row; a null doc_id never names a component unless all its members are null. Other columns are ignored.
     """
-    marked = materialize(fingerprints(docs.select("doc_id", "text"), size).select("row.doc_id", "fp"), "fingerprints")
+    marked = materialize(fingerprints(docs.select("doc_id", "text"), size).select("_given.doc_id", "fp"), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     nodes = connected_components(fingerprint_links(distinct, limit, blocks, shard_size))
     grouped = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select(
@@ -140,6 +140,6 @@ def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, limit: int
     """
     found = near_duplicates(docs, size, limit).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = found.select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"))
-    kept = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("_given"))
+    kept = rows.join(gone, F.col("_given.doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return kept.select(*[F.col("_given").getField(c).alias(c) for c in docs.columns])
