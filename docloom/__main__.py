@@ -33,9 +33,11 @@ def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
     label_map = scan_label_map(spark, args.label_map)
     if not args.lenient:
         # A report of everything that is missing beats the failure on the first such label.
-        missing = unmapped_labels(documents, label_map).orderBy(F.desc("n_uses"), "raw").limit(50).collect()
-        if missing:
-            raise SystemExit("unmapped labels: " + ", ".join(f"{r['raw']} ({r['n_uses']})" for r in missing))
+        missing = unmapped_labels(documents, label_map).orderBy(F.desc("n_uses"), "raw")
+        shown = [f"{r['raw']} ({r['n_uses']})" for r in missing.limit(50).collect()]
+        if shown:
+            more = missing.count() - len(shown)
+            raise SystemExit("unmapped labels: " + ", ".join(shown) + (f" and {more} more" if more else ""))
     rows = stages.prepare(documents, label_map, config=config, strict=not args.lenient, dense=True)
     rows.write.mode("overwrite").partitionBy("split").parquet(f"{args.output}/parquet")
     stored = spark.read.parquet(f"{args.output}/parquet")
@@ -87,7 +89,8 @@ def predict(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.output:
         labelled.write.mode("overwrite").json(args.output)
     else:
-        labelled.show(100, truncate=80)
+        for row in labelled.toLocalIterator():
+            print(f"{row['text']}\t{row['labels']}")
 
 
 def describe(spark: SparkSession, args: argparse.Namespace) -> None:

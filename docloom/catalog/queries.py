@@ -233,7 +233,7 @@ def strip_cr(spark, sf_dir):
 @query
 def remap_labels(spark, sf_dir):
     raw = V.raw_documents(spark, sf_dir).select("doc_id", "buckets")
-    return labels.remap_labels(raw, V.LABEL_MAP, key="doc_id").select("doc_id", _joined("labels").alias("labels"))
+    return labels.remap_labels(raw, V.LABEL_MAP).select("doc_id", _joined("labels").alias("labels"))
 
 
 @query

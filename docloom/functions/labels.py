@@ -82,6 +82,6 @@ def sigmoid(scores: Column) -> Column:
 
 
 def threshold_scores(scores: Column, threshold: float = 0.5, apply_sigmoid: bool = False) -> Column:
-    """1 where the score reaches the threshold. Scores are taken as given unless told otherwise."""
+    """1 where the score reaches the threshold, 0 for NaN. Scores are taken as given unless told otherwise."""
     values = sigmoid(scores) if apply_sigmoid else scores
-    return F.transform(values, lambda s: (s >= threshold).cast("int"))
+    return F.transform(values, lambda s: ((s >= threshold) & ~F.isnan(s)).cast("int"))

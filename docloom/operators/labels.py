@@ -13,7 +13,7 @@ from docloom.functions import labels as L
 MAX_LITERAL_ENTRIES = 2_000
 # Largest map side that is broadcast in that join, by row count.
 MAX_BROADCAST_ENTRIES = 1_000_000
-# Vocabularies are vector positions, so a larger one is a mistake in the input.
+# Vocabularies are vector positions held by the driver; a caller with more labels passes a larger bound.
 MAX_VOCABULARY = 20_000
 # Slices of each raw label when both sides of the label join are large.
 _SALTS = 32
@@ -22,12 +22,17 @@ _SALTS = 32
 def folded_label_map(label_map: DataFrame, fold_case: bool = True) -> DataFrame:
     """``(raw, canon)`` with folded keys; canonical labels are folded too unless told otherwise.
 
-    A canonical label with whitespace inside would fall apart when label strings are split: an error.
+    A canonical label with whitespace inside would fall apart when label strings are split: an error, as are
+    keys that fold to the same label but have different targets. Null keys match nothing and are left out.
     """
     canon = L.fold_label(F.col("canon")) if fold_case else F.col("canon")
     message = F.concat(F.lit("canonical label contains whitespace: "), F.col("canon"))
-    checked = F.when(~canon.rlike(r"\s"), canon).otherwise(F.raise_error(message).cast("string"))
-    return label_map.select(L.fold_label(F.col("raw")).alias("raw"), checked.alias("canon")).dropDuplicates(["raw"])
+    checked = F.when(canon.isNull() | ~canon.rlike(r"\s"), canon).otherwise(F.raise_error(message).cast("string"))
+    rows = label_map.select(L.fold_label(F.col("raw")).alias("raw"), checked.alias("canon")).where("raw is not null")
+    targets = rows.groupBy("raw").agg(F.min("canon").alias("canon"), F.max("canon").alias("_other"))
+    conflict = F.concat_ws(" ", F.lit("label has two targets:"), "raw", F.lit("to"), "canon", F.lit("and"), "_other")
+    one = F.when(F.col("canon").eqNullSafe(F.col("_other")), F.col("canon"))
+    return targets.select("raw", one.otherwise(F.raise_error(conflict).cast("string")).alias("canon"))
 
 
 def label_map_literal(label_map: DataFrame, max_entries: int = MAX_LITERAL_ENTRIES) -> dict[str, str] | None:
@@ -41,13 +46,13 @@ def remap_labels(
     label_map: DataFrame | Mapping[str, str],
     column: str = "buckets",
     name: str = "labels",
-    key: str = "row_idx",
     strict: bool = True,
     fold_case: bool = True,
 ) -> DataFrame:
     """Replace the raw labels of each row by their set of canonical labels.
 
-    A map of ordinary size becomes a literal lookup without any shuffle; a larger one is joined.
+    A null array stays null. A null or unmapped label is an error, or is dropped if not ``strict``. A map of
+    ordinary size becomes a literal lookup without any shuffle; a larger one is joined, with the same rows.
     """
     if not isinstance(label_map, DataFrame):
         label_map = df.sparkSession.createDataFrame(list(label_map.items()), "raw string, canon string")
@@ -55,30 +60,39 @@ def remap_labels(
     mapping = label_map_literal(folded)
     if mapping is not None:
         return df.withColumn(name, L.map_labels(F.col(column), mapping, strict)).drop(column)
-    remapped = remap_labels_by_join(df.select(key, column), folded, column, name, key, strict)
-    return df.drop(column).join(remapped, key)
+    return remap_by_join(df, folded, column, name, strict).drop(column)
 
 
-def remap_labels_by_join(
-    df: DataFrame, folded: DataFrame, column: str, name: str, key: str, strict: bool = True
-) -> DataFrame:
-    """Narrow ``(key, labels)`` by joining the exploded labels with a large map.
+def remap_by_join(df: DataFrame, folded: DataFrame, column: str, name: str, strict: bool = True) -> DataFrame:
+    """Add the canonical labels by a join of the distinct label arrays with a large map.
 
-    A map too large to broadcast is joined in slices of each label, so that a label carried by a third
-    of all rows is spread over tasks.
+    Rows are found again by their array, so neither null nor repeated keys matter, and a common array is
+    looked up once. A map too large to broadcast is joined in slices of each label, so that a label of many
+    arrays is spread over tasks.
     """
-    rows = df.select(key, F.explode_outer(column).alias("_raw")).withColumn("raw", L.fold_label(F.col("_raw")))
+    arrays = df.select(F.col(column).alias("_array")).where(F.col("_array").isNotNull()).distinct()
+    rows = arrays.select("_array", F.explode("_array").alias("_raw")).withColumn("raw", L.fold_label(F.col("_raw")))
     if folded.limit(MAX_BROADCAST_ENTRIES + 1).count() <= MAX_BROADCAST_ENTRIES:
         joined = rows.join(F.broadcast(folded), "raw", "left")
     else:
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int"))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_array"), F.lit(_SALTS)).cast("int"))
         slices = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")
         joined = salted.join(folded.select("*", slices), ["raw", "_salt"], "left")
     canon = F.col("canon")
     if strict:
-        message = F.concat(F.lit("unmapped label: "), F.col("_raw"))
-        canon = F.when(canon.isNull() & F.col("_raw").isNotNull(), F.raise_error(message).cast("string")).otherwise(canon)
-    return joined.groupBy(key).agg(F.array_sort(F.collect_set(canon)).alias(name))
+        message = F.concat(F.lit("unmapped label: "), F.coalesce("_raw", F.lit("null")))
+        canon = F.coalesce(canon, F.raise_error(message).cast("string"))
+    mapped = joined.groupBy("_array").agg(F.array_sort(F.collect_set(canon)).alias("_mapped"))
+    none = F.array().cast("array<string>")
+    labels = F.when(F.col(column).isNotNull(), F.coalesce("_mapped", none))
+    return df.join(mapped, F.col(column) == F.col("_array"), "left").withColumn(name, labels).drop("_array", "_mapped")
+
+
+def remap_labels_by_join(
+    df: DataFrame, folded: DataFrame, column: str, name: str, key: str, strict: bool = True
+) -> DataFrame:
+    """Narrow ``(key, labels)`` of every row, by :func:`remap_by_join`."""
+    return remap_by_join(df.select(key, column), folded, column, name, strict).select(key, name)
 
 
 def unmapped_labels(df: DataFrame, label_map: DataFrame, column: str = "buckets") -> DataFrame:
@@ -113,11 +127,12 @@ def label_index(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("idx"))
 
 
-def collect_vocabulary(df: DataFrame, column: str = "labels") -> list[str]:
-    """The sorted vocabulary on the driver, for vector literals; its size is checked."""
-    rows = distinct_labels(df, column).limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError(f"more than {MAX_VOCABULARY} labels")
+def collect_vocabulary(df: DataFrame, column: str = "labels", max_labels: int | None = None) -> list[str]:
+    """The sorted vocabulary on the driver, for vector literals; more than ``max_labels`` are an error."""
+    most = MAX_VOCABULARY if max_labels is None else max_labels
+    rows = distinct_labels(df, column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} labels")
     return sorted(row["label"] for row in rows)
 
 

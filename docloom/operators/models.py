@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IDF, HashingTF, Word2Vec
+from pyspark.ml.feature import IDF, HashingTF, SQLTransformer, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ class Family:
     features: Callable[[int], list[Estimator]]
     estimator: Callable[[], Estimator]
     logit: Callable[[Column, Column | None], Column]
+    n_features: int = 1 << 16
 
 
 def _tf_idf(n_features: int) -> list:
@@ -47,8 +48,17 @@ def _term_counts(n_features: int) -> list:
     return [HashingTF(inputCol="tokens", outputCol="features", numFeatures=n_features)]
 
 
+# Size of averaged word vectors unless the caller names another, and the words that may each have one: the
+# trainer holds all vectors on the driver, so words are hashed to a bounded number first.
+VECTOR_SIZE = 100
+VECTOR_WORDS = 1 << 17
+
+
 def _word_vectors(n_features: int) -> list:
-    return [Word2Vec(inputCol="tokens", outputCol="features", vectorSize=min(n_features, 100), minCount=2, seed=42)]
+    cores = SparkSession.getActiveSession().sparkContext.defaultParallelism
+    vectors = Word2Vec(inputCol="hashed", outputCol="features", vectorSize=n_features, minCount=2, seed=42)
+    hashed = f"SELECT *, transform(tokens, t -> string(pmod(xxhash64(t), {VECTOR_WORDS}))) AS hashed FROM __THIS__"
+    return [SQLTransformer(statement=hashed), vectors.setNumPartitions(cores)]
 
 
 def _margin(raw: Column, _: Column | None) -> Column:
@@ -70,7 +80,7 @@ FAMILIES = {
     "svm": Family(_tf_idf, lambda: LinearSVC(maxIter=20, regParam=0.01), _margin),
     "random_forest": Family(_tf_idf, lambda: RandomForestClassifier(numTrees=20, seed=42), _log_odds_of_probability),
     "boosted_trees": Family(_tf_idf, lambda: GBTClassifier(maxIter=10, seed=42), _log_odds_of_probability),
-    "averaged_vectors": Family(_word_vectors, lambda: LogisticRegression(maxIter=20), _margin),
+    "averaged_vectors": Family(_word_vectors, lambda: LogisticRegression(maxIter=20), _margin, VECTOR_SIZE),
 }
 
 
@@ -94,17 +104,19 @@ def train_multilabel(
     family: str = "logistic_regression",
     text: str = "text",
     labels: str = "labels",
-    n_features: int = 1 << 16,
+    n_features: int | None = None,
     parallelism: int = 4,
     estimator: Estimator | None = None,
 ) -> MultilabelModel:
     """Fit one binary model per label. The features are computed once and kept for all labels.
 
-    ``parallelism`` labels are fitted at a time, each as a distributed job.
+    ``n_features`` is the number of hashed terms, or the size of averaged vectors; it defaults to that of the
+    family. ``parallelism`` labels are fitted at a time, each as a distributed job of its own, so the time grows
+    with the number of labels.
     """
     chosen = FAMILIES[family]
     rows = _with_tokens(df.select(text, F.col(labels).alias("labels")), text).drop(text)
-    features = Pipeline(stages=chosen.features(n_features)).fit(rows)
+    features = Pipeline(stages=chosen.features(n_features or chosen.n_features)).fit(rows)
     truth = L.multi_hot(F.col("labels"), vocabulary).alias("truth")
     prepared = features.transform(rows).select("features", truth).persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from docloom.config import SplitConfig
 from docloom.operators.row_index import global_row_index
 
 _RATIO_TOLERANCE = 1e-9
-# Parts up to which a split is a projection over the block ends.
-MAX_CUT_PARTS = 100
+# Blocks up to which a split is a chain of conditions over the block ends; beyond, a search in their array.
+MAX_CUT_BLOCKS = 300
 # Subset size up to which the keys are ranked by a top-k, whose result one task merges.
 _TOP_K = 100_000
 
@@ -89,7 +90,14 @@ class SplitCuts:
         return F.struct(*self.order_by) <= F.struct(*[F.lit(v).alias(c) for c, v in zip(self.order_by, key)])
 
     def column(self) -> Column:
-        return _first_block(self.blocks, self._up_to)
+        if len(self.blocks) <= MAX_CUT_BLOCKS:
+            return _first_block(self.blocks, self._up_to)
+        # Many blocks: the block of a row is the number of blocks that end before it.
+        key = F.col(self.order_by[0]) if len(self.order_by) == 1 else F.struct(*self.order_by)
+        ends = [F.lit(k[0]) if len(k) == 1 else F.struct(*[F.lit(v).alias(c) for c, v in zip(self.order_by, k)]) for _, k in self.blocks]
+        names = F.array(*[F.lit(name) for name, _ in self.blocks])
+        passed = F.size(F.filter(F.array(*ends[:-1]), lambda end: end < key))
+        return F.get(names, passed)
 
     def predicate(self, split: str) -> Column:
         """Rows of one split as key ranges, which a Parquet scan can use to skip row groups."""
@@ -119,12 +127,17 @@ def split_cuts(
 ) -> SplitCuts:
     """Find the last key of every block from the key columns alone.
 
-    The keys are numbered and the few at block ends are collected: at most ``3 * parts + 1`` rows.
+    The keys are numbered and the few at block ends are collected: at most ``3 * parts + 1`` rows. A null or
+    repeated key is an error, as its rows would have no place of their own.
     """
     columns = (order_by,) if isinstance(order_by, str) else tuple(order_by)
     check_ratios(config)
     keys = global_row_index(df.select(*columns), columns)
     n = keys.count()
+    absent = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+    odd = keys.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows")).where((F.col("n_rows") > 1) | absent).first()
+    if odd is not None:
+        raise ValueError(f"keys must be unique and not null, got {[odd[c] for c in columns]} in {odd['n_rows']} rows")
     blocks: list[tuple[str, int]] = []
     for name, end in block_bounds(n, config):
         if end > (blocks[-1][1] if blocks else 0):
@@ -139,13 +152,9 @@ def block_split(
 ) -> DataFrame:
     """Add ``split`` (train, test or dev) by position in the order of the unique, non-null ``order_by``.
 
-    With more parts than a projection can spell out, the rows are joined with their numbered keys.
+    Rows are never joined or shuffled for it, whatever the number of parts.
     """
-    if config.parts <= MAX_CUT_PARTS:
-        return df.withColumn("split", split_cuts(df, order_by, config).column())
-    columns = [order_by] if isinstance(order_by, str) else list(order_by)
-    keys = split_by_row_index(global_row_index(df.select(*columns), columns), config)
-    return df.join(keys.select(*columns, "split"), columns)
+    return df.withColumn("split", split_cuts(df, order_by, config).column())
 
 
 def split_sizes(df: DataFrame) -> DataFrame:

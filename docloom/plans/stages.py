@@ -43,7 +43,7 @@ def prepare(
 ) -> DataFrame:
     """:func:`flatten`, then replace the raw labels in ``buckets`` by the canonical ``labels``."""
     flat = flatten(documents, key, config, dense)
-    return remap_labels(flat, label_map, key=key, strict=strict, fold_case=fold_case)
+    return remap_labels(flat, label_map, strict=strict, fold_case=fold_case)
 
 
 def rewrite(prepared: DataFrame, text: str = "text", repair_unicode: bool = True) -> DataFrame:

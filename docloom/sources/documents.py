@@ -32,9 +32,10 @@ def scan_documents(
     """Documents ``(row_idx, content, date, buckets)`` in file order.
 
     ``format`` is ``json`` (one array per file, not splittable: convert it once), ``jsonl`` or
-    ``parquet``. A missing file is logged and gives no rows, unless ``missing_ok`` is off.
+    ``parquet``. A missing file is logged and gives no rows, unless ``missing_ok`` is off. Broken
+    JSON is an error, never a null document.
     """
-    reader = spark.read.schema(DOCUMENT_SCHEMA)
+    reader = spark.read.schema(DOCUMENT_SCHEMA).option("mode", "FAILFAST")
     try:
         if format == "json":
             df = reader.json(path, multiLine=True)
@@ -54,7 +55,8 @@ def scan_documents(
 
 
 def scan_label_map(spark: SparkSession, path: str) -> DataFrame:
-    """A flat JSON object as rows ``(raw, canon)``."""
+    """A flat JSON object as rows ``(raw, canon)``; anything else is an error."""
     text = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", "map<string,string>")
+    broken = F.raise_error(F.lit("the label map is not a JSON object"))
+    entries = F.coalesce(F.from_json("value", "map<string,string>"), broken.cast("map<string,string>"))
     return text.select(F.explode(entries).alias("raw", "canon"))

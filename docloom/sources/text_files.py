@@ -33,10 +33,13 @@ def scan_tsv(
     columns: Sequence[str] = ("text", "date"),
     with_position: bool = True,
 ) -> DataFrame:
-    """A headerless tab-separated file, every column a string, with its row position."""
+    """A headerless tab-separated file, every column a string, with its row position.
+
+    A line with too few or too many columns is an error.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     paths = path if isinstance(path, str) else list(path)
-    df = spark.read.schema(schema).options(**TSV_OPTIONS).csv(paths)
+    df = spark.read.schema(schema).options(mode="FAILFAST", **TSV_OPTIONS).csv(paths)
     return with_file_position(df) if with_position else df
 
 

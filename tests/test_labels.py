@@ -97,3 +97,39 @@ def test_oversized_vocabulary_is_refused(spark, monkeypatch):
     df = spark.createDataFrame([(["a", "b", "c"],)], "labels array<string>")
     with pytest.raises(ValueError):
         O.collect_vocabulary(df)
+
+
+ODD_ROWS = [
+    (1, ["law", "TAX"]),
+    (1, ["school"]),
+    (None, ["law"]),
+    (3, None),
+    (4, []),
+    (4, []),
+]
+
+
+@pytest.mark.parametrize("limits", [(2000, 10), (0, 10), (0, 0)])
+def test_every_path_gives_the_same_rows_for_null_and_repeated_keys(spark, monkeypatch, limits):
+    monkeypatch.setattr(O, "MAX_LITERAL_ENTRIES", limits[0])
+    monkeypatch.setattr(O.label_map_literal, "__defaults__", (limits[0],))
+    monkeypatch.setattr(O, "MAX_BROADCAST_ENTRIES", limits[1])
+    rows = spark.createDataFrame(ODD_ROWS, "row_idx long, buckets array<string>")
+    got = sorted((tuple(r) for r in O.remap_labels(rows, MAP).collect()), key=repr)
+    fold = {k.strip().lower(): v.strip().lower() for k, v in MAP.items()}
+    want = [(i, None if b is None else sorted({fold[x.lower()] for x in b})) for i, b in ODD_ROWS]
+    assert got == sorted(want, key=repr)
+    null = spark.createDataFrame([(1, ["law", None])], "row_idx long, buckets array<string>")
+    with pytest.raises(Exception, match="unmapped label: null"):
+        O.remap_labels(null, MAP).collect()
+    assert O.remap_labels(null, MAP, strict=False).first()["labels"] == ["law"]
+
+
+def test_keys_that_fold_together_must_agree(spark, rows):
+    with pytest.raises(Exception, match="two targets"):
+        O.remap_labels(rows, {"Law": "law", "law ": "justice"}).collect()
+
+
+def test_nan_is_below_every_threshold(spark):
+    df = spark.createDataFrame([([float("nan"), 1.0],)], "s array<double>")
+    assert df.select(L.threshold_scores(F.col("s"))).first()[0] == [0, 1]

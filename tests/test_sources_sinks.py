@@ -211,3 +211,57 @@ def test_validation_finds_each_fault(spark):
         "unknown_split": 1, "missing_text": 1, "text_breaks_line": 1, "date_breaks_line": 1, "labels_break_line": 1,
         "missing_labels": 1, "leaked_labels": 1, "label_outside_vocabulary": 2, "header_arity": 1,
     }
+
+
+def _line_files(tmp_path, n=40):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    for i in range(n):
+        (folder / f"part-{i:05d}.txt").write_text("".join(f"{i}-{k}\n" for k in range(50)))
+    return str(folder)
+
+
+@pytest.mark.parametrize("before, after", [("40", "4"), ("4", "40")])
+def test_row_numbers_are_right_or_an_error_if_the_packing_changes(spark, tmp_path, before, after):
+    path = _line_files(tmp_path)
+    keys = ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set(keys[1], "1")
+        spark.conf.set(keys[0], before)
+        numbered = scan_text_lines(spark, {"a": path})
+        spark.conf.set(keys[0], after)
+        # A new plan is packed by the new setting.
+        again = numbered.select("*")
+        try:
+            rows = again.collect()
+        except Exception as error:
+            assert "packing changed" in str(error)
+        else:
+            assert sorted((r["row_idx"], r["value"]) for r in rows) == [(i * 50 + k, f"{i}-{k}") for i in range(40) for k in range(50)]
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
+def test_part_files_count_in_the_order_of_their_numbers(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for i in (2, 99999, 100000, 1000000):
+        (folder / f"part-{i:05d}-x.txt").write_text(f"{i}\n")
+    rows = scan_text_lines(spark, {"a": str(folder)}).orderBy("row_idx").collect()
+    assert [r["value"] for r in rows] == ["2", "99999", "100000", "1000000"]
+
+
+def test_broken_input_is_an_error(spark, tmp_path):
+    (tmp_path / "cut.json").write_text('[{"content": "a", "date": "d", "buckets": ["x"]}, {"content": ')
+    (tmp_path / "line.jsonl").write_text('{"content": "a", "date": "d", "buckets": []}\n{"content": \n')
+    (tmp_path / "map.json").write_text('{"a": ')
+    (tmp_path / "wide.tsv").write_text("a\tb\tc\n")
+    for read in (
+        lambda: scan_documents(spark, str(tmp_path / "cut.json")),
+        lambda: scan_documents(spark, str(tmp_path / "line.jsonl"), format="jsonl"),
+        lambda: scan_label_map(spark, str(tmp_path / "map.json")),
+        lambda: scan_tsv(spark, str(tmp_path / "wide.tsv")),
+    ):
+        with pytest.raises(Exception):
+            read().collect()

@@ -143,3 +143,11 @@ def test_large_subsets_agree_with_small_ones(spark, monkeypatch):
     by_top_k = {r["id"] for r in size_capped_subset(df, 60, "id").collect()}
     monkeypatch.setattr(split, "_TOP_K", 10)
     assert {r["id"] for r in size_capped_subset(df, 60, "id").collect()} == by_top_k
+
+
+@pytest.mark.parametrize("parts", [3, 150])
+@pytest.mark.parametrize("keys", [[1, 2, None, 4], [1, 2, 2, 3]])
+def test_null_and_repeated_keys_are_refused_for_any_number_of_parts(spark, parts, keys):
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    with pytest.raises(ValueError, match="unique and not null"):
+        block_split(df, "k", SplitConfig(parts=parts))
