@@ -28,6 +28,8 @@ HEADLINE = [
     "mlm_mask",
     "bpe_word_counts",
     "bpe_pair_counts",
+    # Learns the vocabulary; the next one only encodes with it.
+    "bpe_learn",
     "bpe_encode",
     "ngram_lm_perplexity",
     "evaluate_multilabel",

@@ -268,8 +268,14 @@ _add(
 _add(
     "validate_publish",
     ("prepared", "vocab"),
-    r""", view AS (SELECT split, replace(text, chr(13), '') AS text, date,
-      CASE WHEN split <> 'test' THEN labels END AS labels FROM prepared)
+    r""", base AS (SELECT doc_id AS key, split, replace(text, chr(13), '') AS text, date,
+      CASE WHEN split <> 'test' THEN labels END AS labels FROM prepared),
+    view AS (SELECT CASE WHEN key % 7 = 0 THEN 'holdout' ELSE split END AS split,
+      CASE WHEN key % 11 = 0 THEN NULL WHEN key % 13 = 0 THEN 'a' || chr(9) || 'b' ELSE text END AS text,
+      CASE WHEN key % 17 = 0 THEN 'a' || chr(10) || 'b' ELSE date END AS date,
+      CASE WHEN key % 19 = 0 THEN 'law unheard_of' WHEN key % 23 = 0 THEN NULL WHEN key % 29 = 0 THEN 'law' || chr(13)
+        ELSE labels END AS labels, key
+      FROM base)
     SELECT 'unknown_split' AS check_name, count(*) FILTER (WHERE split NOT IN ('train', 'dev', 'test')) AS n_bad FROM view
     UNION ALL SELECT 'missing_text', count(*) FILTER (WHERE text IS NULL) FROM view
     UNION ALL SELECT 'text_breaks_line', count(*) FILTER (WHERE regexp_matches(text, '[\t\n\r]')) FROM view
@@ -277,8 +283,8 @@ _add(
     UNION ALL SELECT 'labels_break_line', count(*) FILTER (WHERE regexp_matches(labels, '[\t\n\r]')) FROM view
     UNION ALL SELECT 'missing_labels', count(*) FILTER (WHERE labels IS NULL AND split <> 'test') FROM view
     UNION ALL SELECT 'leaked_labels', count(*) FILTER (WHERE labels IS NOT NULL AND split = 'test') FROM view
-    UNION ALL SELECT 'label_outside_vocabulary', count(*) FROM (SELECT unnest(string_split(labels, ' ')) AS label
-      FROM view WHERE labels <> '') WHERE label NOT IN (SELECT label FROM vocab)
+    UNION ALL SELECT 'label_outside_vocabulary', count(DISTINCT key) FROM (SELECT key, unnest(string_split(labels, ' ')) AS label
+      FROM view) WHERE label <> '' AND label NOT IN (SELECT label FROM vocab)
     UNION ALL SELECT 'header_arity', 0""",
 )
 _add("newline_to_space", (), "SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents")
@@ -366,6 +372,21 @@ _add("preview", ("kept",), "SELECT doc_id, split, date, text FROM kept ORDER BY
 _add("fix_unicode", ("all_texts",), "SELECT origin, id, nfc_normalize(text) AS text FROM all_texts")
 for _name, (_pattern, _by) in MASKS.items():
     _add(_name, ("all_texts",), f"SELECT origin, id, {_sub('text', _pattern, _by)} AS text FROM all_texts")
+_add("bpe_encode", ("lm",), "SELECT doc_id, split, lm_text AS text, true AS an_id_a_word FROM lm")
+_add(
+    "lm_examples",
+    ("lm",),
+    """SELECT doc_id, split, 512 AS n_input_ids, 512 AS n_attention_mask, 512 AS n_labels, true AS has_boundaries,
+      true AS labels_follow_the_rule FROM lm""",
+)
+_add(
+    "classifier_examples",
+    ("prepared", "kept", "doc_labels"),
+    """SELECT p.doc_id, p.split, 512 AS n_input_ids, 512 AS n_attention_mask,
+      string_agg((d.label IS NOT NULL)::INT::VARCHAR, '' ORDER BY v.label) AS labels
+    FROM prepared p CROSS JOIN (SELECT DISTINCT label FROM kept JOIN doc_labels USING (doc_id)) v
+    LEFT JOIN doc_labels d ON d.doc_id = p.doc_id AND d.label = v.label GROUP BY p.doc_id, p.split""",
+)
 _add("clean_text", ("all_texts",), f"SELECT origin, id, {_clean('text')} AS text FROM all_texts")
 _CENSUS = "len(regexp_extract_all(lm_text, '{0}'))"
 _add(

@@ -206,8 +206,21 @@ def assert_row_parity(spark, sf_dir):
 
 @query
 def validate_publish(spark, sf_dir):
+    """Counts over a view with one kind of fault planted in every seventh, eleventh, ... row."""
     view = publish_view(V.indexed_texts(spark, sf_dir))
-    return validate.validate_publish(view, V.VOCABULARY)
+    row = F.col("row_idx")
+    faulty = view.withColumns(
+        {
+            "split": F.when(row % 7 == 0, F.lit("holdout")).otherwise(F.col("split")),
+            "text": F.when(row % 11 == 0, F.lit(None)).when(row % 13 == 0, F.lit("a\tb")).otherwise(F.col("text")),
+            "date": F.when(row % 17 == 0, F.lit("a\nb")).otherwise(F.col("date")),
+            "labels": F.when(row % 19 == 0, F.lit("law unheard_of"))
+            .when(row % 23 == 0, F.lit(None))
+            .when(row % 29 == 0, F.lit("law\r"))
+            .otherwise(F.col("labels")),
+        }
+    )
+    return validate.validate_publish(faulty, V.VOCABULARY)
 
 
 @query
@@ -533,19 +546,64 @@ def bpe_pair_counts(spark, sf_dir):
     return pairs.select(left.alias("left_id"), right.alias("right_id"), "n_uses")
 
 
+_MODELS: dict[tuple[str, str], bpe.BytePairModel] = {}
+
+
+def _vocabulary(spark, sf_dir):
+    """The vocabulary learned on train, once per application and tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = bpe.bpe_learn(_train_words(spark, sf_dir), _BPE_SIZE)
+    return _MODELS[key]
+
+
 @query
 def bpe_learn(spark, sf_dir):
-    return bpe.bpe_learn(_train_words(spark, sf_dir), _BPE_SIZE).merge_table(spark)
+    return _vocabulary(spark, sf_dir).merge_table(spark)
 
 
 @query
 def bpe_encode(spark, sf_dir):
-    """All documents under the vocabulary learned on train: whole-text ids."""
+    """All documents under the vocabulary learned on train: the ids, counted, and decoded again."""
     rows = V.corpus(spark, sf_dir)
-    model = bpe.bpe_learn(_train_words(spark, sf_dir), _BPE_SIZE)
+    model = _vocabulary(spark, sf_dir)
     encoded = bpe.bpe_encode(rows.select("doc_id", "split", "lm_text"), model)
-    return encoded.select(
-        "doc_id", "split", F.size("ids").alias("n_ids"), _joined(F.col("ids").cast("array<string>")).alias("ids")
+    whole = F.size("ids") >= F.size(bpe.model_words(F.col("lm_text"), model.special_tokens))
+    return encoded.select("doc_id", "split", bpe.bpe_decode(F.col("ids"), model).alias("text"), whole.alias("an_id_a_word"))
+
+
+@query
+def lm_examples(spark, sf_dir):
+    """Masked training rows on byte-pair ids: lengths, and whether every label is unset or the id below the mask."""
+    model = _vocabulary(spark, sf_dir)
+    rows = stages.lm_examples(V.corpus(spark, sf_dir), model, "doc_id")
+    plain = bpe.encode_examples(V.corpus(spark, sf_dir).select("doc_id", "lm_text"), model)
+    ids = plain.select("doc_id", F.col("input_ids").alias("plain_ids"))
+    cells = F.arrays_zip("labels", "input_ids", "plain_ids", "attention_mask")
+    rule = F.forall(
+        cells,
+        lambda c: F.when(c["labels"] == -100, c["input_ids"] == c["plain_ids"]).otherwise(
+            (c["labels"] == c["plain_ids"]) & (c["attention_mask"] == 1)
+        ),
+    )
+    return rows.join(ids, "doc_id").select(
+        "doc_id",
+        "split",
+        *[F.size(c).alias(f"n_{c}") for c in ("input_ids", "attention_mask", "labels")],
+        (F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x) >= 2).alias("has_boundaries"),
+        rule.alias("labels_follow_the_rule"),
+    )
+
+
+@query
+def classifier_examples(spark, sf_dir):
+    """Encoded texts with their label vectors: lengths, and the vector over the labels in use."""
+    rows = stages.classifier_examples(V.prepared(spark, sf_dir), _vocabulary(spark, sf_dir), "doc_id")
+    return rows.select(
+        "doc_id",
+        "split",
+        *[F.size(c).alias(f"n_{c}") for c in ("input_ids", "attention_mask")],
+        _joined(F.col("labels").cast("array<string>"), "").alias("labels"),
     )
 
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -284,8 +285,10 @@ def model_words(c: Column, special_tokens: Sequence[str]) -> Column:
     )
 
 
-def bpe_encode(df: DataFrame, model: BytePairModel, text: str = "lm_text", name: str = "ids") -> DataFrame:
-    """Add the token ids of the whole text, without boundaries or padding.
+def bpe_encode(
+    df: DataFrame, model: BytePairModel, text: str = "lm_text", name: str = "ids", max_words: int | None = None
+) -> DataFrame:
+    """Add the token ids of the whole text, or of its first ``max_words`` words, without boundaries or padding.
 
     Splitting runs in the JVM; Python only looks words up. The merges travel as a broadcast variable,
     bounded by the vocabulary size. Documents are neither exploded nor shuffled, so a frequent word is
@@ -299,19 +302,39 @@ def bpe_encode(df: DataFrame, model: BytePairModel, text: str = "lm_text", name:
         )
     )
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         special, base, ranks = shared.value
-
-        @lru_cache(maxsize=_WORD_CACHE)
-        def look_up(word: str) -> list[int]:
-            found = special.get(word)
-            return encode_word(word, base, ranks) if found is None else [found]
-
-        for words in batches:
-            yield words.map(lambda ws: [i for w in ws for i in look_up(w)], na_action="ignore")
-
-    return df.withColumn(name, encode(model_words(F.col(text), model.special_tokens)))
+        known: dict[str, list[int]] = {}
+        for lists in batches:
+            # Each distinct word of the batch is encoded once; documents gather the ids by index.
+            words = lists.flatten().dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            if len(known) > _WORD_CACHE:
+                known.clear()
+            for word in distinct:
+                if word not in known:
+                    found = special.get(word)
+                    known[word] = encode_word(word, base, ranks) if found is None else [found]
+            parts = pa.array([known[w] for w in distinct], pa.list_(pa.int32()))
+            pieces = parts.take(words.indices)
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))))
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(ends[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32))
+            yield pa.ListArray.from_arrays(offsets, pieces.flatten(), mask=lists.is_null())
+
+    words = model_words(F.col(text), model.special_tokens)
+    return df.withColumn(name, encode(words if max_words is None else F.slice(words, 1, max_words)))
+
+
+def bpe_decode(ids: Column, model: BytePairModel) -> Column:
+    """Text of an id array, special tokens as they are written; ids outside the vocabulary are left out."""
+    alphabet = byte_alphabet()
+    tokens = F.split(F.lit("\u0001".join(model.tokens())), "\u0001")
+    joined = F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), "")
+    # U+0000 cannot be a target of translate: its character goes first to a byte that no token holds alone.
+    others = F.translate(joined, "".join(alphabet[1:]), "".join(chr(b) for b in range(1, 256)))
+    return F.decode(F.encode(F.replace(others, F.lit(alphabet[0]), F.lit("\0")), "ISO-8859-1"), "UTF-8")
 
 
 def encode_examples(
@@ -320,7 +343,8 @@ def encode_examples(
     """Add fixed-length ``input_ids`` and ``attention_mask`` and drop the text."""
     special = {token: i for i, token in enumerate(model.special_tokens)}
     wrapped = E.add_boundaries(F.col("ids"), special["<s>"], special["</s>"], max_length)
-    encoded = bpe_encode(df, model, text).withColumn("ids", wrapped)
+    # Every word gives one id at least, so no later word can matter.
+    encoded = bpe_encode(df, model, text, max_words=max_length).withColumn("ids", wrapped)
     return encoded.select(
         *[c for c in df.columns if c != text],
         E.pad_ids(F.col("ids"), max_length, special["<pad>"]).alias("input_ids"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.labels import join_labels
+from docloom.session import discard, materialize, scratch_path
 from docloom.sources.text_files import TSV_OPTIONS
 
 
@@ -59,12 +60,16 @@ def write_expected(df: DataFrame, path: str, compression: str | None = None, las
 def write_tsv_pair(df: DataFrame, path: str, compression: str | None = None) -> None:
     """Write ``path/in`` and ``path/expected`` from ``split, row_idx, text, date, labels``.
 
-    The labels are ordered on their own: they are narrow, so that is cheaper than holding the texts
-    between the two files.
+    The labels and positions are stored first: they are narrow, give the last position, and spare the
+    expected file another pass over the texts.
     """
-    last = last_position(df)
+    spark = df.sparkSession
+    stored = scratch_path(spark, "labels")
+    narrow = materialize(df.select("split", "row_idx", "labels"), "labels", stored)
+    last = last_position(narrow)
     write_inputs(df, f"{path}/in", compression, last)
-    write_expected(df, f"{path}/expected", compression, last)
+    write_expected(narrow, f"{path}/expected", compression, last)
+    discard(spark, stored)
 
 
 def write_gzip(df: DataFrame, path: str) -> None:
