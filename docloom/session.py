@@ -64,3 +64,12 @@ def discard(spark: SparkSession, path: str) -> None:
         raise ValueError(f"not a scratch table of this application: {path}")
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this application wrote to its scratch folder.
+
+    Call it when no DataFrame made by this library is needed any more: many of them read from there.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
