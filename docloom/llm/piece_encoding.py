@@ -22,7 +22,9 @@ from docloom.llm.pieces import PieceModel
 
 # Characters of a chunk up to which its ids are remembered, and remembered chunks per worker.
 MEMO_CHARS = 48
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 300_000
+# Bytes of text whose words are held at a time.
+BATCH_BYTES = 4 << 20
 # Places searched between two looks for a common boundary.
 COMMIT_EVERY = 64
 
@@ -185,19 +187,28 @@ def worker_encoder(shared: Broadcast) -> PieceEncoder:
     return _ENCODERS[key]
 
 
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about BATCH_BYTES of text, as its words take many times its size as Python strings."""
+    for batch in batches:
+        rows = max(1, int(BATCH_BYTES * batch.num_rows / max(1, batch.column("text").nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def id_lists(rows: list[list[int]]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1])))
+
+
 def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id") -> DataFrame:
     """``(key, ids)`` of whole texts; a null or empty text has no ids. Other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared)
-        for batch in batches:
-            rows = encoder.encode_all(batch.column("text").to_pylist())
-            offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-            values = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.ListArray.from_arrays(offsets, values)], names=["key", "ids"]
-            )
+        for part in small_batches(batches):
+            rows = encoder.encode_all(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("key"), id_lists(rows)], names=["key", "ids"])
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     schema = rows.select("key", F.array().cast("array<int>").alias("ids")).schema
@@ -229,16 +240,14 @@ def round_trip(docs: DataFrame, model: PieceModel, key: str = "doc_id") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for part in small_batches(batches):
+            texts = part.column("text").to_pylist()
             rows = encoder.encode_all(texts)
             decoded = list(map(encoder.model.decode, rows))
-            offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-            values = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
             columns = {
-                "key": batch.column("key"),
+                "key": part.column("key"),
                 "n_ids": pa.array([len(r) for r in rows], pa.int64()),
-                "ids": pa.ListArray.from_arrays(offsets, values),
+                "ids": id_lists(rows),
                 "decoded_sha256": pa.array(map(sha256_hex, decoded), pa.string()),
                 "exact": pa.array([a == b for a, b in zip(decoded, texts)], pa.bool_()),
             }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.llm.common import bound_batches
 from docloom.llm.decontamination import contamination
 from docloom.llm.hmm import lm_scores
 from docloom.llm.line_dedup import line_dedup
@@ -33,6 +34,7 @@ def query(function):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
