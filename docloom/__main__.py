@@ -17,12 +17,22 @@ from docloom.operators import bpe, models, profile, validate
 from docloom.operators.labels import collect_vocabulary, label_frequency, unmapped_labels
 from docloom.plans import stages
 from docloom.session import get_spark
-from docloom.sinks import publish_layout, publish_view, write_metrics_json, write_text_lines, write_tsv_pair
-from docloom.sources import scan_documents, scan_label_map
+from docloom.sinks import (
+    publish_layout,
+    publish_view,
+    single_files,
+    write_metrics_json,
+    write_text_lines,
+    write_tsv_pair,
+)
+from docloom.sources import published_headers, scan_documents, scan_label_map, scan_pairs, scan_published
 
 
 def ingest(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Number the documents and store them as Parquet, which is splittable."""
+    """Store documents, numbered, or tab-separated pairs as Parquet, which is splittable."""
+    if args.format == "tsv":
+        scan_pairs(spark, args.input).write.mode("overwrite").partitionBy("split").parquet(args.output)
+        return
     scan_documents(spark, args.input, args.format, missing_ok=False).write.mode("overwrite").parquet(args.output)
 
 
@@ -42,7 +52,10 @@ def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
     rows.write.mode("overwrite").partitionBy("split").parquet(f"{args.output}/parquet")
     stored = spark.read.parquet(f"{args.output}/parquet")
     write_tsv_pair(stored, args.output)
-    validate.assert_row_parity(stored.select("split", "row_idx"), stored.where("labels is not null"))
+    # The files themselves are read again: every line must have its partner.
+    written = scan_pairs(spark, args.output)
+    if written.where("text is not null and size(labels) >= 0").count() != stored.count():
+        raise AssertionError("the written pairs do not hold all rows")
 
 
 def rewrite(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -120,11 +133,23 @@ def publish(spark: SparkSession, args: argparse.Namespace) -> None:
     """Check the rows and write the gzip-compressed layout, public and with all labels."""
     rows = spark.read.parquet(args.input)
     vocabulary = collect_vocabulary(rows)
-    problems = validate.validate_publish(publish_view(rows), vocabulary).where("n_bad > 0").collect()
-    if problems:
-        raise SystemExit("not published: " + json.dumps({r["check_name"]: r["n_bad"] for r in problems}))
-    publish_layout(rows, f"{args.output}/public", public=True)
-    publish_layout(rows, f"{args.output}/private", public=False)
+    predictions = spark.read.parquet(args.predictions) if args.predictions else None
+    if predictions is not None:
+        predictions = predictions.select("split", "row_idx", F.col("pred_labels").alias("labels"))
+
+    def check(view: DataFrame, public: bool, **options) -> None:
+        problems = validate.validate_publish(view, vocabulary, public, **options).where("n_bad > 0").collect()
+        if problems:
+            raise SystemExit("not published: " + json.dumps({r["check_name"]: r["n_bad"] for r in problems}))
+
+    check(publish_view(rows), True)
+    for name, public in (("public", True), ("private", False)):
+        path = f"{args.output}/{name}"
+        publish_layout(rows, path, public=public, predictions=None if public else predictions)
+        # The files as they were written are checked too, with their headers.
+        check(scan_published(spark, path, public), public, headers=published_headers(spark, path))
+        if args.single_files:
+            single_files(spark, path, f"{args.output}/{name}-files")
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -138,7 +163,7 @@ def _parser() -> argparse.ArgumentParser:
         sub.set_defaults(run=function)
         return sub
 
-    stage(ingest).add_argument("--format", default="json", choices=("json", "jsonl", "parquet"))
+    stage(ingest).add_argument("--format", default="json", choices=("json", "jsonl", "parquet", "tsv"))
     defaults = SplitConfig()
     sub = stage(prepare)
     sub.add_argument("--label-map", required=True)
@@ -155,7 +180,9 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_argument("--model", required=True)
     sub.add_argument("text", nargs="*")
     stage(describe)
-    stage(publish)
+    sub = stage(publish)
+    sub.add_argument("--predictions", help="predictions of the classify stage, for the private copy")
+    sub.add_argument("--single-files", action="store_true", help="also one file per split, for other programs")
     return parser
 
 

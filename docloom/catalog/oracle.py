@@ -259,6 +259,11 @@ _add(
 )
 _add("project_text", ("kept",), "SELECT text FROM kept")
 _add("drop_text", ("kept",), f"SELECT doc_id, date, split, len(regexp_extract_all(text, '{TOKEN}'))::INT AS n_tokens FROM kept")
+_add(
+    "scan_pairs",
+    ("prepared",),
+    "SELECT line_no AS row_idx, replace(text, chr(13), '') AS text, date, labels, split FROM prepared",
+)
 _add(
     "assert_row_parity",
     ("placed", "kept"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.catalog import views as V
-from docloom.config import MASK_TOKENS, SPECIAL_TOKENS, PUBLISHED_NAMES
+from docloom.config import MASK_TOKENS, SPECIAL_TOKENS
 from docloom.functions import encoding as E
 from docloom.functions import labels as L
 from docloom.functions import text as X
@@ -19,8 +19,17 @@ from docloom.operators import bpe, labels, metrics, models, ngram_lm, profile, s
 from docloom.operators.row_index import global_row_index
 from docloom.plans import stages
 from docloom.session import scratch_path
-from docloom.sinks import publish_layout, publish_view, write_gzip, write_metrics_json, write_text_lines, write_tsv_pair
-from docloom.sources import scan_documents, scan_label_map, scan_text_lines, scan_tsv
+from docloom.sinks import (
+    publish_layout,
+    publish_view,
+    single_files,
+    write_gzip,
+    write_metrics_json,
+    write_text_lines,
+    write_tsv_pair,
+)
+from docloom.sources import scan_documents, scan_label_map, scan_published, scan_text_lines, scan_tsv
+from docloom.sources import scan_pairs as scan_pairs_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,15 +155,16 @@ def publish_layout_query(spark, sf_dir):
     """The public layout read back: rows with their labels, withheld for the test folder."""
     path = scratch_path(spark, "published")
     publish_layout(V.indexed_texts(spark, sf_dir), path, public=True)
-    frames = []
-    for name in PUBLISHED_NAMES.values():
-        texts = scan_tsv(spark, f"{path}/in/split={name}")
-        if name == PUBLISHED_NAMES["test"]:
-            rows = texts.withColumn("labels", F.lit(None).cast("string"))
-        else:
-            rows = texts.join(scan_tsv(spark, f"{path}/expected/split={name}", ("labels",)), "row_idx", "full_outer")
-        frames.append(rows.withColumn("split", F.lit(name)))
-    return profile.union_splits(*frames)
+    return scan_published(spark, path)
+
+
+@query
+def scan_pairs(spark, sf_dir):
+    """The pairs of the private layout, put into one file per split and read as stage input."""
+    path, files = scratch_path(spark, "private"), scratch_path(spark, "files")
+    publish_layout(V.indexed_texts(spark, sf_dir), path, public=False)
+    single_files(spark, path, files)
+    return scan_pairs_of(spark, files).withColumn("labels", _joined("labels"))
 
 
 # --- splitting --------------------------------------------------------------------------------

@@ -45,7 +45,9 @@ def validate_publish(
 ) -> DataFrame:
     """One row ``(check_name, n_bad)`` per check over a published view, in a single pass.
 
-    ``view`` carries split, row_idx, text, date and labels (string, null where withheld).
+    ``view`` carries split, row_idx, text, date and labels (string, null where withheld); read it from the
+    written files to check those, with their ``headers``. Every check counts rows: a row with several unknown
+    labels counts once, and one whose partner is missing shows as missing text or missing labels.
     """
     folders = list(config.PUBLISHED_NAMES.values())
     known = F.array(*[F.lit(v) for v in vocabulary]).cast("array<string>")

@@ -56,3 +56,37 @@ def publish_layout(
     header_rows(df.sparkSession).coalesce(1).write.mode("overwrite").partitionBy("file").text(
         f"{path}/headers"
     )
+
+
+def single_files(spark: SparkSession, path: str, target: str) -> None:
+    """Put a published layout into one file per split and kind, as programs outside Spark read it.
+
+    Writes ``target/<split>/in.tsv.gz``, ``expected.tsv.gz`` and, with predictions, ``out.tsv.gz``, and the two
+    header files beside the splits. Part files are gzip members, so they are appended as they are, in the order
+    of their numbers: bytes stream from store to store, and nothing is held or decompressed.
+    """
+    hadoop = spark._jvm.org.apache.hadoop
+    conf = spark._jsc.hadoopConfiguration()
+
+    def append(folder: str, file: str) -> None:
+        source, out = hadoop.fs.Path(folder), hadoop.fs.Path(file)
+        fs = source.getFileSystem(conf)
+        if not fs.exists(source):
+            return
+        names = [s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")]
+        stream = out.getFileSystem(conf).create(out, True)
+        try:
+            for part in sorted(names, key=lambda p: int(p.getName().split("-")[1])):
+                given = fs.open(part)
+                try:
+                    hadoop.io.IOUtils.copyBytes(given, stream, conf, False)
+                finally:
+                    given.close()
+        finally:
+            stream.close()
+
+    for kind in ("in", "expected", "out"):
+        for name in config.PUBLISHED_NAMES.values():
+            append(f"{path}/{kind}/split={name}", f"{target}/{name}/{kind}.tsv.gz")
+    for name in ("in-header", "out-header"):
+        append(f"{path}/headers/file={name}", f"{target}/{name}.tsv")

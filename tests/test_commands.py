@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -64,3 +65,25 @@ def test_describe_and_publish(work):
     run("publish", "--input", root / "prepared/parquet", "--output", root / "published")
     assert not (root / "published/public/expected/split=test-A").exists()
     assert (root / "published/private/expected/split=test-A").exists()
+
+
+def test_single_files_and_their_way_back(work, spark):
+    root, run = work
+    run("classify", "--input", root / "prepared/parquet", "--output", root / "c2", "--family", "naive_bayes")
+    run("publish", "--input", root / "prepared/parquet", "--output", root / "p2", "--single-files", "--predictions", root / "c2/predictions")
+    files = root / "p2/private-files"
+    assert (files / "in-header.tsv").read_text().strip() == "InText\tTime"
+    n_lines = {}
+    for split in ("train", "dev-0", "test-A"):
+        with gzip.open(files / split / "in.tsv.gz", "rt", encoding="utf8", newline="\n") as a:
+            n_lines[split] = len(a.read().splitlines())
+        with gzip.open(files / split / "expected.tsv.gz", "rt", encoding="utf8", newline="\n") as b:
+            assert len(b.read().split("\n")) - 1 == n_lines[split]
+    assert sum(n_lines.values()) == 196 and not (root / "p2/public-files/test-A/expected.tsv.gz").exists()
+    assert (files / "test-A/out.tsv.gz").exists()
+    run("ingest", "--format", "tsv", "--input", files, "--output", root / "back")
+    back, stored = spark.read.parquet(str(root / "back")), spark.read.parquet(str(root / "prepared/parquet"))
+    key = lambda df: sorted((r["split"], r["text"], r["date"], tuple(r["labels"])) for r in df.collect())
+    assert key(back) == key(stored)
+    run("describe", "--input", root / "back", "--output", root / "profile2")
+    assert json.loads(lines(root / "profile2/corpus_count")[0]) == {"n_docs": 196}
