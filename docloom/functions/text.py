@@ -40,6 +40,11 @@ def tokenize_words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(P.TOKEN), F.lit(0))
 
 
+def count_words(c: Column) -> Column:
+    """The number of tokens, without making them."""
+    return F.regexp_count(c, F.lit(P.TOKEN))
+
+
 def is_numeric_token(c: Column) -> Column:
     return c.rlike(P.NUMERIC_TOKEN)
 
@@ -89,7 +94,14 @@ _TRAIL = _chars(0x80, 0xBF)
 _MOJIBAKE = re.compile(f"(?:[ÂÃ]{_TRAIL}|â{_chars(0x80, 0x84)}{_TRAIL}|ð{_chars(0x9F, 0x9F)}{_TRAIL}{{2}}|ï»¿)+")
 
 
+_CLOSING = "»\u00a0"
+
+
 def _repair_match(match: re.Match) -> str:
+    before = match.string[match.start() - 1 : match.start()]
+    if len(match.group()) == 2 and match.group()[1] in _CLOSING and before.isupper():
+        # A word in capitals that ends in such a letter, before a closing quote or a no-break space.
+        return match.group()
     try:
         return bytes(_CP1252[ch] if ch in _CP1252 else ord(ch) for ch in match.group()).decode("utf-8")
     except (UnicodeDecodeError, ValueError):

@@ -47,8 +47,7 @@ def length_profile(df: DataFrame, text: str = "text") -> DataFrame:
 
 def token_length_hist(df: DataFrame, text: str = "text") -> DataFrame:
     """Documents per number of tokens."""
-    n = F.size(X.tokenize_words(F.col(text)))
-    return df.groupBy(n.alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    return df.groupBy(X.count_words(F.col(text)).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def token_length_hist_nonnumeric(df: DataFrame, text: str = "text") -> DataFrame:

@@ -90,6 +90,8 @@ def test_cleaner_is_idempotent(spark):
         ("café", "café"),
         ("«qualité »", "«qualité »"),
         ("«CAFÉ»", "«CAFÉ»"),
+        ("«AMANHÃ»", "«AMANHÃ»"),
+        ("voilÃ\u00a0 lÃ\u00a0", "voilà là"),
         ("plain", "plain"),
         (None, None),
     ],
