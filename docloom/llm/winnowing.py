@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.row_index import global_row_index
+from docloom.llm.common import stable_sample
 
 GRAM = 16
 # A power of two.
@@ -26,6 +26,10 @@ SEGMENT = 4096
 _PLACE_BITS = 13
 _LAST_PLACE = (1 << _PLACE_BITS) - 1
 _REACH = GRAM + WINDOW - 1
+# Buckets of neighbouring documents: characters in one, how many at most, and sampled keys for each bound.
+_BUCKET_CHARS = 4_000_000
+_MAX_BUCKETS = 50_000
+_SAMPLE_PER_BUCKET = 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -118,6 +122,10 @@ def _until(own: Column, length: Column) -> Column:
     return F.filter(own, lambda x, i: first_window(x, i) <= last_window)
 
 
+def _pick(pos: Column, hash_: Column) -> Column:
+    return F.struct(pos.alias("pos"), hash_.alias("hash"))
+
+
 def _moved(own: Column, by: Column) -> Column:
     return F.transform(own, lambda x: F.struct((x["pos"] + by).cast("int").alias("pos"), x["hash"].alias("hash")))
 
@@ -140,24 +148,70 @@ def likeness(left: Column, right: Column) -> Column:
     return shared / (F.size(left) + F.size(right) - shared)
 
 
-def _next_documents(keys: DataFrame) -> DataFrame:
-    """``(kid, kh, doc_id, prev_kid, prev_kh, prev_half)``: which document comes before each, by descending doc_id.
+def _bucket(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` do not exceed ``value``, by a search in two steps."""
+
+    def constant(values: list[int]) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    def upto(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b <= value))
+
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    before = F.greatest(upto(constant(bounds[::step])) - 1, F.lit(0)) * step
+    return before + upto(F.slice(constant(bounds), before + 1, F.lit(step)))
+
+
+def _bounds(keys: DataFrame, n_buckets: int) -> list[int]:
+    """Existing keys that divide all keys into about ``n_buckets`` runs of like length."""
+    sample = stable_sample(keys, _SAMPLE_PER_BUCKET * n_buckets, "falling").where("falling is not null").collect()
+    return sorted({r["falling"] for r in sorted(sample)[:: max(1, len(sample) // n_buckets)]})
+
 
-    Only keys take part: they are numbered by range partitions and joined with their neighbours.
+def _with_next(docs: DataFrame) -> DataFrame:
+    """``docs (absent, falling, kh, body, n_chars, hashes, places)`` with ``next_*`` columns of the next document.
+
+    Runs of the order become buckets; a bucket's first documents are copied behind the one before it, and the
+    very first behind the last bucket, so that each document finds its next one in its own bucket. Texts are
+    shuffled once, to their bucket.
     """
-    order = keys.distinct().select(
-        F.col("doc_id").isNull().alias("absent"), F.bitwise_not("doc_id").alias("falling"), "kh", "kid", "n_chars"
-    )
-    placed = global_row_index(order, ["absent", "falling", "kh"])
-    n = placed.count()
-    before = placed.select(
-        F.pmod(F.col("row_idx") + 1, F.lit(max(1, n))).alias("at"),
-        F.col("kid").alias("prev_kid"),
-        F.col("kh").alias("prev_kh"),
-        F.floor(F.col("n_chars") / 2).cast("int").alias("prev_half"),
+    order = ["absent", "falling", "kh"]
+    keys = docs.select(*order, "n_chars")
+    totals = keys.agg(F.sum("n_chars").alias("chars"), F.min(F.struct(*order)).alias("first")).first()
+    if totals["first"] is None:
+        totals = {"chars": 0, "first": {"absent": False, "falling": 0, "kh": 0}}
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = min(_MAX_BUCKETS, max(2 * partitions, totals["chars"] // _BUCKET_CHARS))
+    bounds = _bounds(keys.select("falling"), n_buckets)
+    last = len(bounds)
+    bucket = F.when(F.col("absent"), F.lit(last)).otherwise(_bucket(F.col("falling"), bounds))
+    heads = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
+    leads = (F.col("bucket") > 0) & F.coalesce(F.col("falling") == F.get(heads, F.col("bucket") - 1), F.lit(False))
+    first = F.lit(True)
+    for name in order:
+        first = first & F.col(name).eqNullSafe(F.lit(totals["first"][name]))
+
+    def place(at: Column, copy: bool) -> Column:
+        return F.struct(at.cast("int").alias("bucket"), F.lit(copy).alias("copy"))
+
+    places = F.array_compact(
+        F.array(
+            place(F.col("bucket"), False),
+            F.when(leads, place(F.col("bucket") - 1, True)),
+            F.when(first, place(F.lit(last), True)),
+        )
     )
-    doc_id = F.bitwise_not("falling").alias("doc_id")
-    return placed.join(before, F.col("row_idx") == F.col("at")).select("kid", "kh", doc_id, "prev_kid", "prev_kh", "prev_half")
+    wide = ["body", "n_chars", "hashes", "places"]
+    dealt = docs.withColumn("bucket", bucket).withColumn("at", F.explode(places)).select(*order, *wide, "at.bucket", "at.copy")
+    same = Window.partitionBy("bucket", "copy", *order)
+    times = F.count(F.lit(1)).over(same)
+    nth = F.row_number().over(same.orderBy("bucket"))
+    once = dealt.repartition("bucket").withColumn("times", times).withColumn("nth", nth).where("nth = 1")
+    in_order = Window.partitionBy("bucket").orderBy("copy", *order)
+    following = once.select("*", *[F.lead(c).over(in_order).alias(f"next_{c}") for c in wide])
+    return following.where("not copy").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -180,35 +234,37 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     ignored.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
-    given = docs.select(
-        "doc_id",
+    found = docs.select(
+        F.col("doc_id").isNull().alias("absent"),
+        # Rises as doc_id falls, without overflow.
+        F.bitwise_not("doc_id").alias("falling"),
+        F.xxhash64(body).alias("kh"),
         body.alias("body"),
-        F.coalesce("doc_id", F.lit(0)).alias("kid"),
-        F.xxhash64(body, F.col("doc_id").isNull()).alias("kh"),
         F.char_length(body).alias("n_chars"),
+        picks(body).alias("picks"),
     )
-    order = _next_documents(given.select("doc_id", "kid", "kh", "n_chars"))
-    # Partitioned and sorted by (kid, kh) from here on. Both sides of the join below read this one exchange, for
-    # which they must need the same columns of it: doc_id comes back with the order.
-    found = given.select("kid", "kh", "body", "n_chars", picks(F.col("body")).alias("picks"))
-    own = found.join(order.hint("merge"), ["kid", "kh"])
-    once = F.row_number().over(Window.partitionBy("kid", "kh").orderBy("kid"))
-    following = (
-        own.select("kid", "kh", "prev_kid", "prev_kh", "prev_half", "body", "n_chars", "picks", once.alias("nth"))
-        .where("nth = 1")
-        .select(
-            F.col("prev_kid").alias("kid"),
-            F.col("prev_kh").alias("kh"),
-            F.substring(F.col("body"), F.lit(1), F.col("prev_half")).alias("head"),
-            F.least("prev_half", "n_chars").alias("n_head"),
-            F.col("picks").alias("next_picks"),
-        )
+    # Two plain arrays take a third of the bytes of an array of structs when they are shuffled.
+    narrow = found.select("absent", "falling", "kh", "body", "n_chars", F.col("picks.hash").alias("hashes"), F.col("picks.pos").alias("places"))
+    both = _with_next(narrow).select(
+        F.bitwise_not("falling").alias("doc_id"),
+        "body",
+        "n_chars",
+        F.zip_with("places", "hashes", _pick).alias("picks"),
+        F.zip_with("next_places", "next_hashes", _pick).alias("next_picks"),
+        "next_body",
+        (F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")).alias("n_kept"),
+        F.least(F.floor(F.col("n_chars") / 2).cast("int"), F.col("next_n_chars")).alias("n_head"),
+    )
+    edited = both.select(
+        "doc_id",
+        "n_chars",
+        "picks",
+        "next_picks",
+        "n_kept",
+        "n_head",
+        F.substring(F.col("body"), F.lit(1), F.col("n_kept")).alias("kept"),
+        F.substring(F.col("next_body"), F.lit(1), F.col("n_head")).alias("head"),
     )
-    both = own.select("doc_id", "kid", "kh", "body", "n_chars", "picks").join(following.hint("merge"), ["kid", "kh"])
-
-    n_kept = F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")
-    kept = F.substring(F.col("body"), F.lit(1), n_kept)
-    edited = both.select("doc_id", "n_chars", "picks", "next_picks", kept.alias("kept"), n_kept.alias("n_kept"), "head", "n_head")
     side = _REACH - 1
     tail = F.substring(F.col("kept"), F.greatest(F.col("n_kept") - side, F.lit(0)) + 1, F.lit(side))
     seam = F.concat(tail, F.substring(F.col("head"), F.lit(1), F.lit(side)))
