@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig, LanguageModelConfig, SplitConfig
 from docloom.functions.labels import join_labels
-from docloom.operators import bpe, models, profile, validate
+from docloom.operators import models, profile, validate
 from docloom.operators.labels import collect_vocabulary, label_frequency, unmapped_labels
 from docloom.plans import stages
 from docloom.session import get_spark

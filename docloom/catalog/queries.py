@@ -15,7 +15,7 @@ from docloom.config import MASK_TOKENS, SPECIAL_TOKENS
 from docloom.functions import encoding as E
 from docloom.functions import labels as L
 from docloom.functions import text as X
-from docloom.operators import bpe, labels, metrics, models, ngram_lm, profile, split, validate
+from docloom.operators import bpe, labels, metrics, models, profile, split, validate
 from docloom.operators.row_index import global_row_index
 from docloom.plans import stages
 from docloom.session import scratch_path
