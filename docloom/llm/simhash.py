@@ -138,7 +138,12 @@ def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, limit: int
     smallest hash of its text; if all ids of a component are null, one of its rows stays likewise. All columns
     pass through.
     """
-    found = near_duplicates(docs, size, limit).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return keep_first(docs, near_duplicates(docs, size, limit))
+
+
+def keep_first(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """``docs`` without those whose doc_id is not the component_id of ``components``."""
+    found = components.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = found.select(F.col("doc_id").alias("gone_id")).distinct()
     rows = docs.select(F.struct("*").alias("_given"))
     kept = rows.join(gone, F.col("_given.doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
