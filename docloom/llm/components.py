@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from docloom.session import discard, materialize, scratch_path
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links (a, b)``; the root is the smallest node reachable.
 
-    A round gives every node the smallest root among its neighbours and then the root of its root, so a
-    chain of length d takes about log d rounds. Every round is written to the shared folder, so neither
-    lineage nor executors' memory carries it, and the round before is deleted. No node's neighbours are
-    ever gathered: they meet in a minimum with a map-side part. Empty links give no rows.
+    A round gives every node the smallest root among its neighbours, the root it had the smallest root that any
+    of its nodes met, and then every node the root of its root. Whole groups so join at once, and a chain of
+    1,000 nodes in any tested order settles in some ten rounds. Roots only fall, so the rounds end by
+    themselves. Every round is written to the shared folder, so neither lineage nor executors' memory carries
+    it, and the round before is deleted. No node's neighbours are ever gathered: they meet in a minimum with a
+    map-side part. Empty links give no rows.
     """
     spark = links.sparkSession
     both = links.where("a != b").select("a", "b")
@@ -22,7 +24,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     path = scratch_path(spark, "labels")
     start = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
     labels = materialize(start.select("node", F.least("node", "least").alias("root")), "labels", path)
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels, both["b"] == labels["node"])
             .groupBy(F.col("a").alias("near_node"))
@@ -31,8 +33,12 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         lower = labels.join(near, F.col("node") == F.col("near_node")).select(
             "node", F.col("root").alias("old"), F.least("root", "near_root").alias("new")
         )
+        # One row for the node itself and one for the root it had; only the first brings the old root.
+        met = lower.groupBy(F.col("old").alias("node")).agg(F.min("new").alias("new"))
+        hooks = lower.unionByName(met, allowMissingColumns=True)
+        hooked = hooks.groupBy("node").agg(F.max("old").alias("old"), F.min("new").alias("new"))
         above = labels.select(F.col("node").alias("above"), F.col("root").alias("above_root"))
-        stepped = lower.join(above, F.col("new") == F.col("above")).select(
+        stepped = hooked.join(above, F.col("new") == F.col("above")).select(
             "node", F.least("new", "above_root").alias("root"), (F.col("old") != F.least("new", "above_root")).alias("moved")
         )
         next_path = scratch_path(spark, "labels")
@@ -42,4 +48,3 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels, path = stepped.select("node", "root"), next_path
         if not moved:
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -92,3 +92,12 @@ def test_components_of_chains_and_stars(spark):
     star = [(5, i) for i in range(200, 260)] + [(300, 300)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 5 for i in range(200, 260)) and 300 not in got
+
+
+def test_components_of_long_chains_in_any_order(spark):
+    rng = np.random.default_rng(4)
+    # The smallest node at the far end of a rising chain, the two smallest at both ends, and random order.
+    orders = [[*range(1, 1000), 0], [1, *(rng.permutation(998) + 2).tolist(), 0], rng.permutation(1000).tolist()]
+    links = [(k * 1000 + a, k * 1000 + b) for k, order in enumerate(orders) for a, b in zip(order, order[1:])]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: i // 1000 * 1000 for i in range(3000)}
