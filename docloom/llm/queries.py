@@ -5,20 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm.common import bound_batches
 from docloom.llm.decontamination import contamination
+from docloom.llm.filter_audit import filter_audit
 from docloom.llm.hmm import lm_scores
 from docloom.llm.line_dedup import line_dedup
+from docloom.llm.mixing import mix, word_count
 from docloom.llm.oracle import ORACLE_SQL
 from docloom.llm.piece_encoding import round_trip
 from docloom.llm.pieces import load_model
 from docloom.llm.quality import sampled
 from docloom.llm.secret_scan import secrets
 from docloom.llm.simhash import near_duplicates
+from docloom.llm.spelling import spelling_variants
 from docloom.llm.token_counts import token_counts
 from docloom.llm.toxicity import toxicity
 from docloom.llm.winnowing import edited_fingerprints
+from docloom.session import materialize
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -100,3 +105,25 @@ def op9_simhash(spark, sf_dir):
 def op10_decontamination(spark, sf_dir):
     """Words, hit words and items of every document."""
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    """What each of five filters removes in every order of them, per language."""
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_mixing(spark, sf_dir):
+    """Target of every document's source and the words that the mix takes of the document."""
+    docs = _table(spark, sf_dir, "documents")
+    # Sizes are all that a plan needs: texts are read once and not shuffled.
+    sized = materialize(docs.select("doc_id", "source", word_count().alias("size")), "document-sizes")
+    taken = F.col("copies") * F.col("size")
+    return mix(sized).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+@query
+def op13_spelling(spark, sf_dir):
+    """Words with their near words, their more frequent form and its root."""
+    return spelling_variants(_table(spark, sf_dir, "documents"))
