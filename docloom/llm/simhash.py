@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from docloom.llm import vp_tree
 from docloom.llm.common import stable_sample, text_bytes
 from docloom.llm.components import connected_components
+from docloom.llm.rows import keep_first
 from docloom.session import materialize
 
 SHINGLE_WORDS = 4
@@ -108,6 +109,17 @@ def fingerprint_links(distinct: DataFrame, limit: int = MAX_DISTANCE, blocks: in
     return placed.groupBy("block", "shard").applyInPandas(join, "a long, b long")
 
 
+def _grouped(docs: DataFrame, size: int, limit: int, blocks: int, shard_size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, text_hash, fp)`` and distinct fingerprints ``(fp, first, group)``."""
+    given = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    marked = materialize(fingerprints(given, size).select("_given.doc_id", "_given.text_hash", "fp"), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")
+    distinct = materialize(marked.groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
+    nodes = connected_components(fingerprint_links(distinct, limit, blocks, shard_size))
+    grouped = distinct.join(nodes, distinct["fp"] == nodes["node"], "left")
+    return marked, grouped.select("fp", "first", F.coalesce("root", "fp").alias("group"))
+
+
 def near_duplicates(
     docs: DataFrame, size: int = SHINGLE_WORDS, limit: int = MAX_DISTANCE, blocks: int = BLOCKS, shard_size: int = SHARD_SIZE
 ) -> DataFrame:
@@ -119,32 +131,19 @@ def near_duplicates(
     named by the smallest doc_id reachable. Ties and repeated rows share a component, each with its own
     row; a null doc_id never names a component unless all its members are null. Other columns are ignored.
     """
-    marked = materialize(fingerprints(docs.select("doc_id", "text"), size).select("_given.doc_id", "fp"), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    nodes = connected_components(fingerprint_links(distinct, limit, blocks, shard_size))
-    grouped = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("group")
-    )
-    names = grouped.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    marked, grouped = _grouped(docs, size, limit, blocks, shard_size)
+    names = grouped.groupBy("group").agg(F.min("first")["doc_id"].alias("component_id"))
     named = grouped.join(names, "group").select(F.col("fp").alias("named_fp"), "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(named, F.col("fp") == F.col("named_fp")).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, limit: int = MAX_DISTANCE) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id.
+    """``docs`` with one row of each component: the one with the smallest doc_id, null last.
 
-    Only the ids of documents that go are joined. Of rows that repeat a doc_id one stays, the one with the
-    smallest hash of its text; if all ids of a component are null, one of its rows stays likewise. All columns
-    pass through.
+    Of rows that share it, the one with the smallest hash of its text stays, of rows that repeat both one. Rows
+    of another text are judged by that text alone, whatever their doc_id. All columns pass through.
     """
-    return keep_first(docs, near_duplicates(docs, size, limit))
-
-
-def keep_first(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """``docs`` without those whose doc_id is not the component_id of ``components``."""
-    found = components.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = found.select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = docs.select(F.struct("*").alias("_given"))
-    kept = rows.join(gone, F.col("_given.doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    return kept.select(*[F.col("_given").getField(c).alias(c) for c in docs.columns])
+    marked, grouped = _grouped(docs, size, limit, BLOCKS, SHARD_SIZE)
+    kept = grouped.groupBy("group").agg(F.min("first").alias("first"))
+    return keep_first(docs, marked, kept.select("first.doc_id", "first.text_hash"))

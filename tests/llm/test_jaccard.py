@@ -1,6 +1,7 @@
 import corpus_pipeline
-from docloom.llm.jaccard import similar_documents
-from tests.llm.rows import awkward, empty
+from docloom.llm.jaccard import drop_similar, similar_documents
+from docloom.llm.simhash import drop_near_duplicates
+from tests.llm.rows import awkward, empty, plain
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ def slow_components(docs):
     for a in sorted(sets):
         for b in sorted(sets):
             common = len(sets[a] & sets[b])
-            if a < b and root[a] != root[b] and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+            if a < b and root[a] != root[b] and common + 1e-9 >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
                 low, high = sorted((root[a], root[b]))
                 root = {d: low if r == high else r for d, r in root.items()}
     return root
@@ -54,7 +55,50 @@ def test_real_documents_agree_with_all_pairs(spark):
     assert got == slow_components([tuple(r) for r in docs.collect()])
 
 
+def crowds():
+    """Two families of 60 near copies below 0.8 of each other, joined by one document each way only, and loners."""
+    base = [f"b{k}" for k in range(200)]
+    other = [f"o{k}" if k % 8 == 3 else w for k, w in enumerate(base)]
+    docs = []
+    for i in range(60):
+        docs.append((i, " ".join(f"e{i}" if k == 3 * i + 1 else w for k, w in enumerate(base))))
+        docs.append((100 + i, " ".join(f"f{i}" if k == 3 * i + 2 else w for k, w in enumerate(other))))
+    # A chain of edits that leads from the first family away from it.
+    link = [f"g{k}" if 150 <= k < 160 else w for k, w in enumerate(base)]
+    far = [f"h{k}" if 165 <= k < 175 else w for k, w in enumerate(link)]
+    docs += [(200, " ".join(link)), (201, " ".join(far)), (202, " ".join(far[:170])), (203, "alone and short"), (204, "")]
+    return docs
+
+
+def test_groups_that_meet_in_large_buckets_agree_with_all_pairs(spark):
+    docs = crowds()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = slow_components(docs)
+    assert len(set(expected.values())) > 3
+    for few in (32, 4):
+        assert {r["doc_id"]: r["component_id"] for r in similar_documents(df, few=few).collect()} == expected
+
+
+SEVEN = [(1, "c"), (None, "c"), (None, "u"), (5, "v"), (5, "c"), (7, "s"), (7, "s")]
+
+
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(d, f"{t} {words}" if t == "c" else " ".join(f"{t}{k}" for k in range(60)), i) for i, (d, t) in enumerate(SEVEN)], "doc_id long, text string, extra int")
+    for kept in (drop_similar(docs), drop_near_duplicates(docs), corpus_pipeline.near_duplicates(spark, docs, SF_DIR)):
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"] or 0, r["text"][:2].rstrip("0123456789 ")) for r in kept.collect()) == [(0, "u"), (1, "c"), (5, "v"), (7, "s")]
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
-    assert similar_documents(docs).count() == docs.count()
-    assert similar_documents(empty(spark)).count() == 0
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    groups = slow_components([(i, t) for i, (_, t) in enumerate(rows)])
+    got = plain(similar_documents(docs))
+    least = {g: min((rows[i][0] for i in groups if groups[i] == g and rows[i][0] is not None), default=None) for g in groups.values()}
+    assert got == sorted(((rows[i][0], least[g]) for i, g in groups.items()), key=repr)
+    # One row of each group stays, with all its columns.
+    kept = drop_similar(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(groups.values()))
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(d for d in least.values() if d is not None)
+    assert similar_documents(empty(spark)).count() == 0 and drop_similar(empty(spark)).count() == 0
