@@ -205,11 +205,12 @@ _add(
     ("kept", "doc_labels"),
     "SELECT split, label, count(*) AS n_docs FROM kept JOIN doc_labels USING (doc_id) GROUP BY split, label",
 )
-_add(
-    "scan_documents",
-    ("placed",),
-    "SELECT row_idx, content, date, array_to_string(buckets, '|') AS buckets FROM placed",
-)
+for _name in ("scan_documents", "scan_json_array"):
+    _add(
+        _name,
+        ("placed",),
+        "SELECT row_idx, content, date, array_to_string(buckets, '|') AS buckets FROM placed",
+    )
 ORACLE_SQL["scan_label_map"] = (
     _with("raw_labels")
     + ", full_map AS (SELECT * FROM (VALUES "

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.catalog import views as V
-from docloom.config import MASK_TOKENS, SPECIAL_TOKENS
+from docloom.config import MASK_TOKENS, SPECIAL_TOKENS, LanguageModelConfig
 from docloom.functions import encoding as E
 from docloom.functions import labels as L
 from docloom.functions import text as X
@@ -24,6 +24,7 @@ from docloom.sinks import (
     publish_view,
     single_files,
     write_gzip,
+    write_json_arrays,
     write_metrics_json,
     write_text_lines,
     write_tsv_pair,
@@ -35,8 +36,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 _SPLITS = ("train", "test", "dev")
-# Vocabulary size of the learned example: specials, bytes and 247 merges.
-_BPE_SIZE = 512
+# Vocabulary size of the learned example: specials, bytes and merges.
+_BPE_SIZE = LanguageModelConfig.vocab_size
 
 
 def query(function: Query) -> Query:
@@ -74,6 +75,15 @@ def scan_documents_query(spark, sf_dir):
     return docs.select("row_idx", "content", "date", _joined("buckets", "|").alias("buckets"))
 
 
+@query
+def scan_json_array_query(spark, sf_dir):
+    """Documents written as JSON arrays and read back in byte ranges."""
+    path = scratch_path(spark, "documents-array")
+    raw = V.raw_documents(spark, sf_dir).select("doc_id", "content", "date", "buckets")
+    write_json_arrays(raw, path, "doc_id", files=4)
+    return scan_documents(spark, path).select("row_idx", "content", "date", _joined("buckets", "|").alias("buckets"))
+
+
 @query
 def scan_label_map_query(spark, sf_dir):
     """The map read from a JSON object, with the number of documents using each raw label."""

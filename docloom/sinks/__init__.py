@@ -1,4 +1,4 @@
-from docloom.sinks.files import write_gzip, write_metrics_json, write_text_lines, write_tsv_pair
+from docloom.sinks.files import write_gzip, write_json_arrays, write_metrics_json, write_text_lines, write_tsv_pair
 from docloom.sinks.publish import header_rows, publish_layout, publish_view, single_files
 
 __all__ = [
@@ -7,6 +7,7 @@ __all__ = [
     "publish_view",
     "single_files",
     "write_gzip",
+    "write_json_arrays",
     "write_metrics_json",
     "write_text_lines",
     "write_tsv_pair",

@@ -7,6 +7,9 @@ instead.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +95,35 @@ def write_text_lines(
 def write_metrics_json(metrics: DataFrame, path: str) -> None:
     """One record of metrics as a JSON file; the frame has a single row."""
     metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_json_arrays(df: DataFrame, path: str, order_by: str = "row_idx", files: int | None = None) -> None:
+    """One JSON array of objects per file, records in the order of ``order_by`` over the files and inside them.
+
+    ``order_by`` is not written. Null fields are left out; ``files`` defaults to the shuffle partitions.
+    """
+    fields = [c for c in df.columns if c != order_by]
+    ranged = df.repartitionByRange(files, order_by) if files else df.repartitionByRange(order_by)
+    lines = ranged.sortWithinPartitions(order_by).select(F.to_json(F.struct(*fields)).alias("value"))
+    lines.mapInArrow(_as_array, "value string").write.mode("overwrite").text(path)
+
+
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a partition with brackets and commas around them; nothing for no lines."""
+    held: pa.Array | None = None
+    begin = "["
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            yield _lines(begin, held, ",")
+            begin = ""
+        held = batch.column("value")
+    if held is not None:
+        yield _lines(begin, held, "]")
+
+
+def _lines(begin: str, values: pa.Array, end: str) -> pa.RecordBatch:
+    lines = [f"{v}," for v in values.to_pylist()]
+    lines[0], lines[-1] = begin + lines[0], (lines[-1] if len(lines) > 1 else begin + lines[-1])[:-1] + end
+    return pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])

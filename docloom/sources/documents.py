@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.sources.json_array import scan_json_array
 from docloom.sources.position import with_file_position
 
 log = logging.getLogger(__name__)
@@ -31,14 +32,15 @@ def scan_documents(
 ) -> DataFrame:
     """Documents ``(row_idx, content, date, buckets)`` in file order.
 
-    ``format`` is ``json`` (one array per file, not splittable: convert it once), ``jsonl`` or
-    ``parquet``. A missing file is logged and gives no rows, unless ``missing_ok`` is off. Broken
-    JSON is an error, never a null document.
+    ``format`` is ``json`` (one array of objects per file, read in byte ranges), ``jsonl`` or ``parquet``.
+    A missing file is logged and gives no rows, unless ``missing_ok`` is off. Broken JSON is an error,
+    never a null document.
     """
     reader = spark.read.schema(DOCUMENT_SCHEMA).option("mode", "FAILFAST")
     try:
         if format == "json":
-            df = reader.json(path, multiLine=True)
+            df = scan_json_array(spark, path, DOCUMENT_SCHEMA)
+            return df if with_position else df.drop("row_idx")
         elif format == "jsonl":
             df = reader.json(path)
         elif format == "parquet":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.session import materialize
@@ -13,6 +13,13 @@ MAX_BROADCAST_SPLITS = 8_000_000
 _ROW_BITS = 33
 
 
+def file_order(file: str = "_file") -> list[Column]:
+    """Path order: by folder, then numbered part files by their number, then by name."""
+    folder = F.regexp_extract(file, r"^(.*/)?[^/]*$", 1)
+    number = F.regexp_extract(file, r"/part-(\d{1,18})[^/]*$", 1).try_cast("long")
+    return [folder, number, F.col(file)]
+
+
 def with_file_position(df: DataFrame, name: str = "row_idx") -> DataFrame:
     """Add the 0-based position of each row, counted over the files in path order.
 
@@ -37,12 +44,10 @@ def with_file_position(df: DataFrame, name: str = "row_idx") -> DataFrame:
         ),
         "file-splits",
     )
-    folder = F.regexp_extract("_file", r"^(.*/)?[^/]*$", 1)
-    number = F.regexp_extract("_file", r"/part-(\d{1,18})[^/]*$", 1)
     # One row per file split, so the single-partition window is small.
-    in_order = Window.orderBy(folder, F.expr("try_cast(_number as long)"), "_file", "_block")
+    in_order = Window.orderBy(*file_order(), "_block")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("_number", number).select(
+    offsets = splits.select(
         "_file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
     if splits.count() <= MAX_BROADCAST_SPLITS:
