@@ -6,7 +6,9 @@ with one character per symbol, so that a merge is a plain string replacement in
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import heapq
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import closing
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +23,12 @@ from docloom.functions import encoding as E
 from docloom.functions import patterns as P
 from docloom.session import discard, materialize, scratch_path
 
-# Pairs fetched per round; only a prefix of them can be merged in one round anyway.
-_CANDIDATES = 500
+# Pairs that the driver's queue holds about at most; the rest are counted again when they are needed.
+_QUEUE = 500_000
 # Merges applied on the fly before the word table is written anew.
-_PENDING_MERGES = 24
+_PENDING_MERGES = 100
+# Separates the parts of a literal; no symbol, as symbols begin at U+0100.
+_BETWEEN = "\u0001"
 # Symbol ids become characters from here on, clear of ASCII; the surrogate block is skipped.
 _FIRST_CHAR = 0x100
 _SURROGATES = (0xD800, 0xE000)
@@ -165,20 +169,64 @@ class BytePairModel:
         )
 
 
-def mergeable_prefix(ranked: Sequence[str]) -> list[str]:
+class PairQueue:
+    """Pair counts from a floor on, best first, on the driver.
+
+    Counts of old pairs only fall, and a pair of a new symbol is counted whole by the round that makes the symbol.
+    So whatever is not here lies below the floor, and the best pair is known as long as one here reaches it.
+    Heap entries are corrected when they come up.
+    """
+
+    def __init__(self, counts: dict[str, int], floor: int) -> None:
+        self.floor = floor
+        self.counts = {pair: n for pair, n in counts.items() if n >= floor}
+        self.heap = [(-n, pair) for pair, n in self.counts.items()]
+        heapq.heapify(self.heap)
+
+    def update(self, changes: Iterable[tuple[str, int]]) -> None:
+        for pair, change in changes:
+            n = self.counts.get(pair, 0) + change
+            if n >= self.floor:
+                self.counts[pair] = n
+                heapq.heappush(self.heap, (-n, pair))
+            else:
+                self.counts.pop(pair, None)
+        if len(self.heap) > 4 * len(self.counts) + 1_000:
+            self.heap = [(-n, pair) for pair, n in self.counts.items()]
+            heapq.heapify(self.heap)
+
+    def best(self) -> Iterator[str]:
+        """Pairs in falling order of count, equal counts by pair; they stay in the queue."""
+        seen, last = [], None
+        try:
+            while self.heap:
+                entry = heapq.heappop(self.heap)
+                # A pair that changed has a newer entry or none; equal entries count once.
+                if self.counts.get(entry[1]) != -entry[0] or entry == last:
+                    continue
+                last = entry
+                seen.append(entry)
+                yield entry[1]
+        finally:
+            for entry in seen:
+                heapq.heappush(self.heap, entry)
+
+
+def mergeable_prefix(ranked: Iterable[str], room: int) -> list[str]:
     """How far the ranked pairs can be merged in one round with the result of one merge per round.
 
     A merge ``ab`` changes the counts only of pairs that end in ``a`` or begin with ``b``. A new pair
     such as ``x+ab`` is at most as frequent as ``xa`` was. As long as no pair ranked so far touches an
     earlier one, every such ``xa`` or ``by`` is ranked further down, and so is the new pair, as its
-    newer id loses ties. The first pair that is touched ends the round, as does a pair of equal symbols.
+    newer id loses ties. The first pair that is touched ends the round, as does a pair of equal symbols
+    or the end of the ``room``.
     """
     taken: list[str] = []
     begins: set[str] = set()
     ends: set[str] = set()
     for pair in ranked:
         left, right = pair
-        if right in begins or left in ends:
+        if len(taken) == room or right in begins or left in ends:
             break
         taken.append(pair)
         if left == right:
@@ -188,25 +236,67 @@ def mergeable_prefix(ranked: Sequence[str]) -> list[str]:
     return taken
 
 
+def _listed(values: Sequence[str]) -> Column:
+    """An array constant, made by one literal however long it is."""
+    return F.split(F.lit(_BETWEEN.join(values)), _BETWEEN)
+
+
 def _apply_merges(symbols: Column, merges: Sequence[tuple[str, str]]) -> Column:
     """Replace each pair by its new symbol, left to right, one merge after the other."""
-    steps = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(s).alias("symbol")) for p, s in merges])
+    if not merges:
+        return symbols
+    pairs, made = zip(*merges)
+    steps = F.arrays_zip(_listed(pairs).alias("pair"), _listed(made).alias("symbol"))
     return F.aggregate(steps, symbols, lambda acc, m: F.replace(acc, m["pair"], m["symbol"]))
 
 
+def _count_changes(words: DataFrame, merges: Sequence[tuple[str, str]]) -> list[tuple[str, int]]:
+    """How the merges change the counts of pairs, from the words that hold one of them alone."""
+    # A pair of a round has no symbol that another of them begins or ends with, so each is found as it stands.
+    any_pair = "(?s)" + "|".join(r"\Q" + pair + r"\E" for pair, _ in merges)
+    held = words.where(F.col("symbols").rlike(any_pair)).withColumn("merged", _apply_merges(F.col("symbols"), merges))
+    uses = F.concat(
+        F.transform(_pairs(F.col("merged")), lambda p: F.struct(p.alias("pair"), F.lit(1).alias("sign"))),
+        F.transform(_pairs(F.col("symbols")), lambda p: F.struct(p.alias("pair"), F.lit(-1).alias("sign"))),
+    )
+    signed = held.select(F.explode(uses).alias("use"), "n_uses").select("use.pair", (F.col("use.sign") * F.col("n_uses")).alias("change"))
+    changes = signed.groupBy("pair").agg(F.sum("change").alias("change")).where("change != 0")
+    return [(row["pair"], row["change"]) for row in changes.collect()]
+
+
+def _filled_queue(words: DataFrame, min_frequency: int, size: int, below: int | None) -> PairQueue:
+    """The pairs from the lowest floor on, a power of two, that keeps about ``size`` of them at most.
+
+    ``below`` is the floor of the queue before, which the new one undercuts.
+    """
+    pairs = materialize(bpe_pair_counts(words, min_frequency), "bpe-pairs")
+    band = F.floor(F.log2("n_uses")).cast("int").alias("band")
+    bands = sorted((r["band"], r["n"]) for r in pairs.groupBy(band).agg(F.count(F.lit(1)).alias("n")).collect())
+    floor, total = None, 0
+    for b, n in reversed(bands):
+        if floor is not None and total + n > size and (below is None or floor < below):
+            break
+        floor, total = 1 << b, total + n
+    floor = min_frequency if floor is None or 1 << bands[0][0] == floor else max(floor, min_frequency)
+    found = pairs.where(F.col("n_uses") >= floor).toPandas()
+    return PairQueue(dict(zip(found["pair"], found["n_uses"].tolist())), floor)
+
+
 def bpe_learn(
     word_counts: DataFrame,
     vocab_size: int = LanguageModelConfig.vocab_size,
     min_frequency: int = LanguageModelConfig.min_frequency,
     special_tokens: Sequence[str] = SPECIAL_TOKENS,
+    queue_size: int = _QUEUE,
 ) -> BytePairModel:
     """Learn merges until the vocabulary is full or no pair is frequent enough.
 
-    Every round counts the pairs on Spark and brings the most frequent ones to the driver, at most
-    ``_CANDIDATES``. All pairs that provably would be merged next are merged together, so the result is
-    that of one merge per round, with equal counts in id order. The word table is written to the shared
-    scratch folder now and then, without the words that have become a single symbol, and replaces the
-    table before it.
+    All pairs are counted once. A round then takes the best pairs of the queue, all that provably would be merged
+    next, so the result is that of one merge per round with equal counts in id order; the words that hold one of
+    them report what their pairs lose and gain, and only these changes, at most four rows per merge and symbol,
+    reach the driver. When no pair is left above the queue's floor, the pairs are counted again with a lower one.
+    The word table is written to the shared scratch folder now and then, without the words that have become a
+    single symbol, and replaces the table before it.
     """
     spark = word_counts.sparkSession
     n_special = len(special_tokens)
@@ -217,21 +307,26 @@ def bpe_learn(
     cores = spark.sparkContext.defaultParallelism
     path = scratch_path(spark, "bpe-words")
     table = materialize(symbol_table(word_counts, n_special).repartition(cores, "symbols"), "bpe-words", path)
+
+    def current() -> DataFrame:
+        return table.select(_apply_merges(F.col("symbols"), pending).alias("symbols"), "n_uses")
+
+    queue = _filled_queue(current(), min_frequency, queue_size, None)
     while first_merge_id + len(merges) < vocab_size:
-        current = table.select(_apply_merges(F.col("symbols"), pending).alias("symbols"), "n_uses") if pending else table
-        ranked = (
-            bpe_pair_counts(current, min_frequency).orderBy(F.desc("n_uses"), "pair").limit(_CANDIDATES).collect()
-        )
-        if not ranked:
-            break
-        room = vocab_size - first_merge_id - len(merges)
-        for pair in mergeable_prefix([row["pair"] for row in ranked])[:room]:
-            pending.append((pair, symbol_char(first_merge_id + len(merges))))
-            merges.append((symbol_id(pair[0]), symbol_id(pair[1])))
+        with closing(queue.best()) as ranked:
+            taken = mergeable_prefix(ranked, vocab_size - first_merge_id - len(merges))
+        if not taken:
+            if queue.floor <= min_frequency:
+                break
+            queue = _filled_queue(current(), min_frequency, queue_size, queue.floor)
+            continue
+        now = [(pair, symbol_char(first_merge_id + len(merges) + i)) for i, pair in enumerate(taken)]
+        queue.update(_count_changes(current(), now))
+        merges += [(symbol_id(pair[0]), symbol_id(pair[1])) for pair in taken]
+        pending += now
         if len(pending) >= _PENDING_MERGES:
-            merged = _apply_merges(F.col("symbols"), pending).alias("symbols")
             superseded, path = path, scratch_path(spark, "bpe-words")
-            table = materialize(table.select(merged, "n_uses").where(F.length("symbols") > 1), "bpe-words", path)
+            table = materialize(current().where(F.length("symbols") > 1), "bpe-words", path)
             discard(spark, superseded)
             pending = []
     discard(spark, path)

@@ -108,7 +108,7 @@ def test_joint_rounds_equal_single_merges(seed):
             for p in zip(w, w[1:]):
                 counts[p] += n
         ranked = [chr(a) + chr(b) for a, b in sorted(counts, key=lambda p: (-counts[p], p)) if counts[(a, b)] >= 2]
-        taken = bpe.mergeable_prefix(ranked)[: size - first - len(got)]
+        taken = bpe.mergeable_prefix(ranked, size - first - len(got))
         if not taken:
             break
         for pair in taken:
@@ -140,6 +140,36 @@ def test_only_own_scratch_tables_are_discarded(spark, tmp_path):
 
 def test_result_does_not_depend_on_when_the_table_is_written(texts, model, monkeypatch):
     monkeypatch.setattr(bpe, "_PENDING_MERGES", 7)
-    monkeypatch.setattr(bpe, "_CANDIDATES", 3)
     counts = bpe.bpe_word_counts(texts)
     assert bpe.bpe_learn(counts, vocab_size=290).merges == model.merges[: 290 - 265]
+
+
+def test_a_small_queue_is_filled_again(texts, model, monkeypatch):
+    fills = []
+    fill = bpe._filled_queue
+    monkeypatch.setattr(bpe, "_filled_queue", lambda *a: fills.append(a[3]) or fill(*a))
+    assert bpe.bpe_learn(bpe.bpe_word_counts(texts), vocab_size=330, queue_size=3).merges == model.merges
+    floors = [f for f in fills if f is not None]
+    assert len(floors) > 1 and floors == sorted(floors, reverse=True)
+
+
+def test_changes_of_counts_equal_a_recount(spark):
+    words = {"abab": 3, "aab": 2, "b": 9, "cabc": 1, "xyz": 4}
+    table = spark.createDataFrame(list(words.items()), "symbols string, n_uses long")
+    for merges in ([("ab", "Z")], [("ca", "Y"), ("xy", "X")], [("aa", "W")]):
+        after = table.select(bpe._apply_merges(table.symbols, merges).alias("symbols"), "n_uses")
+        counts = [{r["pair"]: r["n_uses"] for r in bpe.bpe_pair_counts(t, 1).collect()} for t in (table, after)]
+        expected = {p: counts[1].get(p, 0) - counts[0].get(p, 0) for p in {*counts[0], *counts[1]}}
+        assert dict(bpe._count_changes(table, merges)) == {p: n for p, n in expected.items() if n}
+
+
+def test_a_learned_vocabulary_of_documents_matches_an_established_trainer(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    lines = rows.selectExpr("translate(text, '\\r\\n', '  ') as lm_text")
+    file = tmp_path / "lines.txt"
+    file.write_text("".join(r["lm_text"] + "\n" for r in lines.collect()), encoding="utf8", newline="")
+    other = tokenizers.ByteLevelBPETokenizer()
+    other.train([str(file)], vocab_size=1500, min_frequency=2, special_tokens=list(SPECIAL_TOKENS), show_progress=False)
+    learned = bpe.bpe_learn(bpe.bpe_word_counts(lines), vocab_size=1500)
+    assert [t for t, _ in sorted(other.get_vocab().items(), key=lambda kv: kv[1])] == learned.tokens()
