@@ -7,8 +7,8 @@ with one character per symbol, so that a merge is a plain string replacement in
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator, Sequence
-from contextlib import closing
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +23,9 @@ from docloom.functions import encoding as E
 from docloom.functions import patterns as P
 from docloom.session import discard, materialize, scratch_path
 
-# Pairs that the driver's queue holds about at most; the rest are counted again when they are needed.
-_QUEUE = 500_000
-# Merges applied on the fly before the word table is written anew.
-_PENDING_MERGES = 100
-# Separates the parts of a literal; no symbol, as symbols begin at U+0100.
-_BETWEEN = "\u0001"
+# Stretches of words that a round of learning may bring to the driver, and the pairs that the first round tries.
+MAX_FRAGMENTS = 200_000
+_FIRST_PAIRS = 4_096
 # Symbol ids become characters from here on, clear of ASCII; the surrogate block is skipped.
 _FIRST_CHAR = 0x100
 _SURROGATES = (0xD800, 0xE000)
@@ -169,117 +166,100 @@ class BytePairModel:
         )
 
 
-class PairQueue:
-    """Pair counts from a floor on, best first, on the driver.
+def merge_word(symbols: str, ranks: dict[str, int], made: Sequence[tuple[str, str]]) -> str:
+    """A word after the merges of ``ranks``, the earliest first, each left to right."""
+    while len(symbols) > 1:
+        rank = min(ranks.get(symbols[i : i + 2], len(made)) for i in range(len(symbols) - 1))
+        if rank == len(made):
+            break
+        pair, symbol = made[rank]
+        symbols = symbols.replace(pair, symbol)
+    return symbols
 
-    Counts of old pairs only fall, and a pair of a new symbol is counted whole by the round that makes the symbol.
-    So whatever is not here lies below the floor, and the best pair is known as long as one here reaches it.
-    Heap entries are corrected when they come up.
-    """
 
-    def __init__(self, counts: dict[str, int], floor: int) -> None:
-        self.floor = floor
-        self.counts = {pair: n for pair, n in counts.items() if n >= floor}
-        self.heap = [(-n, pair) for pair, n in self.counts.items()]
-        heapq.heapify(self.heap)
-
-    def update(self, changes: Iterable[tuple[str, int]]) -> None:
-        for pair, change in changes:
-            n = self.counts.get(pair, 0) + change
-            if n >= self.floor:
-                self.counts[pair] = n
-                heapq.heappush(self.heap, (-n, pair))
-            else:
-                self.counts.pop(pair, None)
-        if len(self.heap) > 4 * len(self.counts) + 1_000:
-            self.heap = [(-n, pair) for pair, n in self.counts.items()]
-            heapq.heapify(self.heap)
-
-    def best(self) -> Iterator[str]:
-        """Pairs in falling order of count, equal counts by pair; they stay in the queue."""
-        seen, last = [], None
-        try:
-            while self.heap:
-                entry = heapq.heappop(self.heap)
-                # A pair that changed has a newer entry or none; equal entries count once.
-                if self.counts.get(entry[1]) != -entry[0] or entry == last:
-                    continue
-                last = entry
-                seen.append(entry)
-                yield entry[1]
-        finally:
-            for entry in seen:
-                heapq.heappush(self.heap, entry)
-
-
-def mergeable_prefix(ranked: Iterable[str], room: int) -> list[str]:
-    """How far the ranked pairs can be merged in one round with the result of one merge per round.
-
-    A merge ``ab`` changes the counts only of pairs that end in ``a`` or begin with ``b``. A new pair
-    such as ``x+ab`` is at most as frequent as ``xa`` was. As long as no pair ranked so far touches an
-    earlier one, every such ``xa`` or ``by`` is ranked further down, and so is the new pair, as its
-    newer id loses ties. The first pair that is touched ends the round, as does a pair of equal symbols
-    or the end of the ``room``.
-    """
-    taken: list[str] = []
-    begins: set[str] = set()
-    ends: set[str] = set()
-    for pair in ranked:
-        left, right = pair
-        if len(taken) == room or right in begins or left in ends:
-            break
-        taken.append(pair)
-        if left == right:
-            break
-        begins.add(left)
-        ends.add(right)
-    return taken
+def _merged(shared):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = shared.value
+        ranks = {pair: i for i, (pair, _) in enumerate(made)}
+        for batch in batches:
+            words = [merge_word(w, ranks, made) for w in batch.column("symbols").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column("n_uses")], names=["symbols", "n_uses"])
 
+    return of
 
-def _listed(values: Sequence[str]) -> Column:
-    """An array constant, made by one literal however long it is."""
-    return F.split(F.lit(_BETWEEN.join(values)), _BETWEEN)
 
+def fragments(symbols: str, pairs: frozenset[str]) -> list[str]:
+    """The stretches of a word in which every two neighbours are one of ``pairs``."""
+    out, start = [], 0
+    for i in range(1, len(symbols) + 1):
+        if i == len(symbols) or symbols[i - 1 : i + 1] not in pairs:
+            if i - start > 1:
+                out.append(symbols[start:i])
+            start = i
+    return out
 
-def _apply_merges(symbols: Column, merges: Sequence[tuple[str, str]]) -> Column:
-    """Replace each pair by its new symbol, left to right, one merge after the other."""
-    if not merges:
-        return symbols
-    pairs, made = zip(*merges)
-    steps = F.arrays_zip(_listed(pairs).alias("pair"), _listed(made).alias("symbol"))
-    return F.aggregate(steps, symbols, lambda acc, m: F.replace(acc, m["pair"], m["symbol"]))
 
+def _fragmented(shared):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = shared.value
+        for batch in batches:
+            found: Counter[str] = Counter()
+            for word, n in zip(batch.column("symbols").to_pylist(), batch.column("n_uses").to_pylist()):
+                for part in fragments(word, pairs):
+                    found[part] += n
+            columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "n_uses"])
 
-def _count_changes(words: DataFrame, merges: Sequence[tuple[str, str]]) -> list[tuple[str, int]]:
-    """How the merges change the counts of pairs, from the words that hold one of them alone."""
-    # A pair of a round has no symbol that another of them begins or ends with, so each is found as it stands.
-    any_pair = "(?s)" + "|".join(r"\Q" + pair + r"\E" for pair, _ in merges)
-    held = words.where(F.col("symbols").rlike(any_pair)).withColumn("merged", _apply_merges(F.col("symbols"), merges))
-    uses = F.concat(
-        F.transform(_pairs(F.col("merged")), lambda p: F.struct(p.alias("pair"), F.lit(1).alias("sign"))),
-        F.transform(_pairs(F.col("symbols")), lambda p: F.struct(p.alias("pair"), F.lit(-1).alias("sign"))),
-    )
-    signed = held.select(F.explode(uses).alias("use"), "n_uses").select("use.pair", (F.col("use.sign") * F.col("n_uses")).alias("change"))
-    changes = signed.groupBy("pair").agg(F.sum("change").alias("change")).where("change != 0")
-    return [(row["pair"], row["change"]) for row in changes.collect()]
+    return of
 
 
-def _filled_queue(words: DataFrame, min_frequency: int, size: int, below: int | None) -> PairQueue:
-    """The pairs from the lowest floor on, a power of two, that keeps about ``size`` of them at most.
+def merge_fragments(parts: Iterable[tuple[str, int]], least: tuple[int, str], room: int, symbol_of: Callable[[int], str]) -> list[tuple[str, str]]:
+    """Merge the best pair of ``parts (fragment, uses)`` again and again, as ``(pair, new symbol)`` in order.
 
-    ``below`` is the floor of the queue before, which the new one undercuts.
+    It ends with the first pair that ranks after ``least (uses, pair)``, or when ``room`` merges are made. The
+    new symbol of merge ``i`` is ``symbol_of(i)``. Counts are kept up to date from the fragments that hold the
+    pair, which an index by pair knows; entries of the queue are corrected when they come up.
     """
-    pairs = materialize(bpe_pair_counts(words, min_frequency), "bpe-pairs")
-    band = F.floor(F.log2("n_uses")).cast("int").alias("band")
-    bands = sorted((r["band"], r["n"]) for r in pairs.groupBy(band).agg(F.count(F.lit(1)).alias("n")).collect())
-    floor, total = None, 0
-    for b, n in reversed(bands):
-        if floor is not None and total + n > size and (below is None or floor < below):
+    words, uses = [p for p, _ in parts], [n for _, n in parts]
+    counts: Counter[str] = Counter()
+    places: dict[str, set[int]] = {}
+    for at, (word, n) in enumerate(zip(words, uses)):
+        for i in range(len(word) - 1):
+            counts[word[i : i + 2]] += n
+            places.setdefault(word[i : i + 2], set()).add(at)
+    heap = [(-n, pair) for pair, n in counts.items()]
+    heapq.heapify(heap)
+    last = (-least[0], least[1])
+    made: list[tuple[str, str]] = []
+    while heap and len(made) < room:
+        entry = heapq.heappop(heap)
+        n, pair = -entry[0], entry[1]
+        if counts[pair] != n:
+            # Every change of a count brings an entry of its own.
+            continue
+        if entry > last:
             break
-        floor, total = 1 << b, total + n
-    floor = min_frequency if floor is None or 1 << bands[0][0] == floor else max(floor, min_frequency)
-    found = pairs.where(F.col("n_uses") >= floor).toPandas()
-    return PairQueue(dict(zip(found["pair"], found["n_uses"].tolist())), floor)
+        symbol = symbol_of(len(made))
+        made.append((pair, symbol))
+        changed: Counter[str] = Counter()
+        for at in places.pop(pair):
+            word, n = words[at], uses[at]
+            if pair not in word:
+                continue
+            words[at] = after = word.replace(pair, symbol)
+            for i in range(len(word) - 1):
+                changed[word[i : i + 2]] -= n
+            for i in range(len(after) - 1):
+                two = after[i : i + 2]
+                changed[two] += n
+                if symbol in two:
+                    places.setdefault(two, set()).add(at)
+        for two, change in changed.items():
+            if change:
+                counts[two] += change
+                if counts[two] > 0:
+                    heapq.heappush(heap, (-counts[two], two))
+    return made
 
 
 def bpe_learn(
@@ -287,48 +267,57 @@ def bpe_learn(
     vocab_size: int = LanguageModelConfig.vocab_size,
     min_frequency: int = LanguageModelConfig.min_frequency,
     special_tokens: Sequence[str] = SPECIAL_TOKENS,
-    queue_size: int = _QUEUE,
+    max_fragments: int = MAX_FRAGMENTS,
 ) -> BytePairModel:
     """Learn merges until the vocabulary is full or no pair is frequent enough.
 
-    All pairs are counted once. A round then takes the best pairs of the queue, all that provably would be merged
-    next, so the result is that of one merge per round with equal counts in id order; the words that hold one of
-    them report what their pairs lose and gain, and only these changes, at most four rows per merge and symbol,
-    reach the driver. When no pair is left above the queue's floor, the pairs are counted again with a lower one.
-    The word table is written to the shared scratch folder now and then, without the words that have become a
-    single symbol, and replaces the table before it.
+    A round takes the most frequent pairs and cuts every word into the stretches made of them alone. Equal
+    stretches are counted together, and on those the driver merges until the best pair ranks after the last
+    of the round. This is exact: no pair outside the round ranks before that, nor does a new one that
+    takes in a neighbour across a cut, as it is no more frequent than the pair cut and its symbol is newer. How
+    many pairs a round takes follows from the stretches they leave: more than ``max_fragments`` never reach the
+    driver. Then the words are merged in one pass, without those that have become a single symbol, and the next
+    round counts pairs anew. The result is that of one merge per count, equal counts in id order.
     """
     spark = word_counts.sparkSession
     n_special = len(special_tokens)
     first_merge_id = n_special + 256
     merges: list[tuple[int, int]] = []
-    pending: list[tuple[str, str]] = []
     # Few bytes but much work per row: one partition per core, whatever the size.
     cores = spark.sparkContext.defaultParallelism
     path = scratch_path(spark, "bpe-words")
     table = materialize(symbol_table(word_counts, n_special).repartition(cores, "symbols"), "bpe-words", path)
-
-    def current() -> DataFrame:
-        return table.select(_apply_merges(F.col("symbols"), pending).alias("symbols"), "n_uses")
-
-    queue = _filled_queue(current(), min_frequency, queue_size, None)
+    n_pairs = _FIRST_PAIRS
     while first_merge_id + len(merges) < vocab_size:
-        with closing(queue.best()) as ranked:
-            taken = mergeable_prefix(ranked, vocab_size - first_merge_id - len(merges))
-        if not taken:
-            if queue.floor <= min_frequency:
+        counted = materialize(bpe_pair_counts(table, min_frequency), "bpe-pairs")
+        while True:
+            ranked = counted.orderBy(F.desc("n_uses"), "pair").limit(n_pairs).collect()
+            if not ranked:
                 break
-            queue = _filled_queue(current(), min_frequency, queue_size, queue.floor)
-            continue
-        now = [(pair, symbol_char(first_merge_id + len(merges) + i)) for i, pair in enumerate(taken)]
-        queue.update(_count_changes(current(), now))
-        merges += [(symbol_id(pair[0]), symbol_id(pair[1])) for pair in taken]
-        pending += now
-        if len(pending) >= _PENDING_MERGES:
-            superseded, path = path, scratch_path(spark, "bpe-words")
-            table = materialize(current().where(F.length("symbols") > 1), "bpe-words", path)
-            discard(spark, superseded)
-            pending = []
+            chosen = spark.sparkContext.broadcast(frozenset(row["pair"] for row in ranked))
+            cut = table.mapInArrow(_fragmented(chosen), "part string, n_uses long")
+            parts = materialize(cut.groupBy("part").agg(F.sum("n_uses").alias("n_uses")), "bpe-fragments")
+            n_parts = parts.count()
+            # A single pair leaves stretches of itself alone.
+            if n_parts <= max_fragments or n_pairs == 1:
+                break
+            n_pairs = max(1, n_pairs // 4)
+        if not ranked:
+            break
+        # A round of all pairs goes down to the least frequent that may be merged.
+        least = (ranked[-1]["n_uses"], ranked[-1]["pair"]) if len(ranked) == n_pairs else (min_frequency, chr(0x10FFFF))
+        done = first_merge_id + len(merges)
+        held = [(row["part"], row["n_uses"]) for row in parts.collect()]
+        made = merge_fragments(held, least, vocab_size - done, lambda i: symbol_char(done + i))
+        merges += [(symbol_id(pair[0]), symbol_id(pair[1])) for pair, _ in made]
+        shared = spark.sparkContext.broadcast(made)
+        superseded, path = path, scratch_path(spark, "bpe-words")
+        merged = table.mapInArrow(_merged(shared), "symbols string, n_uses long").where(F.length("symbols") > 1)
+        # Different words stay different, so there is nothing to count together.
+        table = materialize(merged, "bpe-words", path)
+        discard(spark, superseded)
+        if n_parts <= max_fragments // 8:
+            n_pairs *= 4
     discard(spark, path)
     return BytePairModel(tuple(special_tokens), tuple(merges))
 

@@ -90,8 +90,9 @@ def one_at_a_time(words, first_id, size, min_frequency):
     return out
 
 
+@pytest.mark.parametrize("n_pairs", [1, 2, 5, 1000])
 @pytest.mark.parametrize("seed", range(60))
-def test_joint_rounds_equal_single_merges(seed):
+def test_rounds_on_fragments_equal_single_merges(seed, n_pairs):
     """The round logic against recounting, on small alphabets, where pairs overlap and tie often."""
     rng = random.Random(seed)
     alphabet = range(rng.choice([1, 2, 3, 6, 12]))
@@ -101,31 +102,36 @@ def test_joint_rounds_equal_single_merges(seed):
     first, size = 12, 12 + 40
     expected = one_at_a_time(words, first, size, 2)
     got = []
-    current = words
+    current = {"".join(map(chr, w)): n for w, n in words.items()}
     while first + len(got) < size:
         counts = Counter()
         for w, n in current.items():
-            for p in zip(w, w[1:]):
-                counts[p] += n
-        ranked = [chr(a) + chr(b) for a, b in sorted(counts, key=lambda p: (-counts[p], p)) if counts[(a, b)] >= 2]
-        taken = bpe.mergeable_prefix(ranked, size - first - len(got))
-        if not taken:
+            for i in range(len(w) - 1):
+                counts[w[i : i + 2]] += n
+        ranked = [p for p in sorted(counts, key=lambda p: (-counts[p], p)) if counts[p] >= 2][:n_pairs]
+        if not ranked:
             break
-        for pair in taken:
-            symbol = chr(first + len(got))
-            got.append((ord(pair[0]), ord(pair[1])))
-            merged = Counter()
-            for w, n in current.items():
-                merged[tuple(map(ord, "".join(map(chr, w)).replace(pair, symbol)))] += n
-            current = merged
+        parts = Counter()
+        for w, n in current.items():
+            for part in bpe.fragments(w, frozenset(ranked)):
+                parts[part] += n
+        least = (counts[ranked[-1]], ranked[-1]) if len(ranked) == n_pairs else (2, chr(0x10FFFF))
+        made = bpe.merge_fragments(list(parts.items()), least, size - first - len(got), lambda i: chr(first + len(got) + i))
+        assert made
+        ranks = {pair: i for i, (pair, _) in enumerate(made)}
+        merged = Counter()
+        for w, n in current.items():
+            merged[bpe.merge_word(w, ranks, made)] += n
+        assert len(merged) == len(current)
+        got += [(ord(p[0]), ord(p[1])) for p, _ in made]
+        current = merged
     assert got == expected
 
 
 def test_pair_counts_of_repeated_symbols(spark):
     table = spark.createDataFrame([("aaa", 5), ("ab", 1)], "symbols string, n_uses long")
     assert {r["pair"]: r["n_uses"] for r in bpe.bpe_pair_counts(table).collect()} == {"aa": 10}
-    merged = table.select(bpe._apply_merges(table.symbols, [("aa", "X")])).collect()
-    assert [r[0] for r in merged] == ["Xa", "ab"]
+    assert bpe.merge_word("aaa", {"aa": 0}, [("aa", "X")]) == "Xa" and bpe.merge_word("ab", {"aa": 0}, [("aa", "X")]) == "ab"
 
 
 def test_only_own_scratch_tables_are_discarded(spark, tmp_path):
@@ -138,29 +144,9 @@ def test_only_own_scratch_tables_are_discarded(spark, tmp_path):
         spark.read.parquet(path)
 
 
-def test_result_does_not_depend_on_when_the_table_is_written(texts, model, monkeypatch):
-    monkeypatch.setattr(bpe, "_PENDING_MERGES", 7)
-    counts = bpe.bpe_word_counts(texts)
-    assert bpe.bpe_learn(counts, vocab_size=290).merges == model.merges[: 290 - 265]
-
-
-def test_a_small_queue_is_filled_again(texts, model, monkeypatch):
-    fills = []
-    fill = bpe._filled_queue
-    monkeypatch.setattr(bpe, "_filled_queue", lambda *a: fills.append(a[3]) or fill(*a))
-    assert bpe.bpe_learn(bpe.bpe_word_counts(texts), vocab_size=330, queue_size=3).merges == model.merges
-    floors = [f for f in fills if f is not None]
-    assert len(floors) > 1 and floors == sorted(floors, reverse=True)
-
-
-def test_changes_of_counts_equal_a_recount(spark):
-    words = {"abab": 3, "aab": 2, "b": 9, "cabc": 1, "xyz": 4}
-    table = spark.createDataFrame(list(words.items()), "symbols string, n_uses long")
-    for merges in ([("ab", "Z")], [("ca", "Y"), ("xy", "X")], [("aa", "W")]):
-        after = table.select(bpe._apply_merges(table.symbols, merges).alias("symbols"), "n_uses")
-        counts = [{r["pair"]: r["n_uses"] for r in bpe.bpe_pair_counts(t, 1).collect()} for t in (table, after)]
-        expected = {p: counts[1].get(p, 0) - counts[0].get(p, 0) for p in {*counts[0], *counts[1]}}
-        assert dict(bpe._count_changes(table, merges)) == {p: n for p, n in expected.items() if n}
+@pytest.mark.parametrize("limit", [4, 40])
+def test_result_does_not_depend_on_the_fragments_of_a_round(texts, model, limit):
+    assert bpe.bpe_learn(bpe.bpe_word_counts(texts), vocab_size=330, max_fragments=limit).merges == model.merges
 
 
 def test_a_learned_vocabulary_of_documents_matches_an_established_trainer(spark, tmp_path):
