@@ -1,4 +1,4 @@
-"""Multi-label baselines on ``pyspark.ml``: one binary model per label over shared features."""
+"""Multi-label baselines: one binary model per label of ``pyspark.ml``, or all labels in one fit, over shared features."""
 
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import labels as L
 from docloom.functions import text as X
+from docloom.operators.joint_logistic import JointLogistic, fit_joint
 
 # Logit of a label that the train rows always or never carry.
 _CERTAIN = 20.0
@@ -74,7 +75,11 @@ def _log_odds_of_probability(_: Column, probability: Column | None) -> Column:
     return F.ln(p / (1 - p))
 
 
+# All labels are fitted at once; see ``joint_logistic``.
+JOINT = "joint_logistic_regression"
+
 FAMILIES = {
+    JOINT: Family(_tf_idf, lambda: LogisticRegression(maxIter=20, regParam=0.01), _margin),
     "logistic_regression": Family(_tf_idf, lambda: LogisticRegression(maxIter=20, regParam=0.01), _margin),
     "naive_bayes": Family(_term_counts, NaiveBayes, _log_odds_of_joint),
     "svm": Family(_tf_idf, lambda: LinearSVC(maxIter=20, regParam=0.01), _margin),
@@ -86,12 +91,16 @@ FAMILIES = {
 
 @dataclass(frozen=True)
 class MultilabelModel:
-    """Feature stages and one model per label; a constant logit where the label never varied."""
+    """Feature stages and one model per label; a constant logit where the label never varied.
+
+    In a joint fit the model of a label is its column in ``joint``.
+    """
 
     family: str
     vocabulary: tuple[str, ...]
     features: PipelineModel
-    models: tuple[Model | float, ...]
+    models: tuple[Model | float | int, ...]
+    joint: JointLogistic | None = None
 
 
 def _with_tokens(df: DataFrame, text: str) -> DataFrame:
@@ -110,9 +119,11 @@ def train_multilabel(
 ) -> MultilabelModel:
     """Fit one binary model per label. The features are computed once and kept for all labels.
 
+    The family ``joint_logistic_regression`` fits all labels together, in as many jobs whatever their number.
+
     ``n_features`` is the number of hashed terms, or the size of averaged vectors; it defaults to that of the
-    family. ``parallelism`` labels are fitted at a time, each as a distributed job of its own, so the time grows
-    with the number of labels.
+    family. In the other families ``parallelism`` labels are fitted at a time, each as a distributed job of its own,
+    so the time grows with the number of labels.
     """
     chosen = FAMILIES[family]
     rows = _with_tokens(df.select(text, F.col(labels).alias("labels")), text).drop(text)
@@ -124,10 +135,22 @@ def train_multilabel(
             F.count(F.lit(1)).alias("n"), *[F.sum(F.col("truth")[i]).alias(f"s{i}") for i in range(len(vocabulary))]
         ).first()
 
-        def fit(i: int) -> Model | float:
+        def constant(i: int) -> float | None:
             support = sums[f"s{i}"] or 0
-            if support in (0, sums["n"]):
-                return _CERTAIN if support else -_CERTAIN
+            return (_CERTAIN if support else -_CERTAIN) if support in (0, sums["n"]) else None
+
+        if family == JOINT:
+            varying = [i for i in range(len(vocabulary)) if constant(i) is None]
+            joint = None
+            if varying:
+                truths = F.array(*[F.col("truth")[i] for i in varying])
+                joint = fit_joint(prepared.select("features", truths.alias("truth")), n_features or chosen.n_features, len(varying))
+            models = tuple(varying.index(i) if i in varying else constant(i) for i in range(len(vocabulary)))
+            return MultilabelModel(family, tuple(vocabulary), features, models, joint)
+
+        def fit(i: int) -> Model | float:
+            if (certain := constant(i)) is not None:
+                return certain
             target = prepared.select("features", F.col("truth")[i].cast("double").alias("label"))
             return (estimator.copy() if estimator is not None else chosen.estimator()).fit(target)
 
@@ -146,7 +169,13 @@ def predict_multilabel(
     current = model.features.transform(_with_tokens(df, text))
     kept = [*df.columns, "features"]
     scores: list[Column] = []
+    if model.joint is not None:
+        current = current.select(*df.columns, model.joint.scores(F.col("features")).alias("_joint"))
+        kept = [*df.columns, "_joint"]
     for i, one in enumerate(model.models):
+        if isinstance(one, int):
+            scores.append(F.col("_joint")[one])
+            continue
         if isinstance(one, float):
             scores.append(F.lit(one))
             continue
@@ -168,10 +197,12 @@ def predict_multilabel(
 def save_model(spark: SparkSession, model: MultilabelModel, path: str) -> None:
     """Feature stages and label models in their own format, with a table that says which is which."""
     model.features.write().overwrite().save(f"{path}/features")
+    if model.joint is not None:
+        model.joint.save(spark, f"{path}/joint")
     rows = []
     for i, (label, one) in enumerate(zip(model.vocabulary, model.models)):
         constant = one if isinstance(one, float) else None
-        if constant is None:
+        if constant is None and not isinstance(one, int):
             PipelineModel([one]).write().overwrite().save(f"{path}/label-{i:05d}")
         rows.append((i, label, constant, model.family))
     schema = "idx int, label string, constant double, family string"
@@ -181,9 +212,14 @@ def save_model(spark: SparkSession, model: MultilabelModel, path: str) -> None:
 def load_model(spark: SparkSession, path: str) -> MultilabelModel:
     schema = "idx int, label string, constant double, family string"
     rows = spark.read.schema(schema).json(f"{path}/labels").orderBy("idx").collect()
+    features = PipelineModel.load(f"{path}/features")
+    if rows[0]["family"] == JOINT:
+        columns = iter(range(len(rows)))
+        placed = tuple(next(columns) if r["constant"] is None else r["constant"] for r in rows)
+        joint = JointLogistic.load(spark, f"{path}/joint") if any(isinstance(m, int) for m in placed) else None
+        return MultilabelModel(JOINT, tuple(r["label"] for r in rows), features, placed, joint)
     loaded = tuple(
         PipelineModel.load(f"{path}/label-{r['idx']:05d}").stages[0] if r["constant"] is None else r["constant"]
         for r in rows
     )
-    features = PipelineModel.load(f"{path}/features")
     return MultilabelModel(rows[0]["family"], tuple(r["label"] for r in rows), features, loaded)
