@@ -443,6 +443,28 @@ _add(
       WHERE g.split = 'test')
     SELECT round(exp(l), 6) AS perplexity, round(l, 6) AS eval_loss FROM loss""",
 )
+_add(
+    "kneser_ney_perplexity",
+    ("grams",),
+    """, seen AS (SELECT prev, next, count(*)::DOUBLE AS c FROM grams WHERE split = 'train' GROUP BY ALL),
+    times AS (SELECT count(*) FILTER (c = 1)::DOUBLE AS n1, count(*) FILTER (c = 2)::DOUBLE AS n2, count(*) FILTER (c = 3)::DOUBLE AS n3,
+      count(*) FILTER (c = 4)::DOUBLE AS n4, count(*)::DOUBLE AS types FROM seen),
+    simple AS (SELECT *, coalesce(n1 / nullif(n1 + 2 * n2, 0), 0) AS y FROM times),
+    discounts AS (SELECT types, CASE WHEN n1 > 0 THEN least(greatest(1 - 2 * y * n2 / n1, 0), 1) ELSE y END AS d1,
+      CASE WHEN n2 > 0 THEN least(greatest(2 - 3 * y * n3 / n2, 0), 2) ELSE y END AS d2,
+      CASE WHEN n3 > 0 THEN least(greatest(3 - 4 * y * n4 / n3, 0), 3) ELSE y END AS d3 FROM simple),
+    follows AS (SELECT next, count(*)::DOUBLE AS t FROM seen GROUP BY next),
+    lower_order AS (SELECT coalesce(count(*) FILTER (t = 1)::DOUBLE / nullif(count(*) FILTER (t = 1) + 2 * count(*) FILTER (t = 2), 0), 0) AS d,
+      count(*)::DOUBLE AS words FROM follows),
+    context AS (SELECT prev, sum(c) AS n, (any_value(d1) * count(*) FILTER (c = 1) + any_value(d2) * count(*) FILTER (c = 2)
+      + any_value(d3) * count(*) FILTER (c > 2)) / sum(c) AS kept FROM seen CROSS JOIN discounts GROUP BY prev),
+    p AS (SELECT coalesce((s.c - CASE WHEN s.c = 1 THEN d1 WHEN s.c = 2 THEN d2 ELSE d3 END) / x.n, 0)
+        + coalesce(x.kept, 1) * (coalesce(f.t - o.d, 0) / types + o.d * o.words / types / (o.words + 1)) AS p
+      FROM grams g CROSS JOIN discounts CROSS JOIN lower_order o
+      LEFT JOIN seen s ON s.prev = g.prev AND s.next = g.next LEFT JOIN context x ON x.prev = g.prev
+      LEFT JOIN follows f ON f.next = g.next WHERE g.split = 'test')
+    SELECT round(exp(-avg(ln(p))), 6) AS perplexity, round(-avg(ln(p)), 6) AS eval_loss FROM p""",
+)
 _add("label_confusion", ("confusion",), "SELECT idx::INT AS idx, tp, fp, fn, support FROM confusion")
 _add("weighted_prf", ("prf",), "SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM prf")
 _add("subset_accuracy", ("row_match",), "SELECT round(avg(ok), 6) AS accuracy FROM row_match")

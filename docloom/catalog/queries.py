@@ -632,6 +632,12 @@ def ngram_lm_perplexity(spark, sf_dir):
     return _rounded(stages.lm_score(V.corpus(spark, sf_dir)))
 
 
+@query
+def kneser_ney_perplexity(spark, sf_dir):
+    """The same test split under a model with back-off to continuation counts."""
+    return _rounded(stages.lm_score(V.corpus(spark, sf_dir), smoothing="kneser_ney"))
+
+
 # --- metrics ----------------------------------------------------------------------------------
 
 

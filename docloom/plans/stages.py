@@ -84,9 +84,12 @@ def lm_examples(
     )
 
 
-def lm_score(corpus: DataFrame, k: float = 1.0) -> DataFrame:
-    """Perplexity of the test split under a bigram model of the train split."""
-    return ngram_lm.ngram_perplexity(ngram_lm.split_bigrams(corpus, X.tokenize_words(F.col("lm_text"))), k)
+def lm_score(corpus: DataFrame, k: float = 1.0, smoothing: str = "add_k") -> DataFrame:
+    """Perplexity of the test split under a bigram model of the train split, ``add_k`` or ``kneser_ney``."""
+    bigrams = ngram_lm.split_bigrams(corpus, X.tokenize_words(F.col("lm_text")))
+    if smoothing not in ("add_k", "kneser_ney"):
+        raise ValueError(f"unknown smoothing: {smoothing}")
+    return ngram_lm.ngram_perplexity(bigrams, k) if smoothing == "add_k" else ngram_lm.kneser_ney_perplexity(bigrams)
 
 
 def classifier_examples(
