@@ -153,6 +153,50 @@ def test_whole_table_and_learned_spans(spark, documents):
         assert [s for s in spans if not s.startswith("learned")] == want and len(spans) - len(want) == have["n_learned"]
 
 
+def flagged(model, run):
+    text = f"we looked at {run} and then went on"
+    parts = [p for c in secret_scan.candidates(text) for p in secret_scan.stretches(*c)]
+    return bool(parts) and (model.probabilities(np.stack([secret_scan.window(text, a, b) for a, b in parts])) >= model.threshold).any()
+
+
+def test_bare_keys_are_found_and_names_are_not(documents):
+    model = secret_scan.fit_secrets(documents)
+    rng = np.random.default_rng(9)
+    digits, upper, lower = secret_scan._DIGITS, secret_scan._UPPER, secret_scan._LOWER
+
+    def key(letters, n):
+        return "".join(letters[i] for i in rng.integers(0, len(letters), n))
+
+    keys = {
+        "base62": lambda: key(digits + upper + lower, 40),
+        "behind a prefix": lambda: "sk_live_" + key(digits + upper + lower, 36),
+        "upper-case hex": lambda: key(digits + "ABCDEF", 40),
+        "base64": lambda: key(digits + upper + lower + "+/", 43) + "=",
+        "lower case": lambda: key(digits + lower, 32),
+        "after a path of 48 characters": lambda: "usr/share/local/some/config/directory/with/long1/" + key(digits + upper + lower, 40),
+    }
+    words = [w for r in documents.limit(200).collect() for w in r["text"].split() if w.isascii() and w.isalpha()]
+    names = {
+        "path": lambda: "/".join(rng.choice(words, 5)) + f"/{rng.integers(100)}",
+        "long path": lambda: "/".join(rng.choice(words, 25)) + f"/{rng.integers(100)}",
+        "slug": lambda: "-".join(rng.choice(words, 4)) + f"-{rng.integers(2030)}",
+        "name": lambda: "_".join(rng.choice(words, 3)).upper() + str(rng.integers(9)),
+        "time": lambda: f"2024-{rng.integers(10, 13)}-{rng.integers(10, 29)}-{rng.integers(10, 20)}-{rng.integers(10, 59)}",
+        "number": lambda: str(rng.integers(10**17, 10**18)),
+    }
+    for kind, make in keys.items():
+        assert np.mean([flagged(model, make()) for _ in range(100)]) >= 0.9, kind
+    for kind, make in names.items():
+        assert np.mean([flagged(model, make()) for _ in range(100)]) <= 0.01, kind
+
+
+def test_windows_cover_a_run_of_any_length():
+    for n in (16, 48, 49, 72, 73, 1000):
+        parts = secret_scan.stretches(5, 5 + n)
+        assert parts[0][0] == 5 and parts[-1][1] == 5 + n and all(b - a <= secret_scan.INSIDE for a, b in parts)
+        assert all(c <= b for (_, b), (c, _) in zip(parts, parts[1:]))
+
+
 def test_network_learns_and_its_gradients_are_right():
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("aeiouthnrs"), 20)) for _ in range(150)]
