@@ -446,12 +446,12 @@ def top_longest_nonnumeric(spark, sf_dir):
 
 @query
 def top_words(spark, sf_dir):
-    return profile.top_words(profile.word_frequency(V.texts(spark, sf_dir)))
+    return profile.frequent_words(V.texts(spark, sf_dir))
 
 
 @query
 def top_bigrams(spark, sf_dir):
-    return profile.top_bigrams(profile.bigram_frequency(V.texts(spark, sf_dir)))
+    return profile.frequent_bigrams(V.texts(spark, sf_dir))
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import patterns as P
 from docloom.functions import text as X
+from docloom.operators.frequent import top_items
 
 
 def union_splits(*frames: DataFrame) -> DataFrame:
@@ -101,6 +102,19 @@ def top_bigrams(bigrams: DataFrame, k: int = 20) -> DataFrame:
     return most_common(bigrams, "bigram", "n_uses", k)
 
 
+def frequent_words(df: DataFrame, k: int = 20, text: str = "text", stop_words: Sequence[str] = P.STOP_WORDS, **options) -> DataFrame:
+    """``top_words`` of a text column without a table of all words."""
+    words = X.kept_words(X.tokenize_words(F.col(text)), stop_words)
+    return top_items(df.select(words.alias("items")), "items", k, **options).withColumnRenamed("item", "word")
+
+
+def frequent_bigrams(df: DataFrame, k: int = 20, text: str = "text", stop_words: Sequence[str] = P.STOP_WORDS, **options) -> DataFrame:
+    """``top_bigrams`` of a text column without a table of all bigrams."""
+    kept = df.select(X.kept_words(X.tokenize_words(F.col(text)), stop_words).alias("words"))
+    pairs = kept.select(X.neighbour_pairs(F.col("words")).alias("items"))
+    return top_items(pairs, "items", k, **options).withColumnRenamed("item", "bigram")
+
+
 def preview(df: DataFrame, order_by: str = "row_idx", k: int = 5) -> DataFrame:
     """The first rows of a frame."""
     return df.orderBy(order_by).limit(k)
