@@ -68,6 +68,57 @@ def test_top_k_takes_exactly_k(spark, documents, labels):
     assert quality.sampled(documents, labels, k=0).count() == 0
 
 
+def slow_grams(text):
+    """Buckets of the tokens and of their neighbouring pairs, in whole-number arithmetic."""
+    tokens, now, kind = [], b"", None
+    for byte in text.lower():
+        b = bytes([byte])
+        own = "space" if byte <= 32 else "word" if b.isalnum() or byte >= 128 else "mark"
+        if own != kind and now:
+            tokens.append(now)
+            now = b""
+        kind = own
+        now = now + b if own != "space" else b""
+    tokens += [now] if now else []
+    h = [zlib.crc32(t) for t in tokens]
+    h += [a * int(quality._LEFT) + b * int(quality._RIGHT) for a, b in zip(h, h[1:])]
+    return [(x * int(quality._MIX)) % 2**64 >> 64 - quality.BUCKET_BITS for x in h]
+
+
+def test_drawn_documents_agree_with_a_slow_version(spark):
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(awkward(spark).select("doc_id", "text").where("doc_id is null"))
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    bad = {r["doc_id"] for r in labels.collect() if r["quality"] == 0}
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1} - bad
+    # The only things taken from the library: its uniform numbers.
+    draw = docs.distinct().select("doc_id", quality.uniform("doc_id", seed=quality.SEED), quality.uniform("doc_id", seed=quality.SEED + 1)).collect()
+    part, noise = {d: u for d, u, _ in draw}, {d: -math.log(-math.log(u)) for d, _, u in draw}
+    grams = [slow_grams((t or "").encode()) for _, t in rows]
+    raw, target = Counter(), Counter()
+    for (d, _), found in zip(rows, grams):
+        raw.update(found)
+        if d in good and part[d] < quality.TARGET_SHARE:
+            target.update(found)
+    n, m, buckets, prior = sum(raw.values()), sum(target.values()), 2**quality.BUCKET_BITS, quality.PRIOR * 2**quality.BUCKET_BITS
+
+    def log_ratio(g):
+        p = (raw[g] + 1) / (n + buckets)
+        return math.log((target[g] + prior * p) / ((m + prior) * p))
+
+    weights = [100 * sum(map(log_ratio, found)) / len(found) if found else 0.0 for found in grams]
+    held = sorted(w for (d, _), w in zip(rows, weights) if d in good and part[d] >= quality.TARGET_SHARE)
+    least = held[int((1 - quality.RECALL) * (len(held) - 1))]
+    for k in (None, 17):
+        size = sum(w >= least - 1e-9 for w in weights) if k is None else k
+        noisy = [w + noise[d] for (d, _), w in zip(rows, weights)]
+        cut = sorted(noisy, reverse=True)[size - 1]
+        want = sorted(((d, round(w, 6), round(y, 6)) for (d, _), w, y in zip(rows, weights, noisy) if y >= cut - 1e-9), key=repr)
+        got = quality.sampled(docs, labels, k=k).collect()
+        assert sorted(((r["doc_id"], round(r["log_weight"], 6), round(r["noisy_weight"], 6)) for r in got), key=repr) == want
+
+
 def test_quality_of_awkward_rows(spark, labels):
     docs = awkward(spark)
     assert quality.keep_quality(docs, no_labels(spark)).count() == 13
@@ -102,6 +153,54 @@ def test_later_models_read_earlier_probabilities():
     assert toxicity.best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1.0, 1, 0, 0])) == 0.5
 
 
+def word_table(n=400, seed=5):
+    rng = np.random.default_rng(seed)
+    dense = (rng.random((n, 40)) < 0.2).astype(float)
+    toxic = (dense @ np.concatenate([np.full(4, 2.0), np.full(4, -1.0), np.zeros(32)]) + rng.normal(0, 0.5, n) > 1.5).astype(float)
+    return dense, toxic
+
+
+def test_linear_fit_reaches_the_ridge_optimum_of_the_words_chosen():
+    dense, y = word_table()
+    rows = toxicity._rows([np.flatnonzero(r) for r in dense])
+    earlier = np.random.default_rng(6).normal(size=(len(y), 2))
+    model = toxicity.fit_linear(rows, earlier, y, 40)
+    # Chi-square of presence and class, word by word.
+    chosen = []
+    for w in range(40):
+        total, positive, share = dense[:, w].sum(), dense[y == 1, w].sum(), y.mean()
+        chi = (positive - total * share) ** 2 / (total * share * (1 - share) * (1 - total / (len(y) + 1)))
+        chosen += [w] if total >= toxicity.MIN_DOCUMENTS and chi >= 2 * math.log(40 / toxicity._CHANCE) else []
+    assert sorted(np.flatnonzero(model.words)) == chosen and 2 <= len(chosen) <= 10
+    full = np.hstack([dense[:, chosen], earlier, np.ones((len(y), 1))])
+    ridge = np.diag([toxicity._RIDGE] * (full.shape[1] - 1) + [0.0])
+    best = np.zeros(full.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-full @ best))
+        best -= np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + ridge, full.T @ (p - y) + ridge @ best)
+    np.testing.assert_allclose(np.concatenate([model.words[chosen], model.earlier, [model.bias]]), best, rtol=0.03, atol=0.01)
+
+
+def test_scores_of_a_table_agree_with_a_slow_chain(spark):
+    dense, toxic = word_table()
+    texts = [" ".join(f"word{w}" for w in np.flatnonzero(r)) for r in dense]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "word1 new"), (1000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert len(model.hashes) and all(len(e) == c for c, e in enumerate(model.earlier))
+    weight = {int(h): w for h, w in zip(model.hashes, model.words)}
+    for r in toxicity.score_toxicity(docs, model).join(docs, "doc_id").collect():
+        found = {zlib.crc32(w.encode()) for w in (r["text"] or "").split()}
+        before = []
+        for c in range(3):
+            z = model.bias[c] + sum(weight[h][c] for h in found if h in weight) + sum(w * x for w, x in zip(model.earlier[c], before))
+            p = 1 / (1 + math.exp(-z))
+            q = min(max(p, 1e-4), 1 - 1e-4)
+            before.append(math.log(q / (1 - q)))
+            assert r[f"p_{toxicity.CATEGORIES[c]}"] == pytest.approx(p)
+        assert r["toxic"] == (r["p_toxic"] >= model.thresholds[1])
+
+
 def test_toxicity_of_awkward_rows(spark, labels):
     docs = awkward(spark)
     got = toxicity.toxicity(docs, no_labels(spark)).collect()
