@@ -7,7 +7,7 @@ from check import compare, duck
 from docloom.catalog import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-ROWS_ONLY = {"bpe_learn", "train_multilabel", "predict_multilabel"}
+ROWS_ONLY = {"bpe_learn", "train_multilabel", "train_multilabel_joint", "predict_multilabel"}
 
 
 @pytest.fixture(scope="module")
