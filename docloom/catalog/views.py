@@ -14,19 +14,18 @@ from docloom.operators.split import split_by_row_index
 from docloom.plans import stages
 from docloom.sources import scan_table
 
-# The canonical labels, one of them capitalised on purpose.
+# The catalog's own labels, one of them capitalised on purpose.
 CANONICAL = (
-    "agriculture work_and_employment Education taxes industry european_union law "
-    "state_public_authorities economy environment foreign_policy science_research_and_technology "
-    "health sports social_policy transport"
+    "music cooking Gardening astronomy chess sailing weather railways "
+    "pottery birds mountains theatre photography bridges languages textiles"
 ).split()
 LABEL_MAP = {f"src{k}": CANONICAL[k % len(CANONICAL)] for k in range(20)} | {
-    "en": "law",
-    "fr": "foreign_policy",
-    "de": "industry",
-    "es": "agriculture",
-    "quality": "Education",
-    "toxic": "health",
+    "en": "birds",
+    "fr": "mountains",
+    "de": "chess",
+    "es": "music",
+    "quality": "Gardening",
+    "toxic": "photography",
 }
 VOCABULARY = sorted(label.lower() for label in CANONICAL)
 # Model ids of the views below: hashed tokens fill the ordinary ids of a vocabulary of this size.
