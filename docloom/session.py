@@ -48,13 +48,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
-    Cuts the lineage and fixes row contents for every later pass; the copy outlives executors.
+    Cuts the lineage and fixes row contents for every later pass; the copy outlives executors. ``by`` names a
+    column with few values whose rows later passes read one value at a time.
     """
     path = path or scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
