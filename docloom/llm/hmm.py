@@ -1,16 +1,19 @@
 """A hidden Markov language model over all documents, trained by Baum-Welch and scored exactly.
 
-The states emit a bounded alphabet: the most frequent words, one sign for all rarer words, and the end of a
-text. A rare word's own share inside that sign comes from its corpus count, so the alphabet is bounded while
-every word of the corpus keeps its own probability. The frequent words are broadcast, which their number
-bounds; rare words meet their counts in a join.
-
-Texts are turned into symbols once and written to the shared folder. Each Baum-Welch pass reads the symbols
-of all training documents, sums expected counts per task, and adds them up by symbol in one shuffle.
+The states emit a bounded alphabet: the most frequent words, signs for the rarer words by their last bytes,
+and the end of a text. A rare word's own share inside its sign comes from its corpus count, so the alphabet is
+bounded while every word of the corpus keeps its own probability. The frequent words are broadcast, which
+their number bounds; rare words meet their counts in a join.
+
+Texts are turned into symbols once and written to the shared folder, dealt to blocks by id and text. A pass
+goes over all training documents block by block: tasks sum expected counts, one shuffle adds them up by
+symbol, and the model is made anew after every block from counts in which older blocks fade. The counts of all
+blocks of the last pass together make the final model, so every training symbol counts in it once.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -20,16 +23,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stable_sample, text_bytes
+from docloom.llm.common import text_bytes, uniform
 from docloom.session import materialize
 
 STATES = 8
 # Words that the states emit one by one, at most.
 HEAD_WORDS = 1 << 16
-# Passes over all training documents, after passes over a small sample that only find a place to start from.
+# Signs of the rarer words, by a checksum of their last bytes.
+RARE_SIGNS = 4_096
+SIGN_BYTES = 3
+# Passes over all training documents, and the blocks that a pass takes one after the other.
 PASSES = 2
-START_DOCUMENTS = 1_000
-START_PASSES = 12
+BLOCKS = 8
+# A block's weight among the counts so far is its number, from one, to this power.
+FADE = -0.7
 ADD = 0.1
 # Weight of the corpus-wide distribution in each state's emissions, in tokens.
 PRIOR = 20.0
@@ -115,6 +122,15 @@ class Expected:
             for k in range(weights.shape[1]):
                 self.emit[:, k] += np.bincount(places, weights[:, k], minlength=len(self.emit))
 
+    def mixed(self, other: Expected, share: float) -> Expected:
+        """These counts with ``share`` of the sum given to ``other``, scaled to as many symbols."""
+        scale = share * self.emit.sum() / other.emit.sum()
+        pairs = ((self.start, other.start), (self.step, other.step), (self.emit, other.emit))
+        return Expected(*[(1 - share) * a + scale * b for a, b in pairs])
+
+    def plus(self, other: Expected) -> Expected:
+        return Expected(self.start + other.start, self.step + other.step, self.emit + other.emit)
+
     def model(self, base: np.ndarray) -> Model:
         """Probabilities, each state's emissions drawn towards ``base``."""
         step, start = self.step + 1.0, self.start + 1.0
@@ -122,17 +138,12 @@ class Expected:
         return Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit)
 
 
-def start_model(rows: list[np.ndarray], base: np.ndarray, states: int, passes: int) -> Model:
-    """A seeded random model, improved on a few documents."""
+def start_model(base: np.ndarray, states: int) -> Model:
+    """A seeded random model that depends on the alphabet alone."""
     rng = np.random.default_rng(SEED)
     emit = base[:, None] * np.exp(rng.normal(size=(len(base), states)))
     step = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
-    model = Model(np.full(states, 1 / states), step, emit / emit.sum(axis=0))
-    for _ in range(passes if rows else 0):
-        counts = Expected.zero(states, len(base))
-        counts.add(model, rows)
-        model = counts.model(base)
-    return model
+    return Model(np.full(states, 1 / states), step, emit / emit.sum(axis=0))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -140,6 +151,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def rare_sign(word: bytes) -> int:
+    """The sign of a rarer word; ``_sign`` is the same on a column."""
+    return zlib.crc32(word[-SIGN_BYTES:]) % RARE_SIGNS
+
+
+def _sign(word: str) -> Column:
+    last = F.expr(f"substring({word}, greatest(length({word}) - {SIGN_BYTES - 1}, 1), {SIGN_BYTES})")
+    return (F.crc32(last) % RARE_SIGNS).cast("int")
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Documents whose crc32(doc_id as text) is divisible by ten; a null id is the empty text, held out too."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 10 == 0
@@ -169,35 +190,47 @@ def _symbols(head, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         n, symbols, words, counts = [], [], [], []
         for body in batch.column("body").to_pylist():
             found = words_of(body)
-            ids = [number(w, rare) for w in found]
-            tail = Counter([w for w, i in zip(found, ids) if i == rare])
+            ids = [number(w, -1) for w in found]
+            tail = Counter([w for w, i in zip(found, ids) if i < 0])
+            signs = {w: rare + rare_sign(w) for w in tail}
+            ids = [signs[w] if i < 0 else i for w, i in zip(found, ids)]
             n.append(len(found) + 1)
             symbols.append(np.array(ids, np.int32).tobytes())
             words.append(list(tail))
             counts.append(list(tail.values()))
-        columns = [batch.column(c) for c in ("uid", "doc_id", "held_out")]
+        columns = [batch.column(c) for c in ("uid", "block", "doc_id", "held_out")]
         columns += [pa.array(n, pa.int64()), pa.array(symbols, pa.binary())]
         columns += [pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(
-            columns, names=["uid", "doc_id", "held_out", "n_tokens", "symbols", "rare_words", "rare_counts"]
+            columns, names=["uid", "block", "doc_id", "held_out", "n_tokens", "symbols", "rare_words", "rare_counts"]
         )
 
 
 def _head(counts: DataFrame, most: int) -> list:
-    """The most frequent words, by count and then by bytes, at most ``most``: those above a count that is found
-    from a histogram, so that no task and no driver ever ranks the vocabulary.
+    """The most frequent words, by count and then by bytes, at most ``most``.
+
+    Histograms of the counts, first in bands and then inside the band that the bound cuts, give the count of the
+    last word taken, so no task and no driver ever ranks the vocabulary. Of the words with that count about as
+    many as there is room for are taken, by a hash.
     """
     band = F.floor(F.log2("c") * _BANDS)
-    bands = counts.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("band")).collect()
-    total, least = 0, None
-    for row in bands:
-        total += row["n"]
-        if total > most:
-            break
-        least = row["band"]
-    if least is None:
-        return []
-    return sorted(counts.where(band >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
+
+    def border(rows: DataFrame, by: Column, room: int) -> tuple[int | None, int]:
+        """The group that the bound cuts (None: all fit) and the room left for it."""
+        for row in rows.groupBy(by.alias("by")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("by")).collect():
+            if row["n"] > room:
+                return row["by"], room
+            room -= row["n"]
+        return None, room
+
+    cut_band, room = border(counts, band, most)
+    if cut_band is None:
+        taken = counts
+    else:
+        cut, room = border(counts.where(band == cut_band), F.col("c"), room)
+        ties = counts.where(F.col("c") == cut)
+        taken = counts.where(F.col("c") > cut).union(ties.where(uniform("word", seed=SEED) < room / ties.count()))
+    return sorted(taken.collect(), key=lambda r: (-r["c"], bytes(r["word"])))[:most]
 
 
 def _with_end(symbols: Iterable[bytes], end: int) -> list[np.ndarray]:
@@ -236,9 +269,9 @@ def _expectation(model, end: int) -> Callable:
     return run
 
 
-def baum_welch_pass(symbols: DataFrame, model: Model, base: np.ndarray) -> Model:
-    """One pass over all rows of ``symbols``; at most one row per symbol and state reaches the driver."""
-    states, end = len(model.start), len(base) - 1
+def expected_counts(symbols: DataFrame, model: Model, end: int) -> Expected:
+    """Expected counts of all rows of ``symbols``; at most one row per symbol and state reaches the driver."""
+    states = len(model.start)
     shared = symbols.sparkSession.sparkContext.broadcast(model)
     columns = [f"e{k}" for k in range(states)]
     schema = "symbol int, " + ", ".join(f"{c} double" for c in columns)
@@ -246,17 +279,40 @@ def baum_welch_pass(symbols: DataFrame, model: Model, base: np.ndarray) -> Model
     rows = counted.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
     shared.unpersist()
     names, values = rows["symbol"].to_numpy(), rows[columns].to_numpy()
-    total = Expected.zero(states, len(base))
+    total = Expected.zero(states, end + 1)
     total.emit[names[names >= 0]] = values[names >= 0]
     for name, value in zip(names[names < 0], values[names < 0]):
         if name == -1 - states:
             total.start = value
         else:
-            total.step[-1 - name] = value
-    return total.model(base)
+            total.step[-1 - name] += value
+    return total
+
+
+def baum_welch(symbols: DataFrame, base: np.ndarray, states: int, passes: int, blocks: int) -> Model:
+    """Passes over all rows of ``symbols``, block by block; without rows or passes the start model."""
+    model, counts, end = start_model(base, states), None, len(base) - 1
+    n = 0
+    for _ in range(passes):
+        total = None
+        for block in range(blocks):
+            found = expected_counts(symbols.where(F.col("block") == block), model, end)
+            if not found.emit.any():
+                continue
+            n += 1
+            counts = found if counts is None else counts.mixed(found, n**FADE)
+            total = found if total is None else total.plus(found)
+            model = counts.model(base)
+        if total is None:
+            break
+        # The next pass goes on from the faded counts; the last one ends with those of all its blocks.
+        final = total.model(base)
+    return final if n else model
 
 
-def _scores(model, log_base: np.ndarray, end: int) -> Callable:
+def _scores(model, log_base: np.ndarray, log_mass: np.ndarray, rare: int) -> Callable:
+    end = len(log_base) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _gathered(batches):
             batch = pa.Table.from_batches(held)
@@ -265,7 +321,9 @@ def _scores(model, log_base: np.ndarray, end: int) -> Callable:
             for at, symbols, lengths in padded(rows):
                 score[at] = forward(model.value, symbols, lengths) / np.log(10)
             base = [float(log_base[r].sum()) for r in rows]
-            known = [int((r < end - 1).sum()) for r in rows]
+            # A rare word's share of its sign: the join below brings the word's part, this is the sign's.
+            score -= [float(log_mass[r].sum()) for r in rows]
+            known = [int((r < rare).sum()) for r in rows]
             kept = [batch.column(c).combine_chunks() for c in ("uid", "doc_id", "held_out", "n_tokens")]
             table = pa.Table.from_arrays(
                 [*kept, pa.array(score), pa.array(base, pa.float64()), pa.array(known, pa.int64())],
@@ -276,14 +334,14 @@ def _scores(model, log_base: np.ndarray, end: int) -> Callable:
     return run
 
 
-def lm_scores(docs: DataFrame, states: int = STATES, head_words: int = HEAD_WORDS, passes: int = PASSES) -> DataFrame:
+def lm_scores(docs: DataFrame, states: int = STATES, head_words: int = HEAD_WORDS, passes: int = PASSES, blocks: int = BLOCKS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``base_score`` is the sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))), ``score`` the model's
     log10 probability of the whole text, its end included. Documents with held_out teach nothing. Null and
     empty texts are an end alone. Repeated rows are each scored (and learned from); without training
-    documents every token is unknown. Words equal in count are ordered by their bytes. Other columns are
-    ignored; an empty table gives no rows.
+    documents every token is unknown. Blocks follow from id and text, so scores do not depend on how rows are dealt
+    to partitions, up to rounding. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     given = docs.select("doc_id", held_out().alias("held_out"), text_bytes().alias("body"))
@@ -295,20 +353,29 @@ def lm_scores(docs: DataFrame, states: int = STATES, head_words: int = HEAD_WORD
     n, v = sums["n"] + n_docs, sums["v"] + (n_docs > 0)
     top = _head(counts, head_words)
     head = spark.sparkContext.broadcast({bytes(r["word"]): i for i, r in enumerate(top)})
-    rare, end = len(top), len(top) + 1
+    rare, end = len(top), len(top) + RARE_SIGNS
 
     head_counts = np.array([r["c"] for r in top], float)
-    rare_mass = sums["n"] - head_counts.sum() + ADD * (sums["v"] - len(top) + 1)
-    whole = n + ADD * (v + 1)
-    mass = np.concatenate([head_counts + ADD, [rare_mass, n_docs + ADD]])
+    # A sign's mass: that of its words which are not in the head, and of one unknown word.
+    sign_mass = np.full(RARE_SIGNS, ADD)
+    for r in counts.groupBy(_sign("word").alias("sign")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+        sign_mass[r["sign"]] += r["c"] + ADD * r["v"]
+    np.subtract.at(sign_mass, np.array([rare_sign(bytes(r["word"])) for r in top], int), head_counts + ADD)
+    sign_mass = np.maximum(sign_mass, ADD)
+    mass = np.concatenate([head_counts + ADD, sign_mass, [n_docs + ADD]])
     base = mass / mass.sum()
-    # The rare sign adds nothing here: rare words bring their own share.
+    whole = n + ADD * (v + 1)
+    # Signs add nothing here: rare words bring their own share.
     log_base = np.log10(mass / whole)
-    log_base[rare] = 0.0
+    log_base[rare:end] = 0.0
+    log_mass = np.zeros(end + 1)
+    log_mass[rare:end] = np.log10(sign_mass)
 
-    placed = given.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "body")
+    block = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "body"), F.lit(blocks)).cast("int")
+    placed = given.select(F.monotonically_increasing_id().alias("uid"), block.alias("block"), "doc_id", "held_out", "body")
     schema = placed.select(
         "uid",
+        "block",
         "doc_id",
         "held_out",
         F.lit(0).cast("long").alias("n_tokens"),
@@ -316,13 +383,8 @@ def lm_scores(docs: DataFrame, states: int = STATES, head_words: int = HEAD_WORD
         F.array().cast("array<binary>").alias("rare_words"),
         F.array().cast("array<bigint>").alias("rare_counts"),
     ).schema
-    encoded = materialize(placed.mapInArrow(lambda batches: _symbols(head, batches), schema), "symbols")
-
-    learn = encoded.where(~F.col("held_out"))
-    sample = stable_sample(learn.select("uid", "symbols"), START_DOCUMENTS, "uid", SEED).orderBy("uid").collect()
-    model = start_model(_with_end((bytes(r["symbols"]) for r in sample), end), base, states, START_PASSES)
-    for _ in range(passes if n_docs else 0):
-        model = baum_welch_pass(learn, model, base)
+    encoded = materialize(placed.mapInArrow(lambda batches: _symbols(head, batches), schema), "symbols", by="block")
+    model = baum_welch(encoded.where(~F.col("held_out")), base, states, passes if n_docs else 0, blocks)
 
     shared = spark.sparkContext.broadcast(model)
     narrow = encoded.select("uid", "doc_id", "held_out", "n_tokens", "symbols")
@@ -330,7 +392,7 @@ def lm_scores(docs: DataFrame, states: int = STATES, head_words: int = HEAD_WORD
     out = narrow.select(
         "uid", "doc_id", "held_out", "n_tokens", real.alias("state_score"), real.alias("head_base"), F.lit(0).cast("long").alias("head_known")
     ).schema
-    scored = narrow.mapInArrow(_scores(shared, log_base, end), out)
+    scored = narrow.mapInArrow(_scores(shared, log_base, log_mass, rare), out)
 
     pairs = F.explode(F.arrays_zip("rare_words", "rare_counts")).alias("pair")
     tail = encoded.select("uid", pairs).select("uid", F.col("pair.rare_words").alias("word"), F.col("pair.rare_counts").alias("times"))
@@ -351,5 +413,5 @@ def lm_scores(docs: DataFrame, states: int = STATES, head_words: int = HEAD_WORD
         (F.col("head_known") + F.coalesce("rare_known", zero) + F.lit(int(n_docs > 0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("head_base") + log - tokens * F.lit(float(np.log10(whole)))).alias("base_score"),
-        (F.col("state_score") + log - tokens * F.lit(float(np.log10(rare_mass)))).alias("score"),
+        (F.col("state_score") + log).alias("score"),
     )
