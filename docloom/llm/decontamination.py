@@ -3,7 +3,8 @@
 The test items are read in blocks of bounded size. A block becomes a dictionary of its words and, per
 window length, a hash table of its windows; that is broadcast, and every document is scanned once
 against it. Further blocks are further scans of the same pass, so the size of a broadcast never grows
-with the benchmark, and no row is shuffled.
+with the benchmark, and no row is shuffled. The driver builds one block at a time and lets it go once it is
+broadcast.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from docloom.llm.common import text_bytes
 # Words of a window; an item of fewer words, but not none, is one window.
 WINDOW = 10
 # Bytes of item text in one broadcast block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 # A-Z become a-z, other ASCII characters but digits and a-z become spaces, bytes from 0x80 on stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -70,7 +71,7 @@ class WindowIndex:
         return np.flatnonzero(hit).astype(np.int32), items
 
 
-def window_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[WindowIndex]:
+def window_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[WindowIndex]:
     """The items' windows in blocks of about ``block_bytes`` of text; an item is never split.
 
     An item with a null id counts under the empty id, a null text has no words.
@@ -78,13 +79,11 @@ def window_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int =
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_bytes().alias("body"))
     total = items.agg(F.sum(F.length("body")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    blocks = []
     for b in range(n_blocks):
         index = WindowIndex()
         for row in items.where(F.pmod(F.xxhash64("item", "body"), F.lit(n_blocks)) == b).toLocalIterator():
             index.add(row["item"], bytes(row["body"]), window)
-        blocks.append(index)
-    return blocks
+        yield index
 
 
 def _mark(index: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
