@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import hmm, quality, secret_scan, toxicity
 from docloom.llm.common import sha256_hex
@@ -366,6 +367,72 @@ def test_base_scores_agree_with_brute_force(spark, head):
     assert all(r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in alone)
 
 
+def slow_scores(rows, head_words, states, passes, blocks):
+    """``rows``: id, text, held out, block. The same model from lists, dictionaries and one row at a time."""
+    texts = [(d, (t or "").encode().lower().split(), held, b) for d, t, held, b in rows]
+    c = Counter(w for _, words, held, _ in texts if not held for w in words)
+    ends = sum(not held for _, _, held, _ in texts)
+    head = sorted(c, key=lambda w: (-c[w], w))[:head_words]
+    number = {w: i for i, w in enumerate(head)}
+    mass = [c[w] + 0.1 for w in head] + [0.1] * hmm.RARE_SIGNS + [ends + 0.1]
+    for w in c:
+        if w not in number:
+            mass[len(head) + hmm.rare_sign(w)] += c[w] + 0.1
+    base, end = np.array(mass) / sum(mass), len(mass) - 1
+    symbols = [np.array([number.get(w, len(head) + hmm.rare_sign(w)) for w in words] + [end]) for _, words, _, _ in texts]
+    model, counts, n = hmm.start_model(base, states), None, 0
+    for _ in range(passes):
+        total = hmm.Expected.zero(states, len(base))
+        for block in range(blocks):
+            found = hmm.Expected.zero(states, len(base))
+            for row, (_, _, held, b) in zip(symbols, texts):
+                if not held and b == block:
+                    found.add(model, [row])
+            if not found.emit.any():
+                continue
+            n += 1
+            share = n**hmm.FADE
+            for name in ("start", "step", "emit"):
+                getattr(total, name)[...] += getattr(found, name)
+            if counts is None:
+                counts = found
+            else:
+                scale = counts.emit.sum() / found.emit.sum()
+                counts = hmm.Expected(*[
+                    (1 - share) * getattr(counts, k) + share * scale * getattr(found, k) for k in ("start", "step", "emit")
+                ])
+            model = counts.model(base)
+    model = total.model(base)
+    out = []
+    for (d, words, _, _), row in zip(texts, symbols):
+        score = float(hmm.forward(model, row[None, :], np.array([len(row)]))[0]) / math.log(10)
+        score += sum(math.log10((c[w] + 0.1) / mass[s]) for w, s in zip(words, row) if w not in number)
+        out.append((repr(d), score))
+    return sorted(out)
+
+
+def test_scores_agree_with_a_slow_model_however_rows_are_dealt(spark, documents):
+    # With 12 and 5 words in each text, counts at the border of the head differ.
+    texts = [f"a a a a b b b c c d {'x' * (i % 7)}ing y{i}ed" for i in range(30)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "a lost b"), (40, None), (41, "a a b b zzz")], "doc_id long, text string")
+    args = {"states": 3, "head_words": 3, "passes": 2, "blocks": 3}
+    block = F.pmod(F.xxhash64(F.lit(hmm.SEED), "doc_id", hmm.text_bytes()), F.lit(3))
+    rows = [tuple(r) for r in docs.select("doc_id", "text", hmm.held_out(), block).collect()]
+    want = slow_scores(rows, 3, 3, 2, 3)
+    for parts in (1, 4):
+        got = sorted((repr(r["doc_id"]), r["score"]) for r in hmm.lm_scores(docs.repartition(parts), **args).collect())
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], atol=1e-6)
+
+
+def test_the_head_is_never_empty_and_never_too_large(spark):
+    counts = spark.range(50).select(F.col("id").cast("string").cast("binary").alias("word"), F.lit(7).cast("long").alias("c"))
+    assert 20 <= len(hmm._head(counts, 40)) <= 40
+    assert len(hmm._head(counts, 50)) == 50
+    mixed = counts.withColumn("c", F.col("c") + F.when(F.col("word") == F.lit("3").cast("binary"), 5).otherwise(0))
+    assert bytes(hmm._head(mixed, 10)[0]["word"]) == b"3"
+
+
 def test_the_model_beats_the_unigram_on_held_out_documents(spark, documents):
     rows = hmm.lm_scores(documents).where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows) + 0.1 * sum(r["n_tokens"] for r in rows)
