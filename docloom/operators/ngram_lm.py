@@ -62,10 +62,14 @@ _SALTS = 16
 
 
 def _met(rows: DataFrame, facts: DataFrame, key: str, other: str) -> DataFrame:
-    """``rows`` left-joined with ``facts`` on ``key``; rows of one key spread by their ``other`` word."""
+    """``rows`` left-joined with ``facts`` on ``key``; rows of one key spread by their ``other`` word.
+
+    ``facts`` grow with the vocabulary and have _SALTS rows a word here, which their size on disk does not tell: they
+    are sorted, never gathered on the driver for a broadcast.
+    """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(_SALTS)).cast("int"))
     spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return salted.join(spread, [key, "_salt"], "left").drop("_salt")
+    return salted.join(spread.hint("merge"), [key, "_salt"], "left").drop("_salt")
 
 
 @dataclass(frozen=True)

@@ -75,3 +75,10 @@ def test_kneser_ney_beats_add_k_on_held_out_documents(spark):
 def test_without_train_or_test_bigrams(spark):
     assert ngram_lm.kneser_ney_perplexity(frame(spark, TRAIN, [])).first()["eval_loss"] is None
     assert ngram_lm.kneser_ney_perplexity(frame(spark, [], ["a"])).first()["eval_loss"] == 0.0
+
+
+def test_no_table_of_words_is_broadcast(spark):
+    counts = frame(spark, TRAIN, TEST)
+    found = ngram_lm.kneser_ney(counts).probability(counts)
+    assert found.count() == counts.count()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
