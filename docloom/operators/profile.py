@@ -103,13 +103,21 @@ def top_bigrams(bigrams: DataFrame, k: int = 20) -> DataFrame:
 
 
 def frequent_words(df: DataFrame, k: int = 20, text: str = "text", stop_words: Sequence[str] = P.STOP_WORDS, **options) -> DataFrame:
-    """``top_words`` of a text column without a table of all words."""
+    """``top_words`` of a text column, counted in one pass.
+
+    With ``options`` of :func:`top_items` summaries take the place of a shuffle of all words, at the price of Python
+    work and a second pass over the texts.
+    """
+    if not options:
+        return top_words(word_frequency(df, text, stop_words), k)
     words = X.kept_words(X.tokenize_words(F.col(text)), stop_words)
     return top_items(df.select(words.alias("items")), "items", k, **options).withColumnRenamed("item", "word")
 
 
 def frequent_bigrams(df: DataFrame, k: int = 20, text: str = "text", stop_words: Sequence[str] = P.STOP_WORDS, **options) -> DataFrame:
-    """``top_bigrams`` of a text column without a table of all bigrams."""
+    """``top_bigrams`` of a text column, counted as :func:`frequent_words` counts."""
+    if not options:
+        return top_bigrams(bigram_frequency(df, text, stop_words), k)
     kept = df.select(X.kept_words(X.tokenize_words(F.col(text)), stop_words).alias("words"))
     pairs = kept.select(X.neighbour_pairs(F.col("words")).alias("items"))
     return top_items(pairs, "items", k, **options).withColumnRenamed("item", "bigram")

@@ -66,3 +66,11 @@ def test_words_and_bigrams_equal_the_full_counts(spark):
     for few in (50, 1 << 18):
         assert profile.frequent_words(docs, counters=few).collect() == profile.top_words(words).collect()
         assert profile.frequent_bigrams(docs, counters=few).collect() == profile.top_bigrams(pairs).collect()
+
+
+def test_top_lists_count_in_one_pass_without_python(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    monkeypatch.setattr(profile, "top_items", None)
+    for made, full in ((profile.frequent_words(docs), profile.top_words(profile.word_frequency(docs))), (profile.frequent_bigrams(docs), profile.top_bigrams(profile.bigram_frequency(docs)))):
+        assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.columns == full.columns and made.collect() == full.collect()
