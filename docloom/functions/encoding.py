@@ -54,9 +54,8 @@ def mlm_mask(
         masked = (
             F.when(action < 0.8, F.lit(mask_id)).when(action < 0.9, draw.cast("int")).otherwise(token)
         )
-        return F.struct(
-            F.when(chosen, masked).otherwise(token).alias("input_id"),
-            F.when(chosen, token).otherwise(F.lit(IGNORED_LABEL)).alias("label"),
-        )
+        # One condition for both fields: a lambda computes its hash anew for every use.
+        hidden = F.struct(masked.alias("input_id"), token.alias("label"))
+        return F.when(chosen, hidden).otherwise(F.struct(token.alias("input_id"), F.lit(IGNORED_LABEL).alias("label")))
 
     return F.transform(ids, one)

@@ -67,3 +67,10 @@ def test_bigram_perplexity_by_hand(spark):
     row = ngram_lm.ngram_perplexity(ngram_lm.split_bigrams(df, F.col("t")), k=0.5).first()
     assert math.isclose(row["eval_loss"], sum(losses) / len(losses))
     assert math.isclose(row["perplexity"], math.exp(row["eval_loss"]))
+
+
+def test_a_position_is_hashed_once_to_choose_it(spark):
+    column = E.mlm_mask(F.sequence(F.lit(1), F.col("id")), F.col("id"), mask_id=8, vocab_size=16000, special_count=9)
+    plan = spark.range(10).select(column.alias("m"))._jdf.queryExecution().analyzed().toString()
+    # The choice, two bounds of the action and the random id.
+    assert plan.count("md5(") == 4
