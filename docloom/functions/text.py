@@ -9,7 +9,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,9 +113,17 @@ def repair_text(text: str) -> str:
     return unicodedata.normalize("NFC", _MOJIBAKE.sub(_repair_match, text))
 
 
-@F.pandas_udf(T.StringType())
-def _repair(texts: pd.Series) -> pd.Series:
-    return texts.map(repair_text, na_action="ignore")
+# Texts of a batch that are Python strings at one time; the batch itself stays in Arrow.
+_REPAIRED_AT_ONCE = 64
+
+
+@F.arrow_udf(T.StringType())
+def _repair(texts: pa.Array) -> pa.Array:
+    parts = []
+    for i in range(0, len(texts), _REPAIRED_AT_ONCE):
+        part = texts.slice(i, _REPAIRED_AT_ONCE).to_pylist()
+        parts.append(pa.array([t if t is None else repair_text(t) for t in part], pa.string()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def fix_unicode(c: Column) -> Column:

@@ -107,3 +107,12 @@ def test_wrongly_decoded_text_is_restored_or_left(text):
     assert X.repair_text(text) == text
     repaired = X.repair_text(broken)
     assert "Ã" not in repaired and "â\x80" not in repaired
+
+
+def test_texts_are_repaired_in_arrow():
+    import pyarrow as pa
+
+    given = [None if i % 7 == 0 else "cafÃ©" if i % 2 else "e\u0301" for i in range(200)]
+    got = X._repair.func(pa.array(given, pa.string()))
+    assert got.type == pa.string() and got.to_pylist() == [None if t is None else X.repair_text(t) for t in given]
+    assert X._repair.func(pa.array([], pa.string())).to_pylist() == []
