@@ -31,6 +31,7 @@ from docloom.sinks import (
 )
 from docloom.sources import scan_documents, scan_label_map, scan_published, scan_text_lines, scan_tsv
 from docloom.sources import scan_pairs as scan_pairs_of
+from docloom.sources.tables import stored_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +39,8 @@ QUERIES: dict[str, Query] = {}
 _SPLITS = ("train", "test", "dev")
 # Vocabulary size of the learned example: specials, bytes and merges.
 _BPE_SIZE = LanguageModelConfig.vocab_size
+# Stored bytes of documents that go into one JSON array.
+_ARRAY_BYTES = 32 << 20
 
 
 def query(function: Query) -> Query:
@@ -80,7 +83,9 @@ def scan_json_array_query(spark, sf_dir):
     """Documents written as JSON arrays and read back in byte ranges."""
     path = scratch_path(spark, "documents-array")
     raw = V.raw_documents(spark, sf_dir).select("doc_id", "content", "date", "buckets")
-    write_json_arrays(raw, path, "doc_id", files=4)
+    # A file is written by one task, so their number follows the table.
+    files = max(4, -(-stored_bytes(spark, f"{sf_dir}/documents.parquet") // _ARRAY_BYTES))
+    write_json_arrays(raw, path, "doc_id", files=files)
     return scan_documents(spark, path).select("row_idx", "content", "date", _joined("buckets", "|").alias("buckets"))
 
 

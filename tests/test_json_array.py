@@ -99,3 +99,14 @@ def test_empty_arrays_have_no_records(spark, tmp_path):
     for i, text in enumerate(("[]", " [ \n ] ", "")):
         (tmp_path / f"{i}.json").write_text(text)
     assert rows(scan_json_array(spark, str(tmp_path), DOCUMENT_SCHEMA)) == []
+
+
+def test_the_query_writes_more_files_for_a_larger_table(spark, monkeypatch):
+    from docloom.catalog import queries as Q
+
+    used, write = [], Q.write_json_arrays
+    monkeypatch.setattr(Q, "write_json_arrays", lambda df, path, order_by, files: used.append(files) or write(df, path, order_by, files=files))
+    few = sorted(Q.QUERIES["scan_json_array"](spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(Q, "_ARRAY_BYTES", 4096)
+    many = sorted(Q.QUERIES["scan_json_array"](spark, "/root/testdata/sf0.001").collect())
+    assert used[0] == 4 and used[1] > 8 and few == many
