@@ -24,7 +24,7 @@ from docloom.llm.pieces import PieceModel
 MEMO_CHARS = 48
 MEMO_CHUNKS = 300_000
 # Bytes of text whose words are held at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 # Places searched between two looks for a common boundary.
 COMMIT_EVERY = 64
 

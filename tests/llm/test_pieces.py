@@ -1,10 +1,11 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
-from docloom.llm.piece_encoding import PieceEncoder, decode, encode, round_trip
+from docloom.llm.piece_encoding import PieceEncoder, decode, encode, round_trip, small_batches
 from docloom.llm.pieces import load_model
 from docloom.llm.queries import PIECE_MODEL
 from docloom.llm.token_counts import CountingTrie, token_counts
@@ -67,6 +68,13 @@ def test_counts_share_prefixes_and_survive_a_full_trie(model, library):
     assert len(trie.piece) < sum(map(len, trie)) + 1
 
 
+def test_a_worker_holds_the_words_of_one_megabyte():
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i} " * 5000 for i in range(1000, 1160)])], names=["text"])
+    parts = list(small_batches(iter([batch])))
+    assert max(p.column("text").nbytes for p in parts) <= 1 << 20
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+
+
 def test_a_unigram_vocabulary_gets_the_best_sum(tmp_path, model):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
