@@ -79,6 +79,33 @@ def test_groups_that_meet_in_large_buckets_agree_with_all_pairs(spark):
         assert {r["doc_id"]: r["component_id"] for r in similar_documents(df, few=few).collect()} == expected
 
 
+def bridged(n):
+    """Two families of ``n`` near copies, linked by one pair only, whose common shingles all of both families have."""
+    core = [f"d{k}" for k in range(500)]
+    docs = []
+    for first, name in ((0, "p"), (1000, "q")):
+        own = [f"{name}{k}" for k in range(100)]
+        docs += [(first + i, " ".join(core + own + [f"{name}{i}u{k}" for k in range(25)])) for i in range(n)]
+        docs.append((first + n, " ".join(core + own[:50])))
+    return docs
+
+
+def test_groups_linked_by_shingles_that_many_share_agree_with_all_pairs(spark):
+    docs = bridged(60)
+    expected = slow_components(docs)
+    assert set(expected.values()) == {0}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for few in (32, 4):
+        assert {r["doc_id"]: r["component_id"] for r in similar_documents(df, few=few).collect()} == expected
+
+
+def test_tiles_of_a_crowd_link_the_groups_that_all_pairs_link(spark, monkeypatch):
+    monkeypatch.setattr("docloom.llm.jaccard.TILE", 16)
+    docs = bridged(60)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in similar_documents(df, few=4).collect()} == slow_components(docs)
+
+
 SEVEN = [(1, "c"), (None, "c"), (None, "u"), (5, "v"), (5, "c"), (7, "s"), (7, "s")]
 
 
