@@ -68,7 +68,7 @@ class _Rows:
     """Sparse rows of a batch: positions and values one after the other."""
 
     def __init__(self, indices: pa.ListArray, values: pa.ListArray, scale: np.ndarray | None) -> None:
-        sizes = np.fromiter((len(v) for v in values), np.int64, len(values))
+        sizes = values.value_lengths().to_numpy(zero_copy_only=False)
         self.n = len(sizes)
         self.at = indices.flatten().to_numpy(zero_copy_only=False)
         self.values = values.flatten().to_numpy(zero_copy_only=False)
@@ -80,15 +80,22 @@ class _Rows:
         out = np.zeros((self.n, weights.shape[1]))
         if len(self.row):
             starts = np.flatnonzero(np.diff(self.row, prepend=-1))
-            out[self.row[starts]] = np.add.reduceat(weights[self.at] * self.values[:, None], starts, axis=0)
+            terms = weights.take(self.at, axis=0)
+            terms *= self.values[:, None]
+            out[self.row[starts]] = np.add.reduceat(terms, starts, axis=0)
         return out
 
     def gradient(self, errors: np.ndarray, into: np.ndarray) -> None:
+        """Add to ``into``: label by label, in one pass over the values and without sorting them."""
         if len(self.at):
-            order = np.argsort(self.at, kind="stable")
-            at = self.at[order]
-            starts = np.flatnonzero(np.diff(at, prepend=-1))
-            into[at[starts]] += np.add.reduceat(errors[self.row[order]] * self.values[order, None], starts, axis=0)
+            used = np.zeros(len(into), bool)
+            used[self.at] = True
+            found = np.flatnonzero(used)
+            place = np.empty(len(into), np.int64)
+            place[found] = np.arange(len(found))
+            at = place[self.at]
+            sums = [np.bincount(at, column.take(self.row) * self.values, len(found)) for column in np.ascontiguousarray(errors.T)]
+            into[found] += np.stack(sums, axis=1)
 
 
 def _partial_sums(shared):

@@ -1,9 +1,12 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from docloom.operators.joint_logistic import JointLogistic, fit_joint
+from docloom.operators.joint_logistic import JointLogistic, _Rows, fit_joint
 
 
 def table(n, d, labels, seed=1):
@@ -58,6 +61,26 @@ def test_scores_and_saved_weights(spark, tmp_path):
     assert (again.weights == model.weights).all() and (again.intercepts == model.intercepts).all()
 
 
+def test_a_pass_is_that_of_the_dense_table_and_holds_the_terms_once():
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((400, 1000)) < 0.3, rng.random((400, 1000)), 0)
+    x[[0, 7, 399]] = 0
+    at = [np.flatnonzero(r) for r in x]
+    whole = pa.array([[]] + [a.tolist() for a in at], pa.list_(pa.int32())), pa.array([[]] + [r[a].tolist() for r, a in zip(x, at)], pa.list_(pa.float64()))
+    weights, errors, into = rng.normal(size=(1000, 16)), rng.normal(size=(400, 16)), np.ones((1000, 16))
+    rows = _Rows(whole[0].slice(1), whole[1].slice(1), None)
+    terms = len(rows.at) * 16 * 8
+    tracemalloc.start()
+    np.testing.assert_allclose(rows.scores(weights), x @ weights)
+    first = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    rows.gradient(errors, into)
+    second = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    np.testing.assert_allclose(into, 1 + x.T @ errors)
+    assert first < 1.5 * terms and second < 0.5 * terms
+
+
 def jobs_of(spark, group, work):
     spark.sparkContext.setJobGroup(group, group)
     work()
