@@ -10,6 +10,7 @@ import heapq
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -166,49 +167,140 @@ class BytePairModel:
         )
 
 
+# No merge: ranks after every symbol.
+_NONE = np.int64(1) << 40
+
+
+def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left.astype(np.int64) << 32) | right.astype(np.int64)
+
+
+def merge_table(merges: Iterable[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Merges ``(left, right, made)`` as sorted keys of the pairs and what each makes; later merges make more."""
+    rows = np.array(list(merges), dtype=np.int64).reshape(-1, 3)
+    keys = _pair_keys(rows[:, 0], rows[:, 1])
+    order = np.argsort(keys)
+    return keys[order], rows[order, 2]
+
+
+def merge_symbols(
+    symbols: np.ndarray, lengths: np.ndarray, table: tuple[np.ndarray, np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Many words after the merges of ``table``: in each the earliest first, left to right.
+
+    Words lie one behind the other in ``symbols``, with their ``lengths``; the result has the same form. A step merges
+    the earliest pair of every word that still has one, so steps follow the longest word and not the number of words.
+    """
+    keys, made = table
+    n_words, whole = len(lengths), (symbols.astype(np.int64), np.repeat(np.arange(len(lengths)), lengths))
+    if not len(keys):
+        return whole[0], lengths
+    symbols, owner = whole
+    finished: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def made_at(at: np.ndarray) -> np.ndarray:
+        after = np.minimum(at + 1, len(symbols) - 1)
+        key = _pair_keys(symbols[at], symbols[after])
+        slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((keys[slot] == key) & (after > at) & (owner[after] == owner[at]), made[slot], _NONE)
+
+    rank = made_at(np.arange(len(symbols)))
+    while len(symbols):
+        starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        sizes = np.diff(np.concatenate((starts, [len(symbols)])))
+        least = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+        if (over := least == _NONE).any():
+            finished.append((symbols[over], owner[over]))
+            symbols, owner, rank, least = (a[~over] for a in (symbols, owner, rank, least))
+        at = np.flatnonzero(rank == least)
+        # Only a pair of equal symbols overlaps itself: of such a run every other one is merged.
+        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        at = at[(at - np.repeat(at[run], np.diff(np.append(run, len(at))))) % 2 == 0]
+        symbols[at] = least[at]
+        keep = np.ones(len(symbols), dtype=bool)
+        keep[at + 1] = False
+        symbols, owner, rank = symbols[keep], owner[keep], rank[keep]
+        at = at - np.arange(len(at))
+        around = np.concatenate((at, at[at > 0] - 1))
+        rank[around] = made_at(around)
+    symbols, owner = (np.concatenate(parts) for parts in zip(*finished)) if finished else whole
+    return symbols[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n_words)
+
+
+def _codes(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words one behind the other, and the lengths of the words."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
+    return codes.astype(np.int64), np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+
+
+def merge_words(words: Sequence[str], table: tuple[np.ndarray, np.ndarray]) -> list[str]:
+    """:func:`merge_symbols` of strings with one character per symbol."""
+    codes, lengths = merge_symbols(*_codes(words), table)
+    whole, ends = codes.astype("<u4").tobytes().decode("utf-32-le"), np.cumsum(lengths)
+    return [whole[start:end] for start, end in zip((ends - lengths).tolist(), ends.tolist())]
+
+
+def _character_table(made: Sequence[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    return merge_table((ord(pair[0]), ord(pair[1]), ord(symbol)) for pair, symbol in made)
+
+
 def merge_word(symbols: str, ranks: dict[str, int], made: Sequence[tuple[str, str]]) -> str:
-    """A word after the merges of ``ranks``, the earliest first, each left to right."""
-    while len(symbols) > 1:
-        rank = min(ranks.get(symbols[i : i + 2], len(made)) for i in range(len(symbols) - 1))
-        if rank == len(made):
-            break
-        pair, symbol = made[rank]
-        symbols = symbols.replace(pair, symbol)
-    return symbols
+    """A word after the merges of ``made`` that have a rank, the earliest first, each left to right."""
+    return merge_words([symbols], _character_table([made[i] for i in sorted(ranks.values())]))[0]
 
 
 def _merged(shared):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = shared.value
-        ranks = {pair: i for i, (pair, _) in enumerate(made)}
+        table = _character_table(shared.value)
         for batch in batches:
-            words = [merge_word(w, ranks, made) for w in batch.column("symbols").to_pylist()]
+            words = merge_words(batch.column("symbols").to_pylist(), table)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column("n_uses")], names=["symbols", "n_uses"])
 
     return of
 
 
+def stretches(words: Sequence[str], keys: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The stretches of words in which every two neighbours are a pair of the sorted ``keys``, and the place of the
+    word that each is from."""
+    codes, lengths = _codes(words)
+    if len(codes) < 2:
+        return [], np.zeros(0, dtype=np.int64)
+    key = _pair_keys(codes[:-1], codes[1:])
+    joined = np.append(keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key, False)
+    # A word's last symbol has no neighbour.
+    joined[np.cumsum(lengths)[lengths > 0] - 1] = False
+    before = np.concatenate(([False], joined[:-1]))
+    starts, ends = np.flatnonzero(joined & ~before), np.flatnonzero(~joined & before) + 1
+    whole = "".join(words)
+    parts = [whole[start:end] for start, end in zip(starts.tolist(), ends.tolist())]
+    return parts, np.repeat(np.arange(len(lengths)), lengths)[starts]
+
+
+def _sorted_keys(pairs: Iterable[str]) -> np.ndarray:
+    return np.sort(np.array([ord(pair[0]) << 32 | ord(pair[1]) for pair in pairs], dtype=np.int64))
+
+
 def fragments(symbols: str, pairs: frozenset[str]) -> list[str]:
     """The stretches of a word in which every two neighbours are one of ``pairs``."""
-    out, start = [], 0
-    for i in range(1, len(symbols) + 1):
-        if i == len(symbols) or symbols[i - 1 : i + 1] not in pairs:
-            if i - start > 1:
-                out.append(symbols[start:i])
-            start = i
-    return out
+    return stretches([symbols], _sorted_keys(pairs))[0]
 
 
-def _fragmented(shared):
+def _fragmented(shared, max_fragments: int):
+    """Uses of the stretches of a task. A task that alone finds more than ``max_fragments`` shows that the round has
+    too many pairs and looks no further, as its count is not used then."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = shared.value
+        keys = _sorted_keys(shared.value)
+        found: dict[str, int] = {}
         for batch in batches:
-            found: Counter[str] = Counter()
-            for word, n in zip(batch.column("symbols").to_pylist(), batch.column("n_uses").to_pylist()):
-                for part in fragments(word, pairs):
-                    found[part] += n
-            columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "n_uses"])
+            if len(found) > max_fragments:
+                continue
+            parts, places = stretches(batch.column("symbols").to_pylist(), keys)
+            uses = batch.column("n_uses").to_numpy(zero_copy_only=False)[places]
+            for part, n in zip(parts, uses.tolist()):
+                found[part] = found.get(part, 0) + n
+        columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "n_uses"])
 
     return of
 
@@ -295,7 +387,7 @@ def bpe_learn(
             if not ranked:
                 break
             chosen = spark.sparkContext.broadcast(frozenset(row["pair"] for row in ranked))
-            cut = table.mapInArrow(_fragmented(chosen), "part string, n_uses long")
+            cut = table.mapInArrow(_fragmented(chosen, max_fragments), "part string, n_uses long")
             parts = materialize(cut.groupBy("part").agg(F.sum("n_uses").alias("n_uses")), "bpe-fragments")
             n_parts = parts.count()
             # A single pair leaves stretches of itself alone.
@@ -325,25 +417,13 @@ def bpe_learn(
 # --- encoding ---------------------------------------------------------------------------------
 
 
-def encode_word(word: str, base: Sequence[int], ranks: dict[tuple[int, int], int]) -> list[int]:
-    """Ids of one word: the earliest learned pair is merged first, until none is left."""
-    ids = [base[b] for b in word.encode("utf-8")]
-    while len(ids) > 1:
-        best = min(zip(ids, ids[1:]), key=lambda pair: ranks.get(pair, len(ranks) + (1 << 30)))
-        merged = ranks.get(best)
-        if merged is None:
-            break
-        out: list[int] = []
-        i = 0
-        while i < len(ids):
-            if i + 1 < len(ids) and (ids[i], ids[i + 1]) == best:
-                out.append(merged)
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
-    return ids
+def encode_words(words: Sequence[str], base: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> pa.ListArray:
+    """Ids of each word: the earliest learned pair is merged first, until none is left."""
+    texts = [w.encode("utf-8") for w in words]
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    ids, counts = merge_symbols(base[np.frombuffer(b"".join(texts), dtype=np.uint8)], lengths, table)
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
 
 
 # Words remembered per Python worker; frequent words are encoded once and then looked up.
@@ -351,11 +431,12 @@ _WORD_CACHE = 200_000
 
 
 def _split_special(c: Column, special_tokens: Sequence[str]) -> Column:
-    """Cut a text before and after each special token."""
+    """Cut a text before and after each special token; the pattern only sees texts that hold one."""
     if not special_tokens:
         return F.array(c)
     names = "|".join(r"\Q" + t + r"\E" for t in special_tokens)
-    return F.filter(F.split(c, f"(?={names})|(?<={names})"), lambda p: p != "")
+    held = reduce(Column.__or__, [F.contains(c, F.lit(t)) for t in special_tokens])
+    return F.when(held, F.filter(F.split(c, f"(?={names})|(?<={names})"), lambda p: p != "")).otherwise(F.array(c))
 
 
 def model_words(c: Column, special_tokens: Sequence[str]) -> Column:
@@ -382,26 +463,28 @@ def bpe_encode(
         (
             {token: i for i, token in enumerate(model.special_tokens)},
             byte_ids(len(model.special_tokens)),
-            {pair: model.first_merge_id + i for i, pair in enumerate(model.merges)},
+            [(left, right, model.first_merge_id + i) for i, (left, right) in enumerate(model.merges)],
         )
     )
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        special, base, ranks = shared.value
-        known: dict[str, list[int]] = {}
+        special, base, merges = shared.value
+        base, table = np.array(base), merge_table(merges)
+        # The ids of known words lie in ``store``, special tokens first, which stay whole.
+        own = pa.array([[i] for i in special.values()], pa.list_(pa.int32()))
+        known, store = {token: at for at, token in enumerate(special)}, own
         for lists in batches:
             # Each distinct word of the batch is encoded once; documents gather the ids by index.
             words = lists.flatten().dictionary_encode()
             distinct = words.dictionary.to_pylist()
             if len(known) > _WORD_CACHE:
-                known.clear()
-            for word in distinct:
-                if word not in known:
-                    found = special.get(word)
-                    known[word] = encode_word(word, base, ranks) if found is None else [found]
-            parts = pa.array([known[w] for w in distinct], pa.list_(pa.int32()))
-            pieces = parts.take(words.indices)
+                known, store = {token: at for at, token in enumerate(special)}, own
+            new = [w for w in distinct if w not in known]
+            if new:
+                known.update(zip(new, range(len(known), len(known) + len(new))))
+                store = pa.concat_arrays([store, encode_words(new, base, table)])
+            pieces = store.take(pa.array([known[w] for w in distinct], pa.int64()).take(words.indices))
             ends = np.concatenate(([0], np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))))
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             offsets = pa.array(ends[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32))

@@ -159,3 +159,55 @@ def test_a_learned_vocabulary_of_documents_matches_an_established_trainer(spark,
     other.train([str(file)], vocab_size=1500, min_frequency=2, special_tokens=list(SPECIAL_TOKENS), show_progress=False)
     learned = bpe.bpe_learn(bpe.bpe_word_counts(lines), vocab_size=1500)
     assert [t for t, _ in sorted(other.get_vocab().items(), key=lambda kv: kv[1])] == learned.tokens()
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_words_merged_together_equal_words_merged_one_by_one(seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 5, 40]))) for _ in range(60)]
+    symbols, made = ["a", "b", "c"], []
+    for i in range(25):
+        made.append((rng.choice(symbols) + rng.choice(symbols), chr(0x200 + i)))
+        symbols.append(made[-1][1])
+    ranks = {}
+    for i, (pair, _) in enumerate(made):
+        ranks.setdefault(pair, i)
+    made = [(pair, symbol) for i, (pair, symbol) in enumerate(made) if ranks[pair] == i]
+    ranks = {pair: i for i, (pair, _) in enumerate(made)}
+
+    def alone(word):
+        while found := [ranks[word[i : i + 2]] for i in range(len(word) - 1) if word[i : i + 2] in ranks]:
+            word = word.replace(*made[min(found)])
+        return word
+
+    table = bpe.merge_table((ord(pair[0]), ord(pair[1]), ord(symbol)) for pair, symbol in made)
+    assert bpe.merge_words(words, table) == [alone(w) for w in words]
+    pairs = frozenset(list(ranks)[:9])
+    parts, places = bpe.stretches(words, bpe._sorted_keys(pairs))
+    expected = []
+    for at, word in enumerate(words):
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
+        pieces = [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+        expected += [(piece, at) for piece in pieces if len(piece) > 1]
+    assert list(zip(parts, places.tolist())) == expected
+
+
+def test_a_task_with_too_many_stretches_looks_no_further():
+    class Shared:
+        value = frozenset(a + b for a in "abcdefgh" for b in "abcdefgh")
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(500)]
+    batches = [
+        bpe.pa.RecordBatch.from_arrays([bpe.pa.array(words[i : i + 50]), bpe.pa.array([1] * 50)], names=["symbols", "n_uses"])
+        for i in range(0, 500, 50)
+    ]
+    found = sum(b.num_rows for b in bpe._fragmented(Shared, 100)(iter(batches)))
+    assert 100 < found <= 150
+    assert sum(b.num_rows for b in bpe._fragmented(Shared, 1000)(iter(batches))) == len(set(words))
+
+
+def test_special_tokens_are_cut_only_where_a_text_holds_one(spark, model):
+    df = spark.createDataFrame([("a < b <ur l> <",), ("<url",), ("x<number>",)], "lm_text string")
+    plain, near, cut = (r["w"] for r in df.select(bpe.model_words(bpe.F.col("lm_text"), model.special_tokens).alias("w")).collect())
+    assert plain == ["a", " <", " b", " <", "ur", " l", ">", " <"] and near == ["<", "url"] and cut == ["x", "<number>"]
