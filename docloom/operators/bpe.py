@@ -393,7 +393,8 @@ def bpe_learn(
             # A single pair leaves stretches of itself alone.
             if n_parts <= max_fragments or n_pairs == 1:
                 break
-            n_pairs = max(1, n_pairs // 4)
+            # The first round has nothing to go by; a later one is near the number that its forerunner took.
+            n_pairs = max(1, n_pairs // (2 if merges else 4))
         if not ranked:
             break
         # A round of all pairs goes down to the least frequent that may be merged.
@@ -408,8 +409,7 @@ def bpe_learn(
         # Different words stay different, so there is nothing to count together.
         table = materialize(merged, "bpe-words", path)
         discard(spark, superseded)
-        if n_parts <= max_fragments // 8:
-            n_pairs *= 4
+        n_pairs *= 4 if n_parts <= max_fragments // 8 else 2 if n_parts <= max_fragments // 3 else 1
     discard(spark, path)
     return BytePairModel(tuple(special_tokens), tuple(merges))
 
