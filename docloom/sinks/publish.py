@@ -9,6 +9,7 @@ from docloom import config
 from docloom.functions.labels import join_labels
 from docloom.functions.text import strip_cr
 from docloom.sinks.files import last_position, write_expected, write_inputs, write_text_lines
+from docloom.sources.gzip_members import listing
 
 
 def publish_view(df: DataFrame, public: bool = True, withheld: str = "test") -> DataFrame:
@@ -63,7 +64,8 @@ def single_files(spark: SparkSession, path: str, target: str) -> None:
 
     Writes ``target/<split>/in.tsv.gz``, ``expected.tsv.gz`` and, with predictions, ``out.tsv.gz``, and the two
     header files beside the splits. Part files are gzip members, so they are appended as they are, in the order
-    of their numbers: bytes stream from store to store, and nothing is held or decompressed.
+    of their numbers: bytes stream from store to store, and nothing is held or decompressed. Beside each gzip file
+    goes the list of its members, by which ``scan_pairs`` reads it in many tasks.
     """
     hadoop = spark._jvm.org.apache.hadoop
     conf = spark._jsc.hadoopConfiguration()
@@ -73,17 +75,25 @@ def single_files(spark: SparkSession, path: str, target: str) -> None:
         fs = source.getFileSystem(conf)
         if not fs.exists(source):
             return
-        names = [s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")]
+        found = [s for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")]
+        found.sort(key=lambda s: int(s.getPath().getName().split("-")[1]))
         stream = out.getFileSystem(conf).create(out, True)
         try:
-            for part in sorted(names, key=lambda p: int(p.getName().split("-")[1])):
-                given = fs.open(part)
+            for part in found:
+                given = fs.open(part.getPath())
                 try:
                     hadoop.io.IOUtils.copyBytes(given, stream, conf, False)
                 finally:
                     given.close()
         finally:
             stream.close()
+        if file.endswith(".gz"):
+            beside = hadoop.fs.Path(listing(file))
+            listed = beside.getFileSystem(conf).create(beside, True)
+            try:
+                listed.write(bytearray("".join(f"{s.getLen()}\n" for s in found).encode()))
+            finally:
+                listed.close()
 
     for kind in ("in", "expected", "out"):
         for name in config.PUBLISHED_NAMES.values():
