@@ -37,7 +37,9 @@ def has_min_content(c: Column, min_chars: int = MIN_CONTENT_CHARS) -> Column:
 
 
 def tokenize_words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(P.TOKEN), F.lit(0))
+    addressed = c.contains("@") | c.contains("://")
+    plain = F.regexp_extract_all(c, F.lit(P.PLAIN_TOKEN), F.lit(0))
+    return F.when(addressed, F.regexp_extract_all(c, F.lit(P.TOKEN), F.lit(0))).otherwise(plain)
 
 
 def count_words(c: Column) -> Column:

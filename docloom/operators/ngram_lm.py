@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from docloom.session import materialize
 
+# What stands before and after every text.
+BOUNDARIES = ("<s>", "</s>")
+
 
 def split_bigrams(
     df: DataFrame,
     tokens: Column,
     train: str = "train",
     test: str = "test",
-    start: str = "<s>",
-    end: str = "</s>",
+    start: str = BOUNDARIES[0],
+    end: str = BOUNDARIES[1],
 ) -> DataFrame:
     """``(prev, next, n_train, n_test)`` of neighbouring tokens, text boundaries included.
 
@@ -24,11 +27,8 @@ def split_bigrams(
     """
     framed = F.concat(F.array(F.lit(start)), tokens, F.array(F.lit(end)))
     n = F.size("t")
-    pairs = F.zip_with(
-        F.slice("t", F.lit(1), n - 1),
-        F.slice("t", F.lit(2), n - 1),
-        lambda a, b: F.struct(a.alias("prev"), b.alias("next")),
-    )
+    # Zipped natively: a lambda makes every pair one by one.
+    pairs = F.arrays_zip(F.slice("t", F.lit(1), n - 1).alias("prev"), F.slice("t", F.lit(2), n - 1).alias("next"))
     rows = df.where(F.col("split").isin(train, test)).select((F.col("split") == test).alias("held"), framed.alias("t"))
     return (
         rows.select("held", F.explode(pairs).alias("pair"))
@@ -37,23 +37,31 @@ def split_bigrams(
     )
 
 
-def ngram_perplexity(bigrams: DataFrame, k: float = 1.0) -> DataFrame:
+def ngram_perplexity(bigrams: DataFrame, k: float = 1.0, boundaries: tuple[str, str] | None = None) -> DataFrame:
     """``perplexity`` and ``eval_loss`` of the test bigrams under the train bigrams.
 
     The log-probability of a bigram is ``ln(c(prev,next)+k) - ln(c(prev)+kV)``, V being the number of
-    distinct next tokens in train plus one for unseen ones. Its two parts are summed per context, which
-    partial aggregation does before the shuffle, so a frequent context is no hot key. The counts are
-    written once to the shared scratch folder, as V and the sums both read them.
+    distinct next tokens in train plus one for unseen ones. The first part is summed over the bigrams as they
+    lie, the second per context, which partial aggregation does before the shuffle, so a frequent context is no
+    hot key. The counts are written once to the shared scratch folder, as V and the sums read them.
+
+    ``boundaries`` says that ``bigrams`` are all those of whole texts between these two marks. Then V follows
+    from the contexts: every token stands before one and after one, so only the marks make a difference.
     """
     counts = materialize(bigrams, "bigrams")
-    v = counts.where("n_train > 0").agg(F.count_distinct("next")).first()[0] + 1
-    contexts = counts.groupBy("prev").agg(
-        F.sum("n_train").alias("n_train"),
-        F.sum("n_test").alias("n_test"),
-        F.sum(F.col("n_test") * F.ln(F.col("n_train") + F.lit(k))).alias("upper"),
-    )
+    seen, (start, end) = F.col("n_train") > 0, boundaries or BOUNDARIES
+    log = F.col("n_test") * F.ln(F.col("n_train") + F.lit(k))
+    sums = counts.agg(F.sum(log).alias("upper"), F.max((F.col("next") == start) & seen).alias("start")).first()
+    contexts = counts.groupBy("prev").agg(F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"))
+    if boundaries is None:
+        v = counts.where(seen).agg(F.count_distinct("next")).first()[0] + 1
+    else:
+        contexts = materialize(contexts, "contexts")
+        found = contexts.agg(F.count_if(seen).alias("n"), F.max((F.col("prev") == end) & seen).alias("end")).first()
+        # The opening mark is a context and the closing one follows, unless a text has it as a token too.
+        v = found["n"] + bool(sums["start"]) - bool(found["end"]) + 1
     lower = F.col("n_test") * F.ln(F.col("n_train") + F.lit(k * v))
-    loss = contexts.agg((F.sum(lower - F.col("upper")) / F.sum("n_test")).alias("eval_loss"))
+    loss = contexts.agg(((F.sum(lower) - F.lit(sums["upper"] or 0.0)) / F.sum("n_test")).alias("eval_loss"))
     return loss.select(F.exp("eval_loss").alias("perplexity"), "eval_loss")
 
 

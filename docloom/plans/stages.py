@@ -89,7 +89,9 @@ def lm_score(corpus: DataFrame, k: float = 1.0, smoothing: str = "add_k") -> Dat
     bigrams = ngram_lm.split_bigrams(corpus, X.tokenize_words(F.col("lm_text")))
     if smoothing not in ("add_k", "kneser_ney"):
         raise ValueError(f"unknown smoothing: {smoothing}")
-    return ngram_lm.ngram_perplexity(bigrams, k) if smoothing == "add_k" else ngram_lm.kneser_ney_perplexity(bigrams)
+    if smoothing == "add_k":
+        return ngram_lm.ngram_perplexity(bigrams, k, ngram_lm.BOUNDARIES)
+    return ngram_lm.kneser_ney_perplexity(bigrams)
 
 
 def classifier_examples(

@@ -82,3 +82,35 @@ def test_no_table_of_words_is_broadcast(spark):
     found = ngram_lm.kneser_ney(counts).probability(counts)
     assert found.count() == counts.count()
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def slow_add_k(train, test, k):
+    pairs = Counter(p for t in train for p in zip(["<s>", *t.split()], [*t.split(), "</s>"]))
+    contexts = Counter()
+    for (u, _), c in pairs.items():
+        contexts[u] += c
+    v = len({w for _, w in pairs}) + 1
+    asked = [p for t in test for p in zip(["<s>", *t.split()], [*t.split(), "</s>"])]
+    return sum(math.log(contexts[u] + k * v) - math.log(pairs[u, w] + k) for u, w in asked) / len(asked)
+
+
+def test_add_k_takes_the_vocabulary_from_the_contexts(spark):
+    for train in (TRAIN, [], [*TRAIN, "a <s> b"], [*TRAIN, "a </s> b"], [*TRAIN, "</s> <s>", "<s> <s>"]):
+        counts = frame(spark, train, TEST).cache()
+        for boundaries in (None, ngram_lm.BOUNDARIES):
+            loss = ngram_lm.ngram_perplexity(counts, 0.5, boundaries).first()["eval_loss"]
+            assert loss == pytest.approx(slow_add_k(train, TEST, 0.5), abs=1e-12)
+
+
+def test_pairs_are_made_without_a_function_per_pair(spark):
+    assert "lambda" not in frame(spark, TRAIN, TEST)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_of_texts_without_addresses_are_the_same(spark):
+    from docloom.functions import patterns as P
+    from docloom.functions import text as X
+
+    texts = ["it's 1.5 http nowww. a@b.eu, x", "see https://x.eu/y?z now", "l’eau well-known 3,000.5x -- ...", "a://b", "é漢 ٣٤ \u00a0x_y", "_%+- 'a' -b", "", "<url> <number>, <date>."]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    both = df.select(X.tokenize_words(F.col("t")).alias("a"), F.regexp_extract_all("t", F.lit(P.TOKEN), F.lit(0)).alias("b")).collect()
+    assert len(both) == 9 and all(r["a"] == r["b"] for r in both)
