@@ -2,26 +2,25 @@
 
 The labels share features and passes and nothing else. Each has its own quasi-Newton history and its own step,
 moved in lockstep, so the result is that of one fit per label while the number of jobs does not depend on how many
-labels there are. A task sums the gradient of its rows in blocks of features; blocks are summed by a shuffle, and
-features x labels numbers reach the driver, whatever the number of rows.
+labels there are. The rows are packed once and summed pass by pass; see ``packed_rows``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Features summed in one shuffled row.
-BLOCK = 8_192
+from docloom.operators.packed_rows import Moments, Rows, gradients, moments, pack, sweep
+
 _HISTORY = 8
+# Passes after which the shuffle files of the ones before are let go.
+_SWEEP = 4
 # Least share of the expected fall that a step has to bring, and how much a step that does not is shortened.
 _ARMIJO, _SHORTER = 1e-4, 0.5
 
@@ -64,94 +63,15 @@ class JointLogistic:
         return JointLogistic(weights, np.array(next(r["weights"] for r in rows if r["feature"] < 0)))
 
 
-class _Rows:
-    """Sparse rows of a batch: positions and values one after the other."""
+class _Rows(Rows):
+    """Sparse rows of an Arrow batch."""
 
     def __init__(self, indices: pa.ListArray, values: pa.ListArray, scale: np.ndarray | None) -> None:
-        sizes = values.value_lengths().to_numpy(zero_copy_only=False)
-        self.n = len(sizes)
-        self.at = indices.flatten().to_numpy(zero_copy_only=False)
-        self.values = values.flatten().to_numpy(zero_copy_only=False)
+        at = indices.flatten().to_numpy(zero_copy_only=False)
+        numbers = values.flatten().to_numpy(zero_copy_only=False)
         if scale is not None:
-            self.values = self.values * scale[self.at]
-        self.row = np.repeat(np.arange(self.n), sizes)
-
-    def scores(self, weights: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, weights.shape[1]))
-        if len(self.row):
-            starts = np.flatnonzero(np.diff(self.row, prepend=-1))
-            terms = weights.take(self.at, axis=0)
-            terms *= self.values[:, None]
-            out[self.row[starts]] = np.add.reduceat(terms, starts, axis=0)
-        return out
-
-    def gradient(self, errors: np.ndarray, into: np.ndarray) -> None:
-        """Add to ``into``: label by label, in one pass over the values and without sorting them."""
-        if len(self.at):
-            used = np.zeros(len(into), bool)
-            used[self.at] = True
-            found = np.flatnonzero(used)
-            place = np.empty(len(into), np.int64)
-            place[found] = np.arange(len(found))
-            at = place[self.at]
-            sums = [np.bincount(at, column.take(self.row) * self.values, len(found)) for column in np.ascontiguousarray(errors.T)]
-            into[found] += np.stack(sums, axis=1)
-
-
-def _partial_sums(shared):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, intercepts, scale = shared.value
-        n_features, n_labels = weights.shape
-        gradient, ends = np.zeros_like(weights), np.zeros((2, n_labels))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _Rows(batch.column("indices"), batch.column("values"), scale)
-            truth = batch.column("truth").flatten().to_numpy(zero_copy_only=False).reshape(-1, n_labels)
-            logits = rows.scores(weights) + intercepts
-            errors = 1 / (1 + np.exp(-np.clip(logits, -500, 500))) - truth
-            ends[0] += (np.logaddexp(0, logits) - truth * logits).sum(axis=0)
-            ends[1] += errors.sum(axis=0)
-            rows.gradient(errors, gradient)
-        blocks = [(-1, ends.tobytes())]
-        for b in range(0, n_features, BLOCK):
-            part = gradient[b : b + BLOCK]
-            if part.any():
-                blocks.append((b, part.tobytes()))
-        names, sums = zip(*blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(sums, pa.binary())], names=["block", "sums"])
-
-    return of
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of each block of a partition, one after the other as they come."""
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist()):
-            part = np.frombuffer(sums)
-            totals[block] = part.copy() if block not in totals else totals[block] + part
-    columns = [pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())]
-    yield pa.RecordBatch.from_arrays(columns, names=["block", "sums"])
-
-
-def _pass(rows: DataFrame, weights: np.ndarray, intercepts: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Summed loss by label, and the summed gradient with the intercepts in its last row."""
-    shared = rows.sparkSession.sparkContext.broadcast((weights, intercepts, scale))
-    n_features, n_labels = weights.shape
-    schema = "block int, sums binary"
-    parts = rows.mapInArrow(_partial_sums(shared), schema)
-    blocks = -(-n_features // BLOCK) + 1
-    found = parts.repartition(blocks, "block").mapInArrow(_summed, schema).collect()
-    gradient, loss = np.zeros((n_features + 1, n_labels)), np.zeros(n_labels)
-    for row in found:
-        sums = np.frombuffer(row["sums"]).reshape(-1, n_labels)
-        if row["block"] < 0:
-            loss, gradient[-1] = sums[0], sums[1]
-        else:
-            gradient[row["block"] : row["block"] + len(sums)] = sums
-    shared.destroy()
-    return loss, gradient
+            numbers = numbers * scale[at]
+        super().__init__(values.value_lengths().to_numpy(zero_copy_only=False), at, numbers)
 
 
 class _Lockstep:
@@ -190,45 +110,52 @@ def fit_joint(prepared: DataFrame, n_features: int, n_labels: int, reg: float =
     label must occur and be absent at least once. ``max_passes`` bounds the jobs; a label whose loss falls by less
     than ``tolerance`` of itself rests.
     """
-    moments = prepared.select(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("m")).first()["m"]
-    n, variance = moments["count"], moments["variance"].toArray()
-    scale = np.where(variance > 0, 1 / np.sqrt(np.where(variance > 0, variance, 1)), 0)
-    vector = F.unwrap_udt("features")
-    rows = prepared.select(vector["indices"].alias("indices"), vector["values"].alias("values"), F.col("truth").cast("array<double>").alias("truth"))
-    # One partial gradient per core, however many partitions there are.
-    rows = rows.coalesce(prepared.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    packed = pack(prepared)
+    try:
+        return fit_packed(packed, moments(packed, n_features, n_labels), range(n_labels), reg, max_passes, tolerance)
+    finally:
+        packed.unpersist()
+
+
+def fit_packed(packed: DataFrame, known: Moments, labels: Sequence[int], reg: float = 0.01, max_passes: int = 60, tolerance: float = 1e-6) -> JointLogistic:
+    """:func:`fit_joint` of some ``labels`` of packed rows whose moments are known."""
+    labels = list(labels)
+    scale = np.where(known.variance > 0, 1 / np.sqrt(np.where(known.variance > 0, known.variance, 1)), 0)[:, None]
+    passes = 0
 
     def evaluate(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        loss, gradient = _pass(rows, at[:-1], at[-1], scale)
-        gradient /= n
+        nonlocal passes
+        passes += 1
+        if passes % _SWEEP == 0:
+            sweep(packed)
+        # Scaling the weights and the gradient is scaling the rows.
+        loss, gradient = gradients(packed, known, at[:-1] * scale, at[-1], labels)
+        gradient[:-1] *= scale
+        gradient /= known.n
         gradient[:-1] += reg * at[:-1]
-        return loss / n + 0.5 * reg * np.einsum("ij,ij->j", at[:-1], at[:-1]), gradient
-
-    try:
-        supports = rows.agg(*[F.sum(F.col("truth")[i]).alias(f"s{i}") for i in range(n_labels)]).first()
-        share = np.array([supports[f"s{i}"] for i in range(n_labels)]) / n
-        at = np.zeros((n_features + 1, n_labels))
-        at[-1] = np.log(share / (1 - share))
-        value, gradient = evaluate(at)
-        memory = _Lockstep()
-        direction = memory.direction(gradient)
-        step = 1 / np.maximum(1, np.sqrt(np.einsum("ij,ij->j", gradient, gradient)))
-        resting = np.zeros(n_labels, bool)
-        for _ in range(max_passes - 1):
-            slope = np.einsum("ij,ij->j", gradient, direction)
-            trial = at + np.where(resting, 0, step) * direction
-            new_value, new_gradient = evaluate(trial)
-            good = ~resting & (new_value <= value + _ARMIJO * step * slope)
-            fall = value - new_value
-            memory.remember((trial - at) * good, (new_gradient - gradient) * good, good)
-            at, value, gradient = np.where(good, trial, at), np.where(good, new_value, value), np.where(good, new_gradient, gradient)
-            resting |= good & (fall <= tolerance * np.maximum(1e-12, np.abs(value)))
-            # A step too short to matter cannot help any more.
-            resting |= ~good & (step < 1e-10)
-            if resting.all():
-                break
-            direction = np.where(good, memory.direction(gradient), direction)
-            step = np.where(good, 1.0, step * _SHORTER)
-    finally:
-        rows.unpersist()
-    return JointLogistic(at[:-1] * scale[:, None], at[-1])
+        return loss / known.n + 0.5 * reg * np.einsum("ij,ij->j", at[:-1], at[:-1]), gradient
+
+    share = known.supports[labels] / known.n
+    at = np.zeros((len(scale) + 1, len(labels)))
+    at[-1] = np.log(share / (1 - share))
+    value, gradient = evaluate(at)
+    memory = _Lockstep()
+    direction = memory.direction(gradient)
+    step = 1 / np.maximum(1, np.sqrt(np.einsum("ij,ij->j", gradient, gradient)))
+    resting = np.zeros(len(labels), bool)
+    for _ in range(max_passes - 1):
+        slope = np.einsum("ij,ij->j", gradient, direction)
+        trial = at + np.where(resting, 0, step) * direction
+        new_value, new_gradient = evaluate(trial)
+        good = ~resting & (new_value <= value + _ARMIJO * step * slope)
+        fall = value - new_value
+        memory.remember((trial - at) * good, (new_gradient - gradient) * good, good)
+        at, value, gradient = np.where(good, trial, at), np.where(good, new_value, value), np.where(good, new_gradient, gradient)
+        resting |= good & (fall <= tolerance * np.maximum(1e-12, np.abs(value)))
+        # A step too short to matter cannot help any more.
+        resting |= ~good & (step < 1e-10)
+        if resting.all():
+            break
+        direction = np.where(good, memory.direction(gradient), direction)
+        step = np.where(good, 1.0, step * _SHORTER)
+    return JointLogistic(at[:-1] * scale, at[-1])

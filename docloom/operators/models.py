@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import labels as L
 from docloom.functions import text as X
-from docloom.operators.joint_logistic import JointLogistic, fit_joint
+from docloom.operators.joint_logistic import JointLogistic, fit_packed
+from docloom.operators.packed_rows import moments, pack
 
 # Logit of a label that the train rows always or never carry.
 _CERTAIN = 20.0
@@ -127,29 +128,18 @@ def train_multilabel(
     """
     chosen = FAMILIES[family]
     rows = _with_tokens(df.select(text, F.col(labels).alias("labels")), text).drop(text)
-    features = Pipeline(stages=chosen.features(n_features or chosen.n_features)).fit(rows)
     truth = L.multi_hot(F.col("labels"), vocabulary).alias("truth")
+    if family == JOINT:
+        return _train_packed(rows, truth, vocabulary, family, n_features or chosen.n_features)
+    features = Pipeline(stages=chosen.features(n_features or chosen.n_features)).fit(rows)
     prepared = features.transform(rows).select("features", truth).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sums = prepared.agg(
             F.count(F.lit(1)).alias("n"), *[F.sum(F.col("truth")[i]).alias(f"s{i}") for i in range(len(vocabulary))]
         ).first()
 
-        def constant(i: int) -> float | None:
-            support = sums[f"s{i}"] or 0
-            return (_CERTAIN if support else -_CERTAIN) if support in (0, sums["n"]) else None
-
-        if family == JOINT:
-            varying = [i for i in range(len(vocabulary)) if constant(i) is None]
-            joint = None
-            if varying:
-                truths = F.array(*[F.col("truth")[i] for i in varying])
-                joint = fit_joint(prepared.select("features", truths.alias("truth")), n_features or chosen.n_features, len(varying))
-            models = tuple(varying.index(i) if i in varying else constant(i) for i in range(len(vocabulary)))
-            return MultilabelModel(family, tuple(vocabulary), features, models, joint)
-
         def fit(i: int) -> Model | float:
-            if (certain := constant(i)) is not None:
+            if (certain := _constant(sums[f"s{i}"] or 0, sums["n"])) is not None:
                 return certain
             target = prepared.select("features", F.col("truth")[i].cast("double").alias("label"))
             return (estimator.copy() if estimator is not None else chosen.estimator()).fit(target)
@@ -161,6 +151,34 @@ def train_multilabel(
     return MultilabelModel(family, tuple(vocabulary), features, models)
 
 
+def _constant(support: float, n: int) -> float | None:
+    """The logit of a label that never varies."""
+    return (_CERTAIN if support else -_CERTAIN) if support in (0, n) else None
+
+
+def _train_packed(rows: DataFrame, truth: Column, vocabulary: Sequence[str], family: str, n_features: int) -> MultilabelModel:
+    """All labels in shared passes over packed rows. The texts are read once, for the counts of their terms."""
+    counter, weigher = FAMILIES[family].features(n_features)
+    counted = counter.transform(rows).select(counter.getOutputCol(), truth).persist(StorageLevel.DISK_ONLY)
+    packed = None
+    try:
+        features = PipelineModel([counter, weigher.fit(counted)])
+        packed = pack(features.stages[1].transform(counted))
+        known = moments(packed, n_features, len(vocabulary))
+        counted.unpersist()
+        constant = [_constant(support, known.n) for support in known.supports]
+        varying = [i for i, certain in enumerate(constant) if certain is None]
+        joint, fitted = None, []
+        if varying and family == JOINT:
+            joint, fitted = fit_packed(packed, known, varying), range(len(varying))
+    finally:
+        counted.unpersist()
+        if packed is not None:
+            packed.unpersist()
+    models = dict(zip(varying, fitted))
+    return MultilabelModel(family, tuple(vocabulary), features, tuple(models.get(i, constant[i]) for i in range(len(vocabulary))), joint)
+
+
 def predict_multilabel(
     df: DataFrame, model: MultilabelModel, text: str = "text", threshold: float = 0.5, apply_sigmoid: bool = False
 ) -> DataFrame:
