@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from docloom.functions import labels as L
 from docloom.functions import text as X
 from docloom.operators.joint_logistic import JointLogistic, fit_packed
+from docloom.operators.logistic import fit_side_by_side
 from docloom.operators.packed_rows import moments, pack
 
 # Logit of a label that the train rows always or never carry.
@@ -78,10 +79,12 @@ def _log_odds_of_probability(_: Column, probability: Column | None) -> Column:
 
 # All labels are fitted at once; see ``joint_logistic``.
 JOINT = "joint_logistic_regression"
+# Each label has a fit of its own, and all fits share their passes; see ``logistic``.
+SIDE_BY_SIDE = "logistic_regression"
 
 FAMILIES = {
     JOINT: Family(_tf_idf, lambda: LogisticRegression(maxIter=20, regParam=0.01), _margin),
-    "logistic_regression": Family(_tf_idf, lambda: LogisticRegression(maxIter=20, regParam=0.01), _margin),
+    SIDE_BY_SIDE: Family(_tf_idf, lambda: LogisticRegression(maxIter=20, regParam=0.01), _margin),
     "naive_bayes": Family(_term_counts, NaiveBayes, _log_odds_of_joint),
     "svm": Family(_tf_idf, lambda: LinearSVC(maxIter=20, regParam=0.01), _margin),
     "random_forest": Family(_tf_idf, lambda: RandomForestClassifier(numTrees=20, seed=42), _log_odds_of_probability),
@@ -120,7 +123,8 @@ def train_multilabel(
 ) -> MultilabelModel:
     """Fit one binary model per label. The features are computed once and kept for all labels.
 
-    The family ``joint_logistic_regression`` fits all labels together, in as many jobs whatever their number.
+    The family ``joint_logistic_regression`` fits all labels together, in as many jobs whatever their number; so does
+    ``logistic_regression`` with a fit per label, unless an ``estimator`` is given.
 
     ``n_features`` is the number of hashed terms, or the size of averaged vectors; it defaults to that of the
     family. In the other families ``parallelism`` labels are fitted at a time, each as a distributed job of its own,
@@ -129,7 +133,7 @@ def train_multilabel(
     chosen = FAMILIES[family]
     rows = _with_tokens(df.select(text, F.col(labels).alias("labels")), text).drop(text)
     truth = L.multi_hot(F.col("labels"), vocabulary).alias("truth")
-    if family == JOINT:
+    if family == JOINT or (family == SIDE_BY_SIDE and estimator is None):
         return _train_packed(rows, truth, vocabulary, family, n_features or chosen.n_features)
     features = Pipeline(stages=chosen.features(n_features or chosen.n_features)).fit(rows)
     prepared = features.transform(rows).select("features", truth).persist(StorageLevel.MEMORY_AND_DISK)
@@ -171,6 +175,8 @@ def _train_packed(rows: DataFrame, truth: Column, vocabulary: Sequence[str], fam
         joint, fitted = None, []
         if varying and family == JOINT:
             joint, fitted = fit_packed(packed, known, varying), range(len(varying))
+        elif varying:
+            fitted = fit_side_by_side(packed, known, varying, FAMILIES[family].estimator())
     finally:
         counted.unpersist()
         if packed is not None:
