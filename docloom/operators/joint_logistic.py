@@ -16,11 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators.packed_rows import Moments, Rows, gradients, moments, pack, sweep
+from docloom.operators.packed_rows import Moments, Rows, gradients, moments, pack
 
 _HISTORY = 8
-# Passes after which the shuffle files of the ones before are let go.
-_SWEEP = 4
 # Least share of the expected fall that a step has to bring, and how much a step that does not is shortened.
 _ARMIJO, _SHORTER = 1e-4, 0.5
 
@@ -121,13 +119,8 @@ def fit_packed(packed: DataFrame, known: Moments, labels: Sequence[int], reg: fl
     """:func:`fit_joint` of some ``labels`` of packed rows whose moments are known."""
     labels = list(labels)
     scale = np.where(known.variance > 0, 1 / np.sqrt(np.where(known.variance > 0, known.variance, 1)), 0)[:, None]
-    passes = 0
 
     def evaluate(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal passes
-        passes += 1
-        if passes % _SWEEP == 0:
-            sweep(packed)
         # Scaling the weights and the gradient is scaling the rows.
         loss, gradient = gradients(packed, known, at[:-1] * scale, at[-1], labels)
         gradient[:-1] *= scale

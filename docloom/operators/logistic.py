@@ -17,13 +17,11 @@ from pyspark.ml.common import _py2java
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.operators.packed_rows import Moments, gradients, sweep
+from docloom.operators.packed_rows import Moments, gradients
 
 # As the library has them: steps remembered, values looked back at, tries of a line search and of its zoom, and the
 # constants of the Wolfe conditions.
 _HISTORY, _LOOK_BACK, _TRIES, _FALL, _BEND = 10, 20, 10, 1e-4, 0.9
-# Passes after which the shuffle files of the ones before are let go.
-_SWEEP = 4
 
 Asked = Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]
 
@@ -143,16 +141,13 @@ def fit_side_by_side(packed: DataFrame, known: Moments, labels: Sequence[int], e
     """
     scale = np.where(known.variance > 0, 1 / np.sqrt(np.where(known.variance > 0, known.variance, 1)), 0)
     centre, reg = known.mean * scale, estimator.getRegParam()
-    fits, asked, found, passes = {}, {}, {}, 0
+    fits, asked, found = {}, {}, {}
     for label in labels:
         at = np.zeros(len(scale) + 1)
         at[-1] = np.log(known.supports[label] / (known.n - known.supports[label]))
         fits[label] = minimise(at, estimator.getMaxIter(), estimator.getTol())
         asked[label] = next(fits[label])
     while asked:
-        passes += 1
-        if passes % _SWEEP == 0:
-            sweep(packed)
         running = list(asked)
         points = np.stack([asked[label] for label in running], axis=1)
         intercepts = points[-1] - centre @ points[:-1]

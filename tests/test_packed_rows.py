@@ -50,3 +50,16 @@ def test_a_row_without_labels_is_an_error(spark):
     df = frame(spark, *table(5, 12, 2)).selectExpr("features", "if(rand() >= 0, null, truth) as truth")
     with pytest.raises(Exception, match="no labels"):
         pack(df).count()
+
+
+def test_passes_leave_no_shuffle_files(spark):
+    packed = pack(frame(spark, *table(60, 12, 4)))
+    known = moments(packed, 12, 4)
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    before = disk.getAllFiles().size()
+    for _ in range(4):
+        gradients(packed, known, np.zeros((12, 4)), np.zeros(4), range(4))
+    # Those of one pass may be on their way out.
+    assert disk.getAllFiles().size() < before + 10
+    packed.unpersist()
+    assert spark.conf.get(packed_rows._CLEANUP, None) is None
