@@ -80,13 +80,19 @@ class _Lockstep:
         self.scale: np.ndarray | None = None
 
     def remember(self, moved: np.ndarray, change: np.ndarray, which: np.ndarray) -> None:
-        """A step of the columns ``which`` and how it changed the gradient; the others take no part in it."""
+        """A step of the columns ``which`` and how it changed the gradient; the others take no part in it.
+
+        Both arrays are kept, and changed for it.
+        """
+        del self.steps[: max(0, len(self.steps) + 1 - _HISTORY)]
         bent = np.einsum("ij,ij->j", moved, change)
         which = which & (bent > 1e-12)
         rho = np.where(which, 1 / np.where(which, bent, 1), 0)
-        self.steps = [*self.steps, (moved * which, change * which, rho)][-_HISTORY:]
         size = bent / np.maximum(np.einsum("ij,ij->j", change, change), 1e-300)
         self.scale = np.where(which, size, 1.0 if self.scale is None else self.scale)
+        moved *= which
+        change *= which
+        self.steps.append((moved, change, rho))
 
     def direction(self, gradient: np.ndarray) -> np.ndarray:
         q, kept = gradient.copy(), []
@@ -122,7 +128,7 @@ def fit_packed(packed: DataFrame, known: Moments, labels: Sequence[int], reg: fl
 
     def evaluate(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # Scaling the weights and the gradient is scaling the rows.
-        loss, gradient = gradients(packed, known, at[:-1] * scale, at[-1], labels)
+        loss, gradient = gradients(packed, known, np.multiply(at[:-1], scale, order="F"), at[-1], labels)
         gradient[:-1] *= scale
         gradient /= known.n
         gradient[:-1] += reg * at[:-1]
